@@ -170,12 +170,15 @@ def by_group(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
         yield pd.concat(rest, ignore_index=True)
 
 
-def _solve(make_sets: Callable[[pd.Series], list[np.ndarray]], percent: int) -> Callable:
+def _solve(make_sets: Callable[[pd.Series], list[np.ndarray]], percent: int, valid: Callable[[pd.DataFrame], np.ndarray] | None) -> Callable:
     """A mapInPandas function over (block, part, id, known, asks, payload) sorted by block and part."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, roots, blocks, hubs, parts = [], [], [], [], []
         for g in by_group(batches, ["block", "part"]):
+            g = g if valid is None else g[valid(g)]
+            if g.empty:
+                continue
             g = g.sort_values(["id", "asks"], ascending=[True, False], kind="stable").drop_duplicates("id")
             known, ask = (None, None) if (g.known < 0).all() else (g.known.tolist(), g.asks.to_numpy(bool))
             root, central = link(make_sets(g.payload), percent, known, ask)
@@ -199,12 +202,13 @@ def resolve(
     percent: int,
     scratch: Scratch,
     max_items: int = MAX_ITEMS,
+    valid: Callable[[pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Columns ``id`` and ``component`` of the items that are linked with another.
 
     candidates: pairs of long columns ``a`` and ``b`` whose transitive closure holds every link.
     fetch: adds a column ``payload`` to rows with an ``id``, given their number. make_sets: sorted
-    distinct uint64 arrays of payloads. A link is a Jaccard similarity of ``percent`` in a hundred
+    distinct uint64 arrays of payloads. valid: which rows of a fetched group count, if not all. A link is a Jaccard similarity of ``percent`` in a hundred
     at least. Items with an empty set are linked with nothing.
     """
     members = scratch.keep(components(candidates, scratch).withColumnRenamed("component", "block"), "blocks")
@@ -219,7 +223,7 @@ def resolve(
 
     def solve(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "part", "id", "known", "asks", "payload").repartition("block", "part").sortWithinPartitions("block", "part")
-        return rows.mapInPandas(_solve(make_sets, percent), schema)
+        return rows.mapInPandas(_solve(make_sets, percent, valid), schema)
 
     links = scratch.keep(solve(dealt), "links")
     large = dealt.where(F.col("items") > max_items)
