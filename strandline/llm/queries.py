@@ -56,7 +56,8 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("blocked"))
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, labels)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
