@@ -95,7 +95,8 @@ def mix_sources(docs: DataFrame, budget: int | None = None, target_entropy: floa
 
     Defined cases: a null source is a source of its own; texts without words carry no tokens and
     are never emitted; rows that repeat doc_id and text are emitted together; rows without doc_id
-    are dealt by their text; extra columns are carried along; an empty table gives an empty table.
+    are dealt by their text; extra columns are carried along, but for those named mix_...; an empty
+    table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     added = {
@@ -117,14 +118,14 @@ def mix_sources(docs: DataFrame, budget: int | None = None, target_entropy: floa
     cut = cut.groupBy("mix_source", "mix_block", "mix_row", "full", "left").agg(F.sum("mix_tokens").alias("mix_tokens"))
     inside = Window.partitionBy("mix_source", "mix_block").orderBy(F.xxhash64("mix_row", "full"), "mix_row").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("before", F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0))).where("before < left")
-    cut = scratch.keep(cut.select("mix_source", "mix_row", F.lit(True).alias("in_cut")), "cut")
-    out = docs.where(F.col("text").isNotNull()).withColumns(added)
-    out = sized_join(out, weights.select("mix_source", "full", F.col("weight").alias("mix_weight")), "mix_source", "left", 64, n_sources)
-    out = sized_join(out, plan.select("mix_source", "mix_block", "whole"), ["mix_source", "mix_block"], "left", 64, n_plan)
+    cut = scratch.keep(cut.select("mix_source", "mix_row", F.lit(True).alias("mix_in_cut")), "cut")
+    out = docs.where(F.col("text").isNotNull()).drop(*(c for c in docs.columns if c.startswith("mix_"))).withColumns(added)
+    out = sized_join(out, weights.select("mix_source", F.col("full").alias("mix_full"), F.col("weight").alias("mix_weight")), "mix_source", "left", 64, n_sources)
+    out = sized_join(out, plan.select("mix_source", "mix_block", F.col("whole").alias("mix_whole")), ["mix_source", "mix_block"], "left", 64, n_plan)
     out = sized_join(out, cut, ["mix_source", "mix_row"], "left", 48, cut.count())
-    extra = F.coalesce(F.col("whole"), F.lit(False)) | F.coalesce(F.col("in_cut"), F.lit(False))
-    times = F.col("full") + extra.cast("long")
+    extra = F.coalesce(F.col("mix_whole"), F.lit(False)) | F.coalesce(F.col("mix_in_cut"), F.lit(False))
+    times = F.col("mix_full") + extra.cast("long")
     out = out.where((times > 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     out = out.withColumns({"mix_place": F.xxhash64("mix_block", "mix_epoch", F.lit(seed)), "mix_key": F.xxhash64("mix_row", "mix_epoch")})
-    return out.drop("mix_source", "mix_row", "mix_block", "full", "whole", "in_cut")
+    return out.drop("mix_source", "mix_row", "mix_block", "mix_full", "mix_whole", "mix_in_cut")

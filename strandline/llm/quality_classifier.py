@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     rows = sized_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample, "doc_id", "inner", 16, max_labelled)
-    got = rows.select("doc_id", "quality", describe("text").alias("x")).orderBy("doc_id").collect()
+    got = sorted(rows.select("doc_id", "quality", describe("text").alias("x")).collect(), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     return fit(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]))
 
 
@@ -156,7 +156,11 @@ def held_out(parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 where score is at least CUT) to every row; null texts score as empty ones."""
+def with_scores(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Adds score (0 to 1) and predicted (1 where score is at least CUT) to every row.
+
+    Null texts score as empty ones: 0. Equal texts score alike, whatever their other columns,
+    which are carried along; columns of the two names are replaced. An empty table gives an empty table.
+    """
     ship(docs.sparkSession)
-    return docs.withColumn("score", scorer(model)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return docs.withColumn(score, scorer(model)(F.col("text").cast("string"))).withColumn(predicted, (F.col(score) >= CUT).cast("int"))

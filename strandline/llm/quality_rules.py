@@ -1,7 +1,7 @@
 """Quality rules: fixed base statistics and a learned decision list, as Spark expressions throughout.
 
-Sequential covering learns the list from labelled statistics. Each statistic is cut at a few
-quantiles; the labelled rows are counted in Spark by the combination of their bins, and only
+Sequential covering learns the list from labelled statistics. Each statistic is cut halfway
+between a few quantiles; the labelled rows are counted in Spark by the combination of their bins, and only
 these counts reach the driver. A rule for low quality grows condition by condition (the one of
 the highest information gain first) on two thirds of the rows and is pruned on the last third;
 the rows it covers are taken out, and the next rule is sought. The list becomes one CASE
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Statistics that rules may use.
 FEATURES = ("symbols_per_word", "dup_line_share", "repeat_share", "word_length", "marks_per_word", "distinct_share", "words_per_line")
-#: Quantiles, of the low-quality rows and of all, that are tried as thresholds.
+#: Quantiles, of the low-quality rows and of all, between which thresholds are tried.
 CUTS = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: The decision list is fitted on at most so many labelled rows, those of the least hash of their id.
 MAX_LABELLED = 40_000
@@ -150,7 +150,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     found = sample.agg(*asked).first()
     if found[FEATURES[0]] is None:
         return []
-    cuts = {f: sorted({*found[f], *found[f"all_{f}"]}) for f in FEATURES}
+    seen = {f: sorted({*found[f], *found[f"all_{f}"]}) for f in FEATURES}
+    cuts = {f: [(a + b) / 2 for a, b in zip(seen[f], seen[f][1:])] for f in FEATURES}
     bins = [sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
     prune = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
     counts = sample.select(*bins, low.cast("int").alias("low"), prune.alias("prune")).groupBy(*FEATURES, "prune").agg(F.sum("low"), F.sum(1 - F.col("low"))).collect()

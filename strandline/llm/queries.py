@@ -114,4 +114,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_fixity": op10_warc_fixity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = """w AS (SELECT {key}, list_filter(string_split_regex(coalesce({text}, ''), '{gap}'), lambda x: x <> '') AS w FROM {table}),
+    g AS (SELECT {key}, unnest(CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) WHEN len(w) > 0 THEN ['=' || array_to_string(w, ' ')] ELSE [] END) AS s FROM w)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE {_SHINGLES.format(key="doc_id", text=_ASCII, gap="[\\x20\\x09-\\x0D]+", table="documents", n=4)},
+        k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        r AS (SELECT a AS doc_id, b AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+        SELECT doc_id, coalesce(any_value(k.n), 0) AS n_shingles, least(doc_id, coalesce(min(other), doc_id)) AS component_id FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY doc_id""",
+    "op7_benchmark_decontamination": f"""WITH {_SHINGLES.format(key="doc_id", text="lower(text)", gap="[^\\p{L}\\p{N}]+", table="documents", n=5).replace("w AS", "dw AS").replace("FROM w)", "FROM dw)").replace("g AS", "dg AS")},
+        {_SHINGLES.format(key="item_id", text="lower(text)", gap="[^\\p{L}\\p{N}]+", table="benchmark", n=5)},
+        q AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT doc_id, item_id, count(*) AS n FROM dg JOIN g USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, q.n AS n_item, c.n AS n_common, c.n / q.n AS containment FROM c JOIN q USING (item_id) WHERE 100 * c.n >= 80 * q.n""",
+    "op9_chat_formatting": f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(24 + length(role) + length(replace(text, '<|', '<||')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+}

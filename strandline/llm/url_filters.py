@@ -61,7 +61,7 @@ def mine_rules(judged: DataFrame, scratch: Scratch, support: float = 0.01, least
     empty = "rule_id int, tokens array<string>, blocked long, seen long, confidence double"
     if not n:
         return judged.sparkSession.createDataFrame([], empty)
-    mined = FPGrowth(itemsCol="items", minSupport=max(support, least_support / n), minConfidence=1.0).fit(blocked).freqItemsets
+    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_support / n)), minConfidence=1.0).fit(blocked).freqItemsets
     mined = mined.where(F.size("items") <= MAX_TOKENS).select(F.sort_array("items").alias("tokens")).where(F.size("tokens") > 0)
     mined = scratch.keep(mined.withColumn("rule_id", F.xxhash64("tokens")), "itemsets")
     patterns = judged.groupBy(F.sort_array("tokens").alias("tokens")).agg(F.sum(F.col("blocked").cast("long")).alias("blocked"), F.count("*").alias("seen"))
