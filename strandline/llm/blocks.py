@@ -4,7 +4,8 @@ Items that any candidate edge connects form a block; a pair in different blocks
 be linked. Within a block an inverted index maps shingles to item lists, and a query item's
 partners are those in at least T of its lists. The search is DivideSkip: the L longest lists are
 set aside, the short rest is merged with a heap, and whoever reaches T - L there is looked up in
-the long lists by binary search.
+the long lists by binary search. (Where there are thousands of entries or of look-ups, arrays of
+counts and marks give the same numbers sooner.)
 
 Only connectivity is asked for, so a query need not be repeated inside one component: the most
 central item is asked first, and the search ends once all items that were not asked are in one
@@ -32,6 +33,10 @@ from .components import components
 
 #: Items of a block that one task takes.
 MAX_ITEMS = 1000
+#: Short lists of up to so many entries are merged with a heap, longer ones by counting into an array.
+HEAP = 3000
+#: Up to so many (candidate, long list) pairs are looked up by binary search, more by marking the lists.
+PROBES = 20_000
 #: DivideSkip's constant: the larger it is, the fewer lists count as long.
 MU = 0.01
 
@@ -49,6 +54,8 @@ class Index:
         self.keys = np.sort(of * self.n + owner)
         self.lists = of  # the lists of item i are lists[begins[i]:begins[i + 1]]
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        alone = np.concatenate([[0], np.cumsum(counts[of] == 1)])
+        self.own = alone[self.begins[1:]] - alone[self.begins[:-1]]
 
     def lists_of(self, item: int) -> np.ndarray:
         return self.lists[self.begins[item] : self.begins[item + 1]]
@@ -64,34 +71,45 @@ class Index:
         total = np.concatenate([[0], np.cumsum(self.length(self.lists))])
         return (total[self.begins[1:]] - total[self.begins[:-1]]) / np.maximum(self.sizes, 1)
 
-    def partners(self, item: int, percent: int) -> np.ndarray:
-        """Other items whose Jaccard similarity with ``item`` is at least ``percent`` in a hundred."""
+    def partners(self, item: int, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """Items among ``wanted`` (a mask) whose Jaccard similarity with ``item`` is at least ``percent`` in a hundred.
+
+        An item shares at most the shingles that anyone else has, which rules most others out
+        before a list is read.
+        """
         size = int(self.sizes[item])
-        need = -(-percent * size // 100)
-        if need < 1:
+        most = np.minimum(self.sizes[item] - self.own[item], self.sizes - self.own)
+        wanted = wanted & (most > 0) & ((100 + percent) * most >= percent * (size + self.sizes))
+        wanted[item] = False
+        least = self.sizes[wanted]
+        if not least.size:
             return np.zeros(0, np.int64)
+        need = max(1, -(-percent * (size + int(least.min())) // (100 + percent)))
         lists = self.lists_of(item)
         lengths = self.length(lists)
+        lists, lengths = lists[lengths > 1], lengths[lengths > 1]
         order = np.argsort(lengths, kind="stable")
         lists, lengths = lists[order], lengths[order]
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(lengths[-1]))) + 1)))
         short, long_lists = lists[: lists.size - long], lists[lists.size - long :]
-        found, seen = [], []
-        for one, run in groupby(heapq.merge(*(self.items(x).tolist() for x in short[lengths[: short.size] > 1]))):
-            times = sum(1 for _ in run)
-            if times >= need - long and one != item:
-                found.append(one)
-                seen.append(times)
-        who, times = np.array(found, np.int64), np.array(seen, np.int64)
-        fits = (100 * self.sizes[who] >= percent * size) & (percent * self.sizes[who] <= 100 * size)
-        who, times = who[fits], times[fits]
-        if long:
-            step = max(1, (1 << 20) // long)
-            for k in range(0, who.size, step):
-                probes = long_lists[:, None] * self.n + who[None, k : k + step]
-                at = np.minimum(np.searchsorted(self.keys, probes), self.keys.size - 1)
-                times[k : k + step] += (self.keys[at] == probes).sum(axis=0)
-        return who[(100 + percent) * times >= percent * (size + self.sizes[who])]
+        times = np.zeros(self.n, np.int64)
+        if lengths[: short.size].sum() <= HEAP:
+            for one, run in groupby(heapq.merge(*(self.items(x).tolist() for x in short))):
+                times[one] = sum(1 for _ in run)
+        else:
+            for x in short:
+                times[self.items(x)] += 1
+        who = np.flatnonzero(wanted & (times >= need - long))
+        if long and who.size * long <= PROBES:
+            probes = long_lists[:, None] * self.n + who[None, :]
+            at = np.minimum(np.searchsorted(self.keys, probes), self.keys.size - 1)
+            times[who] += (self.keys[at] == probes).sum(axis=0)
+        elif long:
+            marked = np.zeros(self.shingles.size + 1, dtype=np.int64)
+            marked[long_lists] = 1
+            for i in who:
+                times[i] += marked[self.lists_of(i)].sum()
+        return who[(100 + percent) * times[who] >= percent * (size + self.sizes[who])]
 
 
 class Forest:
@@ -124,6 +142,14 @@ def link(sets: list[np.ndarray], percent: int, known: list | None = None, ask: n
     forest = Forest(range(n) if known is None else known)
     if n < 2:
         return forest.roots(), np.zeros(n)
+    if n == 2:  # of two items, each list that holds both is one occurrence
+        if forest.root(0) != forest.root(1):
+            both = np.concatenate(sets)
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if common and (100 + percent) * common >= percent * both.size:
+                forest.join(0, 1)
+        return forest.roots(), np.zeros(n)
     index = Index(sets)
     central = index.centrality()
     open_ = np.ones(n, dtype=bool) if ask is None else ask.copy()
@@ -144,53 +170,62 @@ def link(sets: list[np.ndarray], percent: int, known: list | None = None, ask: n
             item = waiting[0]
         waiting.remove(item)
         open_[item] = False
-        for other in index.partners(item, percent).tolist():
+        found = index.partners(item, percent, roots != roots[item])
+        for other in found.tolist():
             forest.join(item, other)
-        roots = forest.roots()
+        if found.size:
+            roots = forest.roots()
     return roots, central
 
 
-def by_group(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of rows with equal keys from batches that are sorted by them; a group may span batches."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+
+
+def _whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches, sorted by keys, cut so that no group of equal keys is in two of them."""
     rest: list[pd.DataFrame] = []
     for pdf in batches:
         if pdf.empty:
             continue
-        k = pdf[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-        if rest and (rest[-1][keys].iloc[-1].to_numpy() != k[0]).any():
-            yield pd.concat(rest, ignore_index=True)
+        last = int(_runs(pdf[keys].to_numpy())[-2])
+        if last or (rest and (rest[-1][keys].iloc[-1].to_numpy() != pdf[keys].iloc[0].to_numpy()).any()):
+            yield pd.concat([*rest, pdf.iloc[:last]], ignore_index=True)
             rest = []
-        for a, z in zip(cuts, cuts[1:]):
-            if rest and a > 0:
-                yield pd.concat(rest, ignore_index=True)
-                rest = []
-            rest.append(pdf.iloc[a:z])
+        rest.append(pdf.iloc[last:])
     if rest:
         yield pd.concat(rest, ignore_index=True)
 
 
-def _solve(make_sets: Callable[[pd.Series], list[np.ndarray]], percent: int, valid: Callable[[pd.DataFrame], np.ndarray] | None) -> Callable:
+def _solve(make_sets: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray | None]], percent: int) -> Callable:
     """A mapInPandas function over (block, part, id, known, asks, payload) sorted by block and part."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, roots, blocks, hubs, parts = [], [], [], [], []
-        for g in by_group(batches, ["block", "part"]):
-            g = g if valid is None else g[valid(g)]
-            if g.empty:
+        for pdf in _whole_groups(batches, ["block", "part"]):
+            if pdf.empty:
                 continue
-            g = g.sort_values(["id", "asks"], ascending=[True, False], kind="stable").drop_duplicates("id")
-            known, ask = (None, None) if (g.known < 0).all() else (g.known.tolist(), g.asks.to_numpy(bool))
-            root, central = link(make_sets(g.payload), percent, known, ask)
-            own = g.id.to_numpy(np.int64)
-            hub = {r: max((i for i in np.flatnonzero(root == r)), key=lambda i: central[i]) for r in np.unique(root)} if len(g) > 1 else {0: 0}
-            ids.append(own), roots.append(own[root]), blocks.append(g.block.to_numpy(np.int64)), parts.append(g.part.to_numpy(np.int64))
-            hubs.append(np.array([hub[r] == i for i, r in enumerate(root)], dtype=bool))
-            if sum(map(len, ids)) >= 5000:
-                yield pd.DataFrame({"block": np.concatenate(blocks), "part": np.concatenate(parts), "a": np.concatenate(ids), "b": np.concatenate(roots), "hub": np.concatenate(hubs)})
-                ids, roots, blocks, hubs, parts = [], [], [], [], []
-        if ids:
-            yield pd.DataFrame({"block": np.concatenate(blocks), "part": np.concatenate(parts), "a": np.concatenate(ids), "b": np.concatenate(roots), "hub": np.concatenate(hubs)})
+            keys = pdf[["block", "part"]].to_numpy()
+            ids, known, asks = pdf.id.to_numpy(np.int64), pdf.known.to_numpy(np.int64), pdf.asks.to_numpy(bool)
+            sets, own = make_sets(pdf.payload.tolist())
+            parts = []
+            cuts = _runs(keys)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                order = a + np.lexsort((~asks[a:z], ids[a:z]))
+                if own is not None:
+                    order = order[own[order] == ids[order]]
+                if not order.size:
+                    continue
+                order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+                fresh = (known[order] < 0).all()
+                root, central = link([sets[i] for i in order], percent, None if fresh else known[order].tolist(), None if fresh else asks[order])
+                hub = np.zeros(order.size, dtype=bool)
+                best = np.lexsort((-central, root))
+                hub[best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]] = True
+                parts.append((order, ids[order[root]], hub))
+            if parts:
+                order = np.concatenate([p[0] for p in parts])
+                yield pd.DataFrame({"block": keys[order, 0], "part": keys[order, 1], "a": ids[order], "b": np.concatenate([p[1] for p in parts]), "hub": np.concatenate([p[2] for p in parts])})
 
     return run
 
@@ -198,17 +233,17 @@ def _solve(make_sets: Callable[[pd.Series], list[np.ndarray]], percent: int, val
 def resolve(
     candidates: DataFrame,
     fetch: Callable[[DataFrame, int], DataFrame],
-    make_sets: Callable[[pd.Series], list[np.ndarray]],
+    make_sets: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray | None]],
     percent: int,
     scratch: Scratch,
     max_items: int = MAX_ITEMS,
-    valid: Callable[[pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Columns ``id`` and ``component`` of the items that are linked with another.
 
     candidates: pairs of long columns ``a`` and ``b`` whose transitive closure holds every link.
     fetch: adds a column ``payload`` to rows with an ``id``, given their number. make_sets: sorted
-    distinct uint64 arrays of payloads. valid: which rows of a fetched group count, if not all. A link is a Jaccard similarity of ``percent`` in a hundred
+    distinct uint64 arrays of payloads, and the ids that these payloads have, if others are to be
+    passed over. A link is a Jaccard similarity of ``percent`` in a hundred
     at least. Items with an empty set are linked with nothing.
     """
     members = scratch.keep(components(candidates, scratch).withColumnRenamed("component", "block"), "blocks")
@@ -223,7 +258,7 @@ def resolve(
 
     def solve(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "part", "id", "known", "asks", "payload").repartition("block", "part").sortWithinPartitions("block", "part")
-        return rows.mapInPandas(_solve(make_sets, percent, valid), schema)
+        return rows.mapInPandas(_solve(make_sets, percent), schema)
 
     links = scratch.keep(solve(dealt), "links")
     large = dealt.where(F.col("items") > max_items)
