@@ -36,12 +36,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     without an edge to another node are absent. An empty table gives an empty table.
     """
     now = scratch.keep(edges.where("a is not null and b is not null and a <> b").distinct(), "edges")
-    seen = None
     while True:
         following = scratch.keep(_star(_star(now, True), False), "star")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
-        if tuple(state) == seen:
-            leaves = following.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return leaves.union(following.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
-        now, seen = following, tuple(state)
+        now = following
+        if _are_stars(now):
+            leaves = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return leaves.union(now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one node, and none points to a node that points elsewhere."""
+    tails = edges.groupBy("a").agg(F.count("*").alias("n"))
+    heads = edges.select(F.col("b").alias("a")).distinct().withColumn("head", F.lit(True))
+    return tails.join(heads, "a", "left").where("n > 1 or head").isEmpty()
