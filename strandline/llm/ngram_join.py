@@ -14,17 +14,17 @@ Sets that share a signature are then searched by T-occurrence with DivideSkip (`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch, sized_join
 from ._text import mix, shingle_sets
-from .blocks import resolve
+from .blocks import MAX_ITEMS, resolve
 
 _U = np.uint64
 
@@ -37,26 +37,36 @@ def bands(percent: int, largest: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def ranges(percent: int, upper: int) -> tuple[int, int]:
-    """Number of hash ranges for sets of up to ``upper`` shingles, and how many of them may be empty; (1, 0): only equal sets link."""
+def ranges(percent: int, upper: int) -> int:
+    """Number of hash ranges for sets of up to ``upper`` shingles; 1 where only equal sets link.
+
+    One more than two sets may differ in, and a few more to make up for ranges that are empty.
+    """
     differ = (100 - percent) * 2 * upper // (100 + percent)
     if differ == 0:
-        return 1, 0
-    spare = 0 if differ < 8 else 1 + differ // 100
-    return differ + 1 + spare, spare
+        return 1
+    empty = (differ + 1) * math.exp(-upper / (differ + 1))
+    return differ + 1 + (math.ceil(empty + 2 * math.sqrt(empty)) if empty >= 0.1 else 0)
 
 
 def _signatures(s: np.ndarray, percent: int, uppers: np.ndarray) -> np.ndarray:
-    """All signatures of one sorted set."""
+    """All signatures of one sorted set.
+
+    Of m ranges, at least m - d are alike in two sets that differ in d shingles. If fewer than
+    that are empty in one of them, one that is alike is not empty; both sets emit signatures under
+    seeds 0, 1, ... up to the first under which this holds for them.
+    """
     band = int(np.searchsorted(uppers, s.size))
     out = []
     for k in (band, band + 1):
-        if k > band and s.size * 100 // percent <= uppers[band]:
+        most = min(s.size * 100 // percent, int(uppers[k]))
+        if k > band and most <= uppers[band]:
             continue
-        m, spare = ranges(percent, int(uppers[k]))
+        m = ranges(percent, int(uppers[k]))
         if m == 1:
             continue
-        bounds = (np.arange(1, m, dtype=_U) * _U((1 << 64) // m)).astype(_U)
+        differ = (100 - percent) * (s.size + most) // (100 + percent)
+        bounds = np.arange(1, m, dtype=_U) * _U((1 << 64) // m)
         seed = 0
         while True:
             t = s if seed == 0 else np.sort(mix(s ^ _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
@@ -65,48 +75,75 @@ def _signatures(s: np.ndarray, percent: int, uppers: np.ndarray) -> np.ndarray:
             np.cumsum(mix(t + _U(0x632BE59BD9B4E019)), out=total[1:])
             full = at[1:] > at[:-1]
             content = total[at[1:][full]] - total[at[:-1][full]]
-            out.append(mix(content ^ mix((np.flatnonzero(full) + (k << 40) + (seed << 54)).astype(_U))))
-            if m - int(full.sum()) <= spare:
+            place = np.flatnonzero(full).astype(_U) + _U(((k << 40) + (seed << 50)) & (1 << 64) - 1)
+            out.append(mix(content ^ mix(place)))
+            if m - int(full.sum()) < m - differ:
                 break
             seed += 1
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def _sketch(width: int, percent: int) -> Callable:
-    """mapInArrow function from (doc_id, text) to (doc_id, n_shingles, key1, key2, signatures)."""
+def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a set that is not empty; the first names its class."""
+    return mix(s).sum(), mix(s ^ _U(0xA0761D6478BD642F)).sum()
+
+
+def _sized(width: int) -> Callable:
+    """mapInArrow function from (doc_id, text) to (doc_id, n_shingles, key1, key2)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uppers = bands(percent, 1 << 16)
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             keys = np.zeros((2, batch.num_rows), _U)
-            parts, lengths = [], np.zeros(batch.num_rows + 1, np.int64)
             for row, s in shingle_sets(batch.column("text"), width):
                 n[row] = s.size
                 if s.size:
-                    keys[0, row], keys[1, row] = mix(s).sum(), mix(s ^ _U(0xA0761D6478BD642F)).sum()
-                    if s.size * 100 // percent >= uppers[-1]:
-                        uppers = bands(percent, 4 * s.size)
-                    parts.append(_signatures(s, percent, uppers))
-                    lengths[row + 1] = parts[-1].size
-            flat = np.concatenate(parts) if parts else np.zeros(0, _U)
-            lists = pa.LargeListArray.from_arrays(np.cumsum(lengths), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists.cast(pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key1", "key2", "signatures"],
-            )
+                    keys[:, row] = _keys(s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64))], ["doc_id", "n_shingles", "key1", "key2"])
+
+    return run
+
+
+def _signed(width: int, percent: int) -> Callable:
+    """mapInArrow function from (id, text) to (id, signature), for the texts whose set has the class id."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uppers = bands(percent, 1 << 16)
+
+        def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            ids = np.repeat(np.array([i for i, _ in parts], np.int64), [p.size for _, p in parts])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([p for _, p in parts]).view(np.int64))], ["id", "signature"])
+
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            parts, size = [], 0
+            for row, s in shingle_sets(batch.column("text"), width):
+                if not s.size or int(_keys(s)[0].view(np.int64)) != ids[row]:
+                    continue
+                if s.size * 100 // percent >= uppers[-1]:
+                    uppers = bands(percent, 4 * s.size)
+                parts.append((ids[row], _signatures(s, percent, uppers)))
+                size += parts[-1][1].size
+                if size > 200_000:
+                    yield rows(parts)
+                    parts, size = [], 0
+            if parts:
+                yield rows(parts)
 
     return run
 
 
 def _sets(width: int) -> Callable:
-    def make(texts: pd.Series) -> list[np.ndarray]:
-        return [s for _, s in shingle_sets(pa.array(texts, pa.large_string()), width)]
+    """Shingle sets of texts, and their class ids."""
+
+    def make(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        sets = [s for _, s in shingle_sets(texts, width)]
+        return sets, np.array([_keys(s)[0] if s.size else 0 for s in sets], dtype=_U).view(np.int64)
 
     return make
 
 
-def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (size of its shingle set), component_id.
 
     Words are runs of characters other than space and control characters 9-13 of the text with
@@ -115,28 +152,30 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
     included. A text with fewer words than ``width`` has its whole sequence as its one shingle.
 
     Defined cases: a null or wordless text has an empty set and is linked with nothing; repeated
-    rows are returned each, and link by their texts; a row without doc_id is linked like any other
-    but never names a component (null where no row of its component has a doc_id); columns other
-    than doc_id and text are not read; an empty table gives an empty table.
+    rows are returned each, and link by their texts, as do different texts of one doc_id; a row
+    without doc_id is linked with equal sets but never names a component (null where no row of its
+    set has a doc_id); columns other than doc_id and text are not read; an empty table gives an
+    empty table. Sets are told apart by 64-bit hashes.
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, n_shingles long, key1 long, key2 long, signatures array<long>"
-    sketched = scratch.keep(base.mapInArrow(_sketch(width, percent), schema), "sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
-    rows = classes.where("rep is not null").select("rep", F.explode("signatures").alias("signature"))
-    least = F.min("rep").over(Window.partitionBy("signature"))
-    pairs = rows.select(F.col("rep").alias("a"), least.alias("b")).where("a <> b").distinct()
+    sized = scratch.keep(base.mapInArrow(_sized(width), "doc_id long, n_shingles long, key1 long, key2 long"), "sizes")
+    classes = scratch.keep(sized.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    named = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key1").alias("id"))
+    texts = base.where("doc_id is not null")
+    rows = sized_join(texts, named, "doc_id", "inner", 32, named.count()).select("id", "text").mapInArrow(_signed(width, percent), "id long, signature long")
+    pairs = rows.select(F.col("id").alias("a"), F.min("id").over(Window.partitionBy("signature")).alias("b")).where("a <> b").distinct()
 
     def fetch(members: DataFrame, n: int) -> DataFrame:
-        texts = base.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("payload"))
-        return sized_join(texts, members, "id", "inner", 64, n)
-
-    found = resolve(pairs, fetch, _sets(width), percent, scratch).withColumnsRenamed({"id": "rep"})
-    reps = sketched.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(found, "rep", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    labelled = sketched.where("n_shingles > 0").drop("signatures").join(named, ["key1", "key2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = sketched.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        placed = sized_join(named, members, "id", "inner", 64, n)
+        return sized_join(texts, placed, "doc_id", "inner", 80, n).withColumnRenamed("text", "payload").drop("doc_id")
+
+    found = scratch.keep(resolve(pairs, fetch, _sets(width), percent, scratch, max_items).withColumnRenamed("id", "key1"), "found")
+    linked = classes.join(found, "key1", "left").withColumn("component", F.coalesce("component", "key1"))
+    least = linked.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
+    ids = linked.join(least, "component", "left").select("key1", "key2", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
+    labelled = sized.where("n_shingles > 0").join(ids, ["key1", "key2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    alone = sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.unionByName(alone)
 
 
