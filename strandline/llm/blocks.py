@@ -24,7 +24,8 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from .components import components
 
 #: Items of a block that one task takes.
 MAX_ITEMS = 1000
+#: Payload whose sets are held at once, unless one group has more.
+RUN_BYTES = 4 << 20
 #: Short lists of up to so many entries are merged with a heap, longer ones by counting into an array.
 HEAP = 3000
 #: Up to so many (candidate, long list) pairs are looked up by binary search, more by marking the lists.
@@ -183,49 +186,66 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
 
 
-def _whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def _columns(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(n).to_numpy() for n in names])
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Batches, sorted by keys, cut so that no group of equal keys is in two of them."""
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if pdf.empty:
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        last = int(_runs(pdf[keys].to_numpy())[-2])
-        if last or (rest and (rest[-1][keys].iloc[-1].to_numpy() != pdf[keys].iloc[0].to_numpy()).any()):
-            yield pd.concat([*rest, pdf.iloc[:last]], ignore_index=True)
+        own = _columns(batch, keys)
+        last = int(_runs(own)[-2])
+        if rest and (last or (_columns(rest[-1].slice(rest[-1].num_rows - 1), keys)[0] != own[0]).any()):
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)])
             rest = []
-        rest.append(pdf.iloc[last:])
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        rest.append(batch.slice(last))
     if rest:
-        yield pd.concat(rest, ignore_index=True)
+        yield pa.Table.from_batches(rest)
 
 
-def _solve(make_sets: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray | None]], percent: int) -> Callable:
-    """A mapInPandas function over (block, part, id, known, asks, payload) sorted by block and part."""
+def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]], percent: int) -> Callable:
+    """A mapInArrow function over (block, part, id, known, asks, payload) sorted by block and part.
+
+    Groups are solved in runs of about RUN_BYTES of payload, so a task holds little more than its largest group.
+    """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_groups(batches, ["block", "part"]):
-            if pdf.empty:
-                continue
-            keys = pdf[["block", "part"]].to_numpy()
-            ids, known, asks = pdf.id.to_numpy(np.int64), pdf.known.to_numpy(np.int64), pdf.asks.to_numpy(bool)
-            sets, own = make_sets(pdf.payload.tolist())
-            parts = []
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["block", "part"]):
+            keys = _columns(table, ["block", "part"])
+            ids, known, asks = (table.column(c).to_numpy() for c in ("id", "known", "asks"))
+            payload = table.column("payload").cast(pa.large_string())
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(payload).to_numpy())])
             cuts = _runs(keys)
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                order = a + np.lexsort((~asks[a:z], ids[a:z]))
-                if own is not None:
-                    order = order[own[order] == ids[order]]
-                if not order.size:
-                    continue
-                order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
-                fresh = (known[order] < 0).all()
-                root, central = link([sets[i] for i in order], percent, None if fresh else known[order].tolist(), None if fresh else asks[order])
-                hub = np.zeros(order.size, dtype=bool)
-                best = np.lexsort((-central, root))
-                hub[best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]] = True
-                parts.append((order, ids[order[root]], hub))
-            if parts:
-                order = np.concatenate([p[0] for p in parts])
-                yield pd.DataFrame({"block": keys[order, 0], "part": keys[order, 1], "a": ids[order], "b": np.concatenate([p[1] for p in parts]), "hub": np.concatenate([p[2] for p in parts])})
+            first = 0
+            while first < cuts.size - 1:
+                last = first + 1
+                while last < cuts.size - 1 and size[cuts[last + 1]] - size[cuts[first]] <= RUN_BYTES:
+                    last += 1
+                base = int(cuts[first])
+                sets, own = make_sets(payload.slice(base, int(cuts[last]) - base).combine_chunks())
+                parts = []
+                for a, z in zip(cuts[first:last].tolist(), cuts[first + 1 : last + 1].tolist()):
+                    order = a + np.lexsort((~asks[a:z], ids[a:z]))
+                    order = order[own[order - base] == ids[order]]
+                    if not order.size:
+                        continue
+                    order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+                    fresh = (known[order] < 0).all() and asks[order].all()
+                    root, central = link([sets[i] for i in order - base], percent, None if fresh else known[order].tolist(), None if fresh else asks[order])
+                    hub = np.zeros(order.size, dtype=bool)
+                    best = np.lexsort((-central, root))
+                    hub[best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]] = True
+                    parts.append((order, ids[order[root]], hub))
+                if parts:
+                    order = np.concatenate([p[0] for p in parts])
+                    columns = [keys[order, 0], keys[order, 1], ids[order], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "part", "a", "b", "hub"])
+                first = last
 
     return run
 
@@ -233,7 +253,7 @@ def _solve(make_sets: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray |
 def resolve(
     candidates: DataFrame,
     fetch: Callable[[DataFrame, int], DataFrame],
-    make_sets: Callable[[list[str]], tuple[list[np.ndarray], np.ndarray | None]],
+    make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]],
     percent: int,
     scratch: Scratch,
     max_items: int = MAX_ITEMS,
@@ -242,7 +262,7 @@ def resolve(
 
     candidates: pairs of long columns ``a`` and ``b`` whose transitive closure holds every link.
     fetch: adds a column ``payload`` to rows with an ``id``, given their number. make_sets: sorted
-    distinct uint64 arrays of payloads, and the ids that these payloads have, if others are to be
+    distinct uint64 arrays of payloads, and the ids of these payloads; rows with another id are
     passed over. A link is a Jaccard similarity of ``percent`` in a hundred
     at least. Items with an empty set are linked with nothing.
     """
@@ -258,7 +278,7 @@ def resolve(
 
     def solve(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "part", "id", "known", "asks", "payload").repartition("block", "part").sortWithinPartitions("block", "part")
-        return rows.mapInPandas(_solve(make_sets, percent), schema)
+        return rows.mapInArrow(_solve(make_sets, percent), schema)
 
     links = scratch.keep(solve(dealt), "links")
     large = dealt.where(F.col("items") > max_items)
