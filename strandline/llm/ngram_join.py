@@ -182,10 +182,18 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; columns stay as they are.
 
-    Of rows that repeat a doc_id and link, one (the least text) stays; rows without doc_id stay
-    unless their component has a row with one.
+    Rows that repeat a doc_id and its text stay once. Different texts of one doc_id stay together,
+    or go together if one of them is linked with a smaller doc_id. Rows without doc_id stay.
     """
-    labels = ngram_jaccard_components(docs, width, percent)
-    lost = labels.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti")
-    return kept
+    scratch = Scratch(docs.sparkSession, "one")
+    labels = scratch.keep(ngram_jaccard_components(docs, width, percent), "labels")
+    lost = scratch.keep(labels.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
+    kept = sized_join(docs, lost, "doc_id", "left_anti", 16, lost.count())
+    twice = scratch.keep(labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    n = twice.count()
+    if not n:
+        return kept.select(*docs.columns)
+    some = sized_join(kept, twice, "doc_id", "left_semi", 16, n)
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    some = some.withColumn("__turn", turn).where("__turn = 1").drop("__turn").select(*docs.columns)
+    return sized_join(kept, twice, "doc_id", "left_anti", 16, n).select(*docs.columns).unionByName(some)

@@ -61,6 +61,8 @@ def test_one_of_each_group_stays(spark):
     kept = ngram_join.keep_one_of_each(rows(spark, EDGES), 4, 85)
     assert kept.columns == ["doc_id", "text", "block", "component"]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 9]
+    again = ngram_join.keep_one_of_each(rows(spark, [*EDGES, (8, "words two"), (8, "another text of this document")]), 4, 85)
+    assert sorted(r.text for r in again.collect() if r.doc_id == 8) == ["another text of this document", "words two"]
 
 
 def test_signatures_lose_no_link():
