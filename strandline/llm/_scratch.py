@@ -34,6 +34,7 @@ class Scratch:
         self.spark = ship(spark)
         self.base = f"{scratch_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[str] = []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -42,6 +43,7 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         at = self.path(label)
         df.write.parquet(at)
+        self.tables.append(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._strandline_path = at
         return out
@@ -49,8 +51,19 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         at = getattr(df, "_strandline_path", None)
         if at:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(at)
+
+    def clear(self, *still_read: DataFrame) -> None:
+        """Free all tables but those that ``still_read`` names; what was derived from the others must have been kept before."""
+        stay = {getattr(df, "_strandline_path", None) for df in still_read}
+        for at in self.tables:
+            if at not in stay:
+                self._delete(at)
+        self.tables = [at for at in self.tables if at in stay]
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int, rows: int) -> DataFrame:

@@ -171,6 +171,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
         return sized_join(texts, placed, "doc_id", "inner", 80, n).withColumnRenamed("text", "payload").drop("doc_id")
 
     found = scratch.keep(resolve(pairs, fetch, _sets(width), percent, scratch, max_items).withColumnRenamed("id", "key1"), "found")
+    scratch.clear(sized, classes, found)
     linked = classes.join(found, "key1", "left").withColumn("component", F.coalesce("component", "key1"))
     least = linked.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
     ids = linked.join(least, "component", "left").select("key1", "key2", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
@@ -186,7 +187,9 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     or go together if one of them is linked with a smaller doc_id. Rows without doc_id stay.
     """
     scratch = Scratch(docs.sparkSession, "one")
-    labels = scratch.keep(ngram_jaccard_components(docs, width, percent), "labels")
+    inner = Scratch(docs.sparkSession, "ngram")
+    labels = scratch.keep(ngram_jaccard_components(docs, width, percent, inner), "labels")
+    inner.clear()
     lost = scratch.keep(labels.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
     kept = sized_join(docs, lost, "doc_id", "left_anti", 16, lost.count())
     twice = scratch.keep(labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
