@@ -2,8 +2,9 @@
 
 Pages become WARC records; records are dealt to files and have an offset and a length in their
 file. A record's digest is a leaf; a node of the next level is the digest of ``FANOUT`` successive
-ranges with their offsets, lengths and digests, up to one root for each file. Two replicas are
-compared from the roots down: only children of nodes that differ are joined, so an audit of
+ranges with their offsets, lengths and digests, up to one root for each file. File, place and
+offset are those of one manifest, our records; a replica's digests are joined to it by record.
+Two replicas are compared from the roots down: only children of nodes that differ are joined, so an audit of
 intact files reads one digest for each file, and a damaged record is found in as many steps as
 its tree has levels.
 """
@@ -38,21 +39,56 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(*lines)
 
 
+def _leaves(pages: DataFrame, files: int) -> DataFrame:
+    """page_id, url, file, length and digest of each row's record."""
+    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    raw = pages.select("page_id", url.alias("url"), F.encode(warc_record(F.col("page_id"), url, html), "UTF-8").alias("record"))
+    raw = raw.withColumn("file", F.pmod(F.xxhash64("page_id", "url"), F.lit(files)).cast("int"))
+    return raw.select("page_id", "url", "file", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+
+
+def _numbered(leaves: DataFrame) -> DataFrame:
+    """``leaves`` with seq (place in the file) and offset."""
+    order = Window.partitionBy("file").orderBy("page_id", "url", "digest")
+    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return leaves.withColumns({"seq": (F.row_number().over(order) - 1).cast("long"), "offset": F.coalesce(before, F.lit(0)).cast("long")})
+
+
 def as_records(pages: DataFrame, files: int | None = None) -> DataFrame:
-    """page_id, file, seq (place in the file), offset, length and record (binary) of each row.
+    """page_id, url, file, length, digest, seq (place in the file) and offset of each row's record.
 
     Files hold about RECORDS_PER_FILE records, dealt by a hash of the page's id and URL; in a
     file, records are ordered by page_id, then URL, then digest. Nulls sort first. Only lengths
     are shuffled to number the records, not their content.
     """
-    files = files or max(1, math.ceil(pages.count() / RECORDS_PER_FILE))
-    url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    raw = pages.select("page_id", url.alias("url"), F.encode(warc_record(F.col("page_id"), url, html), "UTF-8").alias("record"))
-    raw = raw.withColumn("file", F.pmod(F.xxhash64("page_id", "url"), F.lit(files)).cast("int"))
-    leaf = raw.select("page_id", "url", "file", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "digest")
-    before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return leaf.withColumns({"seq": (F.row_number().over(order) - 1).cast("long"), "offset": F.coalesce(before, F.lit(0)).cast("long")}).drop("url")
+    return _numbered(_leaves(pages, files or max(1, math.ceil(pages.count() / RECORDS_PER_FILE))))
+
+
+def as_replica(pages: DataFrame, manifest: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Records of a replica's ``pages``, with file, seq and offset of the record of ``manifest`` that each should be.
+
+    A record that changed its length or is gone thus moves no other. Records are told by page_id
+    and URL (nulls are equal). Where these repeat, records of equal digests are paired first, and
+    those left over by their order. What ``manifest`` (the columns of ``as_records``) does not
+    list is put behind the end of its file.
+    """
+    scratch = scratch or Scratch(pages.sparkSession, "replica")
+    files = (manifest.agg(F.max("file")).first()[0] or 0) + 1
+    ours = manifest.select("page_id", "url", "file", "length", "digest", "seq", "offset", F.lit(False).alias("theirs"))
+    theirs = _leaves(pages, files).withColumns({"seq": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "theirs": F.lit(True)})
+    both = ours.unionByName(theirs).repartition("page_id", "url")
+    both = both.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "url", "digest", "theirs").orderBy("seq")))
+    both = both.withColumn("paired", F.count("*").over(Window.partitionBy("page_id", "url", "digest", "n")) == 2)
+    both = both.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "url", "theirs", "paired").orderBy("digest", "n")))
+    own = lambda c, side: F.max(F.when(F.col("theirs") == side, F.col(c))).alias(c)
+    placed = both.groupBy("page_id", "url", "paired", "k").agg(
+        F.coalesce(own("file", False), F.max("file")).alias("file"), own("length", True), own("digest", True), own("seq", False), own("offset", False)
+    )
+    placed = scratch.keep(placed.where("digest is not null").drop("paired", "k"), "placed")
+    ends = manifest.groupBy("file").agg((F.max("seq") + 1).alias("last"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    more = _numbered(placed.where("seq is null").drop("seq", "offset")).join(ends, "file", "left")
+    more = more.withColumns({"seq": F.col("seq") + F.coalesce("last", F.lit(0)), "offset": F.col("offset") + F.coalesce("end", F.lit(0))}).drop("last", "end")
+    return placed.where("seq is not null").unionByName(more)
 
 
 def merkle_tree(leaves: DataFrame, scratch: Scratch, fanout: int = FANOUT, label: str = "tree") -> tuple[DataFrame, int]:
@@ -101,7 +137,7 @@ def audit(ours: DataFrame, theirs: DataFrame, scratch: Scratch, fanout: int = FA
 def fixity_report(records: DataFrame, replica: DataFrame, scratch: Scratch | None = None, fanout: int = FANOUT) -> DataFrame:
     """Every record of ``records`` with status: intact, damaged or missing; and ``unexpected`` records of the replica.
 
-    Both have the columns of ``as_records``. Defined cases: an empty replica makes all records
+    Both have the columns of ``as_records``; ``as_replica`` gives a replica the places of ``records``. Defined cases: an empty replica makes all records
     missing; equal tables make all intact; null URLs and texts are empty in their records.
     """
     scratch = scratch or Scratch(records.sparkSession, "fixity")
