@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_classifier, warc
 from .chat_format import format_conversations, read_loss, read_turns
 from .decontaminate import contained_items
-from .line_dedup import dedup_lines
+from .line_dedup import NARROW, dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality_rules import learn_rules, with_statistics, with_verdict
@@ -41,7 +41,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines before and after, and the length and digest of the remaining text."""
-    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    kept = dedup_lines(table(spark, sf_dir, "documents"), width=NARROW)
     return kept.select("doc_id", F.col("line_count_in").alias("n_lines"), F.col("line_count_out").alias("n_kept"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
