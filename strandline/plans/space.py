@@ -131,7 +131,7 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gmm_weights(spark: SparkSession, sf: str) -> DataFrame:
-    out, _ = learning.mixture(frames(spark, sf).select("vec_id", F.slice("x", 1, 3).alias("x")), "x", 3)
+    out, _ = learning.mixture(frames(spark, sf), "x", 3)
     return rounded(out.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.array_max("probability")).alias("certainty")), 4)
 
 
