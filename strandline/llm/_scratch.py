@@ -6,33 +6,24 @@ again, so a lost executor costs the tasks it was running and nothing before them
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_root
 from ..session import ship
 
 #: A side of a join is broadcast only when its counted rows, at their estimated width, stay below this.
 BROADCAST_BYTES = 32 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set up only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables of one operator run. ``keep`` writes and rereads one; ``drop`` frees one that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ship(spark)
-        self.base = f"{scratch_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+        self.base = f"{shared_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.tables: list[str] = []
 
@@ -71,3 +62,15 @@ def sized_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str,
     if rows * row_bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("shuffle_hash"), on, how)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that differ from the columns ``taken``, whatever their case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out

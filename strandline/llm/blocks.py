@@ -4,8 +4,7 @@ Items that any candidate edge connects form a block; a pair in different blocks
 be linked. Within a block an inverted index maps shingles to item lists, and a query item's
 partners are those in at least T of its lists. The search is DivideSkip: the L longest lists are
 set aside, the short rest is merged with a heap, and whoever reaches T - L there is looked up in
-the long lists by binary search. (Where there are thousands of entries or of look-ups, arrays of
-counts and marks give the same numbers sooner.)
+the long lists by binary search.
 
 Only connectivity is asked for, so a query need not be repeated inside one component: the most
 central item is asked first, and the search ends once all items that were not asked are in one
@@ -29,17 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
+from ._scratch import Scratch, sized_join
 from .components import components
 
 #: Items of a block that one task takes.
 MAX_ITEMS = 1000
 #: Payload whose sets are held at once, unless one group has more.
 RUN_BYTES = 4 << 20
-#: Short lists of up to so many entries are merged with a heap, longer ones by counting into an array.
-HEAP = 3000
-#: Up to so many (candidate, long list) pairs are looked up by binary search, more by marking the lists.
-PROBES = 20_000
+#: Look-ups that are done at once.
+PROBES = 1 << 20
 #: DivideSkip's constant: the larger it is, the fewer lists count as long.
 MU = 0.01
 
@@ -59,6 +56,7 @@ class Index:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         alone = np.concatenate([[0], np.cumsum(counts[of] == 1)])
         self.own = alone[self.begins[1:]] - alone[self.begins[:-1]]
+        self.merged, self.probed = 0, 0  # entries merged by the heap, and look-ups in long lists
 
     def lists_of(self, item: int) -> np.ndarray:
         return self.lists[self.begins[item] : self.begins[item + 1]]
@@ -96,22 +94,16 @@ class Index:
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(lengths[-1]))) + 1)))
         short, long_lists = lists[: lists.size - long], lists[lists.size - long :]
         times = np.zeros(self.n, np.int64)
-        if lengths[: short.size].sum() <= HEAP:
-            for one, run in groupby(heapq.merge(*(self.items(x).tolist() for x in short))):
-                times[one] = sum(1 for _ in run)
-        else:
-            for x in short:
-                times[self.items(x)] += 1
+        for one, run in groupby(heapq.merge(*(self.items(x).tolist() for x in short.tolist()))):
+            times[one] = sum(1 for _ in run)
+        self.merged += int(times.sum())
         who = np.flatnonzero(wanted & (times >= need - long))
-        if long and who.size * long <= PROBES:
-            probes = long_lists[:, None] * self.n + who[None, :]
-            at = np.minimum(np.searchsorted(self.keys, probes), self.keys.size - 1)
-            times[who] += (self.keys[at] == probes).sum(axis=0)
-        elif long:
-            marked = np.zeros(self.shingles.size + 1, dtype=np.int64)
-            marked[long_lists] = 1
-            for i in who:
-                times[i] += marked[self.lists_of(i)].sum()
+        step = max(1, PROBES // max(1, who.size))
+        for at in range(0, long if who.size else 0, step):
+            probes = long_lists[at : at + step, None] * self.n + who[None, :]
+            found = np.minimum(np.searchsorted(self.keys, probes), self.keys.size - 1)
+            times[who] += (self.keys[found] == probes).sum(axis=0)
+            self.probed += probes.size
         return who[(100 + percent) * times[who] >= percent * (size + self.sizes[who])]
 
 
@@ -145,14 +137,6 @@ def link(sets: list[np.ndarray], percent: int, known: list | None = None, ask: n
     forest = Forest(range(n) if known is None else known)
     if n < 2:
         return forest.roots(), np.zeros(n)
-    if n == 2:  # of two items, each list that holds both is one occurrence
-        if forest.root(0) != forest.root(1):
-            both = np.concatenate(sets)
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if common and (100 + percent) * common >= percent * both.size:
-                forest.join(0, 1)
-        return forest.roots(), np.zeros(n)
     index = Index(sets)
     central = index.centrality()
     open_ = np.ones(n, dtype=bool) if ask is None else ask.copy()
@@ -240,11 +224,10 @@ def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]],
                     hub = np.zeros(order.size, dtype=bool)
                     best = np.lexsort((-central, root))
                     hub[best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]] = True
-                    parts.append((order, ids[order[root]], hub))
+                    parts.append((order, ids[order[root]], hub, np.bincount(root, minlength=order.size)[root] == 1))
                 if parts:
-                    order = np.concatenate([p[0] for p in parts])
-                    columns = [keys[order, 0], keys[order, 1], ids[order], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "part", "a", "b", "hub"])
+                    order, least, hub, alone = (np.concatenate(c) for c in zip(*parts))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[order, 0], keys[order, 1], ids[order], least, hub, alone)], ["block", "part", "a", "b", "hub", "alone"])
                 first = last
 
     return run
@@ -267,46 +250,54 @@ def resolve(
     at least. Items with an empty set are linked with nothing.
     """
     members = scratch.keep(components(candidates, scratch).withColumnRenamed("component", "block"), "blocks")
-    sizes = members.groupBy("block").agg(F.count("*").alias("items"))
-    members = members.join(sizes, "block")
+    large = scratch.keep(members.groupBy("block").agg(F.count("*").alias("items")).where(F.col("items") > max_items), "large")
+    n_large = large.count()
+    dealt = sized_join(members, large, "block", "left", 32, n_large)
     parts = F.ceil(F.col("items") / max_items)
-    dealt = members.select(
-        "block", "id", "items", F.when(F.col("items") <= max_items, 0).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("long").alias("part"), F.lit(-1).cast("long").alias("known"), F.lit(True).alias("asks")
+    dealt = dealt.select(
+        "block", "id", "items", F.when(F.col("items").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("long").alias("part"), F.lit(-1).cast("long").alias("known"), F.lit(True).alias("asks")
     )
-    dealt = scratch.keep(fetch(dealt, members.count()), "members")
-    schema = "block long, part long, a long, b long, hub boolean"
+    dealt = fetch(dealt, members.count())
+    if n_large:
+        dealt = scratch.keep(dealt, "members")
+    schema = "block long, part long, a long, b long, hub boolean, alone boolean"
 
     def solve(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "part", "id", "known", "asks", "payload").repartition("block", "part").sortWithinPartitions("block", "part")
         return rows.mapInArrow(_solve(make_sets, percent), schema)
 
     links = scratch.keep(solve(dealt), "links")
-    large = dealt.where(F.col("items") > max_items)
-    if not large.isEmpty():
-        links = _join_parts(large, links, solve, max_items, scratch)
-    return components(links.select("a", "b"), scratch)
+    found = links.where("part = -1 and not alone").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if not n_large:
+        return found
+    apart = _join_parts(dealt.where("part >= 0"), links.where("part >= 0"), solve, max_items, n_large, scratch)
+    return found.union(components(apart.select("a", "b"), scratch).select("id", "component"))
+
 
+def _join_parts(large: DataFrame, links: DataFrame, solve: Callable[[DataFrame], DataFrame], max_items: int, n_large: int, scratch: Scratch) -> DataFrame:
+    """Links between the parts of the ``n_large`` blocks that were dealt to several tasks.
 
-def _join_parts(large: DataFrame, links: DataFrame, solve: Callable[[DataFrame], DataFrame], max_items: int, scratch: Scratch) -> DataFrame:
-    """Links between the parts of blocks that were dealt to several tasks."""
-    hubs = links.where("hub").select(F.col("a").alias("id"), "block").distinct()
+    Per block, one row is joined with its items, by broadcast as long as these rows are few: a
+    block may hold a third of all items, and no task gathers them.
+    """
+    links = links.select("block", "part", "a", "b", "hub")
+    hubs = scratch.keep(links.where("hub").select(F.col("a").alias("id"), "block").distinct(), "hubs")
     # The hubs of a block, again in parts of bounded size; one round brings most parts of a group of copies together.
-    met = large.drop("part").join(hubs, ["block", "id"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("items") / (max_items * max_items))))
+    met = sized_join(large.drop("part"), hubs, ["block", "id"], "inner", 32, hubs.count()).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("items") / (max_items * max_items))))
     turns = Window.partitionBy("block", "part").orderBy("id")
     some = met.withColumn("turn", F.row_number().over(turns)).where(F.col("turn") <= max_items)
-    links = scratch.keep(links.drop("hub").unionByName(solve(some).drop("hub")), "links")
-    found = components(links.select("a", "b"), scratch)
-    labelled = large.drop("known", "asks").join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
+    links = scratch.keep(links.drop("hub").unionByName(solve(some).drop("hub", "alone")), "links")
+    found = scratch.keep(components(links.select("a", "b"), scratch), "found")
+    labelled = sized_join(large.drop("known", "asks"), found, "id", "left", 32, found.count()).withColumn("known", F.coalesce("component", "id")).drop("component")
     labelled = scratch.keep(labelled, "labelled")
     tops = labelled.groupBy("block", "known").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("known", F.struct("n", "known")).alias("top"))
-    rest = labelled.join(tops, "block").where("known <> top")
-    waves = rest.groupBy("block").agg(F.ceil(F.count("*") / max_items).alias("waves"), F.first("items").alias("of"))
+    rest = sized_join(labelled, tops, "block", "inner", 32, n_large).where("known <> top")
+    waves = scratch.keep(rest.groupBy("block").agg(F.ceil(F.count("*") / max_items).alias("waves")), "waves")
     if waves.isEmpty():
         return links
-    asked = rest.join(waves.drop("of"), "block").withColumn("wave", F.pmod(F.xxhash64("id", F.lit(2)), "waves"))
+    asked = sized_join(rest, waves, "block", "inner", 32, n_large).withColumn("wave", F.pmod(F.xxhash64("id", F.lit(2)), "waves"))
     spread = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("items") / max_items) - 1).cast("int")))
     queries = asked.withColumn("part", spread).select("block", (F.col("part") * F.col("waves") + F.col("wave")).alias("part"), "id", "known", F.lit(True).alias("asks"), "payload")
-    against = labelled.join(waves.drop("of"), "block").withColumn("wave", F.explode(F.sequence(F.lit(0), (F.col("waves") - 1).cast("int"))))
+    against = sized_join(labelled, waves, "block", "inner", 32, n_large).withColumn("wave", F.explode(F.sequence(F.lit(0), (F.col("waves") - 1).cast("int"))))
     against = against.select("block", (F.col("part") * F.col("waves") + F.col("wave")).alias("part"), "id", "known", F.lit(False).alias("asks"), "payload")
-    return scratch.keep(links.unionByName(solve(queries.unionByName(against)).drop("hub")), "links")
-
+    return scratch.keep(links.unionByName(solve(queries.unionByName(against)).drop("hub", "alone")), "links")

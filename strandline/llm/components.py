@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is one shuffle of the edges; their number shrinks to one edge per node, and the number
-of steps grows with the logarithm of the longest chain. A star step reads only each node's
-minimum neighbour, which is aggregated before the shuffle, so a hub costs no single task its
-whole neighbourhood.
+of steps grows with the logarithm of the longest chain. A step joins every edge with the least
+neighbour of its node, which is aggregated before the shuffle. Nodes that hold more than a
+``HUB``-th of all edges, of which there are less than 2 * ``HUB``, are joined by broadcast, so that
+no task gathers a hub's edges.
 """
 
 from __future__ import annotations
@@ -13,15 +14,23 @@ from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
+HUB = 500
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Point neighbours at the least node of the closed neighbourhood: larger ones, or the node and smaller ones."""
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+    """Point neighbours at the least node of the closed neighbourhood: larger ones, or the node and smaller ones.
+
+    hub: from how many edges on a node is joined by broadcast.
+    """
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+    hubs = least.where(F.col("degree") > hub).select("u", F.col("m").alias("of_hub"))
+    marked = both.join(F.broadcast(hubs), "u", "left")
+    joined = marked.where("of_hub is null").join(least.where(F.col("degree") <= hub), "u").select("u", "v", "m")
+    joined = joined.union(marked.where("of_hub is not null").select("u", "v", "of_hub"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,8 +46,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = scratch.keep(edges.where("a is not null and b is not null and a <> b").distinct(), "edges")
     while True:
-        following = scratch.keep(_star(_star(now, True), False), "star")
+        hub = max(1000, now.count() // HUB)
+        middle = scratch.keep(_star(now, True, hub), "star")
+        following = scratch.keep(_star(middle, False, hub), "star")
         scratch.drop(now)
+        scratch.drop(middle)
         now = following
         if _are_stars(now):
             leaves = now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -1,132 +1,164 @@
 """N-gram Jaccard join: documents whose sets of word shingles are similar, and their components.
 
-Equal sets are one class, represented by the least doc_id. Candidates among the classes come from
-a signature scheme that loses no link: two sets with Jaccard similarity t differ in at most
-(1 - t) / (1 + t) of their joint size, so of more hash ranges than that, at least one holds the
-same shingles in both. Each set emits the hash of its content of every range, under the number of
-ranges for its own size band and, if a partner may be larger, for the next. A range that is empty
-in both would prove nothing; the number of ranges allows for a few, and a set with more empty
-ones emits signatures under further seeds until one has few. A class that shares no signature
-has no partner, and its text is not read again.
-
-Sets that share a signature are then searched by T-occurrence with DivideSkip (``blocks``).
+Equal sets are one class. Classes are found by T-occurrence over an inverted index of shingles. A
+set of n shingles shares at least T of them with a partner, and DivideSkip sets its T - 1 longest
+lists aside: a partner reaches T - (T - 1) in the n - T + 1 short ones, those of the shingles that
+are rarest in the corpus. So each class is posted in its short lists only, and who shares none with
+it is no partner. List lengths come from one table of ``SLOTS`` counts over all documents, by a
+hash of the shingle; any order that is the same for all sets loses nothing.
+
+Lists become candidate edges (``lists``), whose connected classes form small blocks. Inside a
+block the search is done with the block's own lists and DivideSkip's own number of long ones: a
+heap merges the short, binary search probes the long, and who reaches the overlap is linked
+(``blocks``). A class in no block has no partner, and its text is not read again.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch, sized_join
+from ._scratch import Scratch, fresh, sized_join
 from ._text import mix, shingle_sets
 from .blocks import MAX_ITEMS, resolve
+from .lists import LONGEST, SPREAD, bitmap, candidate_edges
 
+#: Counts of shingles by hash; a bounded table, whatever the corpus. They travel in pieces of CHUNK counts.
+SLOTS = 1 << 20
+CHUNK = 1 << 12
+_SHIFT = np.uint64(64 - 20)
 _U = np.uint64
 
 
-def bands(percent: int, largest: int) -> np.ndarray:
-    """Upper size bounds; a partner of a set in one band is in it, in the next, or in the one before."""
-    out = [1]
-    while out[-1] < largest:
-        out.append(max(out[-1] + 1, out[-1] * 100 // percent))
-    return np.array(out, dtype=np.int64)
-
-
-def ranges(percent: int, upper: int) -> int:
-    """Number of hash ranges for sets of up to ``upper`` shingles; 1 where only equal sets link.
-
-    One more than two sets may differ in, and a few more to make up for ranges that are empty.
-    """
-    differ = (100 - percent) * 2 * upper // (100 + percent)
-    if differ == 0:
-        return 1
-    empty = (differ + 1) * math.exp(-upper / (differ + 1))
-    return differ + 1 + (math.ceil(empty + 2 * math.sqrt(empty)) if empty >= 0.1 else 0)
-
-
-def _signatures(s: np.ndarray, percent: int, uppers: np.ndarray) -> np.ndarray:
-    """All signatures of one sorted set.
-
-    Of m ranges, at least m - d are alike in two sets that differ in d shingles. If fewer than
-    that are empty in one of them, one that is alike is not empty; both sets emit signatures under
-    seeds 0, 1, ... up to the first under which this holds for them.
-    """
-    band = int(np.searchsorted(uppers, s.size))
-    out = []
-    for k in (band, band + 1):
-        most = min(s.size * 100 // percent, int(uppers[k]))
-        if k > band and most <= uppers[band]:
-            continue
-        m = ranges(percent, int(uppers[k]))
-        if m == 1:
-            continue
-        differ = (100 - percent) * (s.size + most) // (100 + percent)
-        bounds = np.arange(1, m, dtype=_U) * _U((1 << 64) // m)
-        seed = 0
-        while True:
-            t = s if seed == 0 else np.sort(mix(s ^ _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-            at = np.concatenate([[0], np.searchsorted(t, bounds), [t.size]])
-            total = np.zeros(t.size + 1, dtype=_U)
-            np.cumsum(mix(t + _U(0x632BE59BD9B4E019)), out=total[1:])
-            full = at[1:] > at[:-1]
-            content = total[at[1:][full]] - total[at[:-1][full]]
-            place = np.flatnonzero(full).astype(_U) + _U(((k << 40) + (seed << 50)) & (1 << 64) - 1)
-            out.append(mix(content ^ mix(place)))
-            if m - int(full.sum()) < m - differ:
-                break
-            seed += 1
-    return np.concatenate(out) if out else np.zeros(0, _U)
-
-
 def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     """Two hashes of a set that is not empty; the first names its class."""
     return mix(s).sum(), mix(s ^ _U(0xA0761D6478BD642F)).sum()
 
 
 def _sized(width: int) -> Callable:
-    """mapInArrow function from (doc_id, text) to (doc_id, n_shingles, key1, key2)."""
+    """mapInArrow function from (doc_id, text) to (doc_id, n_shingles, key1, key2, bits, chunk).
+
+    Rows with a chunk are no documents: their bits hold counts of the task's shingles by slot.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        waiting: list[np.ndarray] = []
+        names = ["doc_id", "n_shingles", "key1", "key2", "bits", "chunk"]
+
+        def count() -> None:
+            if waiting:
+                np.add(counts, np.bincount((np.concatenate(waiting) >> _SHIFT).astype(np.int64), minlength=SLOTS), out=counts)
+                waiting.clear()
+
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             keys = np.zeros((2, batch.num_rows), _U)
+            maps: list[bytes | None] = [None] * batch.num_rows
+            size = 0
             for row, s in shingle_sets(batch.column("text"), width):
                 n[row] = s.size
                 if s.size:
                     keys[:, row] = _keys(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64))], ["doc_id", "n_shingles", "key1", "key2"])
+                    maps[row] = bitmap(s)
+                    waiting.append(s)
+                    size += s.size
+                    if size > SLOTS:
+                        count()
+                        size = 0
+            count()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(maps, pa.binary()), pa.nulls(batch.num_rows, pa.int32())], names)
+        pieces = counts.reshape(-1, CHUNK)
+        full = np.flatnonzero(pieces.any(axis=1))
+        none = pa.nulls(full.size, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([zlib.compress(pieces[k].tobytes(), 1) for k in full], pa.binary()), pa.array(full.astype(np.int32))], names)
 
     return run
 
 
-def _signed(width: int, percent: int) -> Callable:
-    """mapInArrow function from (id, text) to (id, signature), for the texts whose set has the class id."""
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces (chunk, bits), sorted by chunk."""
+    own, total = None, np.zeros(CHUNK, np.int64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "bits"])
+
+    for batch in batches:
+        for chunk, bits in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist()):
+            if chunk != own:
+                if own is not None:
+                    yield row()
+                own, total = chunk, np.zeros(CHUNK, np.int64)
+            total += np.frombuffer(zlib.decompress(bits), np.int64)
+    if own is not None:
+        yield row()
+
+
+def _frequencies(sized: DataFrame) -> tuple[bytes, int]:
+    """The table of counts, compressed, and their sum. The driver sees ``SLOTS`` numbers."""
+    pieces = sized.where("chunk is not null").select("chunk", "bits").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, "chunk int, bits binary").collect()
+    table = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
+    for chunk, bits in pieces:
+        table[chunk] = np.frombuffer(zlib.decompress(bits), np.int64)
+    return zlib.compress(table.tobytes(), 1), int(table.sum())
+
+
+@lru_cache(maxsize=2)
+def _table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int64)
+
+
+def rarest(s: np.ndarray, percent: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a sorted set's short lists, and the lengths that the table tells.
+
+    A set that has no partner but itself, at its size, has none.
+    """
+    need = -(-percent * s.size // 100)
+    if need == s.size and s.size * 100 // percent == s.size:
+        return s[:0], table[:0]
+    length = table[(s >> _SHIFT).astype(np.int64)]
+    order = np.argsort(length, kind="stable")[: s.size - need + 1]
+    return s[order], length[order]
+
+
+def _posted(width: int, percent: int, packed: bytes, hot: int) -> Callable:
+    """mapInArrow function from texts to postings (list, spread, id); equal sets are posted once a task as far as it remembers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uppers = bands(percent, 1 << 16)
+        table = _table(packed)
+        seen: set[int] = set()
 
-        def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-            ids = np.repeat(np.array([i for i, _ in parts], np.int64), [p.size for _, p in parts])
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([p for _, p in parts]).view(np.int64))], ["id", "signature"])
+        def rows(parts: list[tuple[np.uint64, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            lists = np.concatenate([p[1] for p in parts])
+            length = np.concatenate([p[2] for p in parts])
+            ids = np.repeat(np.array([p[0] for p in parts], _U), [p[1].size for p in parts])
+            spread = np.where(length > hot, (ids % _U(SPREAD)).astype(np.int64) + 1, 0)
+            return pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(spread), pa.array(ids.view(np.int64))], ["list", "spread", "id"])
 
         for batch in batches:
-            ids = batch.column("id").to_pylist()
             parts, size = [], 0
-            for row, s in shingle_sets(batch.column("text"), width):
-                if not s.size or int(_keys(s)[0].view(np.int64)) != ids[row]:
+            for _, s in shingle_sets(batch.column("text"), width):
+                if not s.size:
+                    continue
+                key = _keys(s)[0]
+                if int(key) in seen:
                     continue
-                if s.size * 100 // percent >= uppers[-1]:
-                    uppers = bands(percent, 4 * s.size)
-                parts.append((ids[row], _signatures(s, percent, uppers)))
-                size += parts[-1][1].size
-                if size > 200_000:
-                    yield rows(parts)
-                    parts, size = [], 0
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add(int(key))
+                lists, length = rarest(s, percent, table)
+                if lists.size:
+                    parts.append((key, lists, length))
+                    size += lists.size
+                    if size > 200_000:
+                        yield rows(parts)
+                        parts, size = [], 0
             if parts:
                 yield rows(parts)
 
@@ -159,19 +191,22 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
     """
     scratch = scratch or Scratch(docs.sparkSession, "ngram")
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sized = scratch.keep(base.mapInArrow(_sized(width), "doc_id long, n_shingles long, key1 long, key2 long"), "sizes")
+    pieces = scratch.keep(base.mapInArrow(_sized(width), "doc_id long, n_shingles long, key1 long, key2 long, bits binary, chunk int"), "sizes")
+    sized = pieces.where("chunk is null").select("doc_id", "n_shingles", "key1", "key2")
+    packed, total = _frequencies(pieces)
+    posted = base.select("text").mapInArrow(_posted(width, percent, packed, max(LONGEST, total >> 16)), "list long, spread long, id long")
+    bits = pieces.where("chunk is null and n_shingles > 0").select(F.col("key1").alias("id"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["id"])
+    pairs = candidate_edges(posted, bits, percent, scratch)
     classes = scratch.keep(sized.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     named = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key1").alias("id"))
     texts = base.where("doc_id is not null")
-    rows = sized_join(texts, named, "doc_id", "inner", 32, named.count()).select("id", "text").mapInArrow(_signed(width, percent), "id long, signature long")
-    pairs = rows.select(F.col("id").alias("a"), F.min("id").over(Window.partitionBy("signature")).alias("b")).where("a <> b").distinct()
 
     def fetch(members: DataFrame, n: int) -> DataFrame:
         placed = sized_join(named, members, "id", "inner", 64, n)
         return sized_join(texts, placed, "doc_id", "inner", 80, n).withColumnRenamed("text", "payload").drop("doc_id")
 
     found = scratch.keep(resolve(pairs, fetch, _sets(width), percent, scratch, max_items).withColumnRenamed("id", "key1"), "found")
-    scratch.clear(sized, classes, found)
+    scratch.clear(pieces, classes, found)
     linked = classes.join(found, "key1", "left").withColumn("component", F.coalesce("component", "key1"))
     least = linked.join(found.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
     ids = linked.join(least, "component", "left").select("key1", "key2", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
@@ -183,7 +218,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; columns stay as they are.
 
-    Rows that repeat a doc_id and its text stay once. Different texts of one doc_id stay together,
+    Rows that repeat a doc_id and its text stay once (any one of them, if other columns differ). Different texts of one doc_id stay together,
     or go together if one of them is linked with a smaller doc_id. Rows without doc_id stay.
     """
     scratch = Scratch(docs.sparkSession, "one")
@@ -196,7 +231,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     n = twice.count()
     if not n:
         return kept.select(*docs.columns)
-    some = sized_join(kept, twice, "doc_id", "left_semi", 16, n)
-    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    some = some.withColumn("__turn", turn).where("__turn = 1").drop("__turn").select(*docs.columns)
+    (turn,) = fresh(docs.columns, "turn")
+    some = sized_join(kept, twice, "doc_id", "left_semi", 16, n).withColumn(turn, F.xxhash64("text"))
+    some = some.dropDuplicates(["doc_id", turn]).select(*docs.columns)
     return sized_join(kept, twice, "doc_id", "left_anti", 16, n).select(*docs.columns).unionByName(some)
