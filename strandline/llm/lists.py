@@ -108,8 +108,11 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from closed(lists, ids)
 
 
-def forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs that sizes and bitmaps admit at ``percent`` in a hundred."""
+def forest(n: np.ndarray, maps: list[bytes], percent: int, exact: bool = True) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs that sizes and bitmaps admit at ``percent`` in a hundred.
+
+    exact: whether n are the sets' sizes; if not, they are no less, and rule nobody out by themselves.
+    """
     order = np.argsort(n, kind="stable")
     n = n[order]
     maps = [np.frombuffer(maps[i], np.uint8) for i in order.tolist()]
@@ -124,7 +127,7 @@ def forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, in
     label = np.arange(n.size)
     edges = []
     for i in range(n.size - 1):
-        end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        end = int(np.searchsorted(n, n[i] * 100 // percent, side="right")) if exact else n.size
         others = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
         if not others.size:
             continue
@@ -137,7 +140,7 @@ def forest(n: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, in
     return edges
 
 
-def _admitted(percent: int) -> Callable:
+def _admitted(percent: int, exact: bool) -> Callable:
     """mapInArrow function from (group, id, n, bits), sorted by group, to edges (a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,7 @@ def _admitted(percent: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
         def close() -> None:
-            out.extend((items[i], items[j]) for i, j in forest(np.array(sizes, np.int64), maps, percent))
+            out.extend((items[i], items[j]) for i, j in forest(np.array(sizes, np.int64), maps, percent, exact))
             items.clear(), sizes.clear(), maps.clear()
 
         for batch in batches:
@@ -187,14 +190,15 @@ def hot_spread(postings: DataFrame, total: int) -> Column:
     return F.when(F.col("list").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SPREAD)) + 1).otherwise(F.lit(0)).cast("long")
 
 
-def candidate_edges(postings: DataFrame, bits: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def candidate_edges(postings: DataFrame, bits: DataFrame, percent: int, scratch: Scratch, exact: bool = True) -> DataFrame:
     """Edges (a, b) whose transitive closure holds every link; b may be a list instead of an item.
 
-    postings: long columns list, spread and id. bits: id, n (size of the item's set) and bits (its bitmap).
+    postings: long columns list, spread and id. bits: id, n (size of the item's set; if not
+    ``exact``, a bound of it) and bits (its bitmap; if not ``exact``, of one length for all).
     """
     dealt = postings.select("list", "spread", "id").repartition("list", "spread").sortWithinPartitions("spread", "list", "id")
     gathered = scratch.keep(dealt.mapInArrow(_gather, "group long, id long, sure boolean"), "gathered")
     groups = gathered.where("not sure").select("group", "id").distinct()
     held = groups.join(bits.select("id", "n", "bits"), "id").select("group", "id", "n", "bits")
-    found = held.repartition("group").sortWithinPartitions("group").mapInArrow(_admitted(percent), "a long, b long")
+    found = held.repartition("group").sortWithinPartitions("group").mapInArrow(_admitted(percent, exact), "a long, b long")
     return found.union(gathered.where("sure").select("id", "group"))
