@@ -32,12 +32,15 @@ SPREAD = 1 << 16
 _U = np.uint64
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """The set as flags, one for each value of a shingle's low bits; there are two to four times as many as shingles."""
-    bits = min(MOST_BITS, max(64, 1 << (2 * int(s.size) - 1).bit_length()))
-    flags = np.zeros(bits, dtype=np.uint8)
-    flags[(s & _U(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
+def bitmaps(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Of sets that lie one behind another, each as flags, one for each value of a shingle's low bits; there are one to two times as many as shingles."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(counts, 64, MOST_BITS))).astype(np.int64))
+    ends = np.cumsum(bits)
+    flags = np.zeros(int(ends[-1]) if counts.size else 0, dtype=np.uint8)
+    flags[np.repeat(ends - bits, counts) + (shingles & np.repeat((bits - 1).astype(_U), counts)).astype(np.int64)] = 1
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int64)
+    data = np.packbits(flags, bitorder="little")
+    return pa.Array.from_buffers(pa.large_binary(), counts.size, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def _folded(b: np.ndarray, size: int) -> np.ndarray:
@@ -49,7 +52,7 @@ def _folded(b: np.ndarray, size: int) -> np.ndarray:
 
 
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings (list, spread, id) sorted by spread, list and id to rows (group, id, sure).
+    """From postings (list, spread, id) sorted by list to rows (group, id, sure).
 
     sure: an edge between the item and its list. The others say that the item is in the group.
     """
@@ -60,9 +63,16 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(group), pa.array(item), pa.array(np.full(group.size, sure))], ["group", "id", "sure"])
 
     def closed(lists: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole lists, each with its items in order."""
+        """Whole lists."""
         if lists.size < 2:
             return
+        shared = np.concatenate([lists[1:] == lists[:-1], [False]])
+        shared[1:] |= shared[:-1]
+        lists, ids = lists[shared], ids[shared]
+        if not lists.size:
+            return
+        order = np.lexsort((ids, lists))
+        lists, ids = lists[order], ids[order]
         fresh = np.concatenate([[True], (lists[1:] != lists[:-1]) | (ids[1:] != ids[:-1])])
         lists, ids = lists[fresh], ids[fresh]
         starts = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
@@ -194,11 +204,12 @@ def candidate_edges(postings: DataFrame, bits: DataFrame, percent: int, scratch:
     """Edges (a, b) whose transitive closure holds every link; b may be a list instead of an item.
 
     postings: long columns list, spread and id. bits: id, n (size of the item's set; if not
-    ``exact``, a bound of it) and bits (its bitmap; if not ``exact``, of one length for all).
+    ``exact``, a bound of it) and bits (its bitmap, made with n); rows may repeat.
     """
-    dealt = postings.select("list", "spread", "id").repartition("list", "spread").sortWithinPartitions("spread", "list", "id")
+    dealt = postings.select("list", "spread", "id").repartition("list", "spread").sortWithinPartitions("list")
     gathered = scratch.keep(dealt.mapInArrow(_gather, "group long, id long, sure boolean"), "gathered")
     groups = gathered.where("not sure").select("group", "id").distinct()
-    held = groups.join(bits.select("id", "n", "bits"), "id").select("group", "id", "n", "bits")
+    own = bits.select("id", "n", "bits").join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    held = groups.join(own, "id").select("group", "id", "n", "bits")
     found = held.repartition("group").sortWithinPartitions("group").mapInArrow(_admitted(percent, exact), "a long, b long")
     return found.union(gathered.where("sure").select("id", "group"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch, fresh, sized_join
 from ._text import mix, shingle_sets
 from .blocks import MAX_ITEMS, resolve
-from .lists import LONGEST, SPREAD, bitmap, candidate_edges
+from .lists import LONGEST, SPREAD, bitmaps, candidate_edges
 
 #: Counts of shingles by hash; a bounded table, whatever the corpus. They travel in pieces of CHUNK counts.
 SLOTS = 1 << 20
@@ -54,26 +54,27 @@ def _sized(width: int) -> Callable:
 
         def count() -> None:
             if waiting:
+                maps.append(bitmaps(np.concatenate(waiting), np.array([s.size for s in waiting])))
                 np.add(counts, np.bincount((np.concatenate(waiting) >> _SHIFT).astype(np.int64), minlength=SLOTS), out=counts)
                 waiting.clear()
 
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             keys = np.zeros((2, batch.num_rows), _U)
-            maps: list[bytes | None] = [None] * batch.num_rows
+            maps: list[pa.Array] = []
             size = 0
             for row, s in shingle_sets(batch.column("text"), width):
                 n[row] = s.size
                 if s.size:
                     keys[:, row] = _keys(s)
-                    maps[row] = bitmap(s)
                     waiting.append(s)
                     size += s.size
                     if size > SLOTS:
                         count()
                         size = 0
             count()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(maps, pa.binary()), pa.nulls(batch.num_rows, pa.int32())], names)
+            bits = pa.concat_arrays(maps).take(pa.array(np.where(n > 0, np.cumsum(n > 0) - 1, 0), mask=n == 0)) if maps else pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), bits, pa.nulls(batch.num_rows, pa.int32())], names)
         pieces = counts.reshape(-1, CHUNK)
         full = np.flatnonzero(pieces.any(axis=1))
         none = pa.nulls(full.size, pa.int64())
@@ -195,7 +196,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
     sized = pieces.where("chunk is null").select("doc_id", "n_shingles", "key1", "key2")
     packed, total = _frequencies(pieces)
     posted = base.select("text").mapInArrow(_posted(width, percent, packed, max(LONGEST, total >> 16)), "list long, spread long, id long")
-    bits = pieces.where("chunk is null and n_shingles > 0").select(F.col("key1").alias("id"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["id"])
+    bits = pieces.where("chunk is null and n_shingles > 0").select(F.col("key1").alias("id"), F.col("n_shingles").alias("n"), "bits")
     pairs = candidate_edges(posted, bits, percent, scratch)
     classes = scratch.keep(sized.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     named = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key1").alias("id"))

@@ -83,7 +83,7 @@ def test_short_lists_and_bitmaps_lose_no_link():
             exact = [brute.shingles(t, 4) for t in texts]
             table = np.random.default_rng(length).integers(0, 9, ngram_join.SLOTS)
             posted = [set(ngram_join.rarest(s, percent, table)[0].tolist()) for s in sets]
-            maps = [lists.bitmap(s) for s in sets]
+            maps = lists.bitmaps(np.concatenate(sets), np.array([s.size for s in sets])).to_pylist()
             up = list(range(len(sets)))
             for i, j in lists.forest(np.array([s.size for s in sets]), maps, percent):
                 up = [up[i] if x == up[j] else x for x in up]
