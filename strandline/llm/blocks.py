@@ -1,7 +1,9 @@
 """Exact Jaccard components inside candidate blocks, by T-occurrence search.
 
-Items that any candidate edge connects form a block; a pair in different blocks is known not to
-be linked. Within a block an inverted index maps shingles to item lists, and a query item's
+Items that candidate clusters connect form a block; a pair in different blocks is known not to be
+linked. A block of more than ``MOST`` items is held together by chance as often as not. There,
+each cluster of at most ``FEW`` members is a block of its own, and only larger clusters connect.
+Within a block an inverted index maps shingles to item lists, and a query item's
 partners are those in at least T of its lists. The search is DivideSkip: the L longest lists are
 set aside, the short rest is merged with a heap, and whoever reaches T - L there is looked up in
 the long lists by binary search.
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .components import components
 
 #: Items of a block that one task takes.
 MAX_ITEMS = 1000
+#: Items of a block that is searched as it is, and members of a cluster that does not connect in a larger one.
+MOST, FEW = 200, 8
 #: Payload whose sets are held at once, unless one group has more.
 RUN_BYTES = 4 << 20
 #: Look-ups that are done at once.
@@ -56,6 +60,7 @@ class Index:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         alone = np.concatenate([[0], np.cumsum(counts[of] == 1)])
         self.own = alone[self.begins[1:]] - alone[self.begins[:-1]]
+        self.entries = (self.keys % self.n).tolist()  # the lists, one behind another
         self.merged, self.probed = 0, 0  # entries merged by the heap, and look-ups in long lists
 
     def lists_of(self, item: int) -> np.ndarray:
@@ -64,9 +69,6 @@ class Index:
     def length(self, lists: np.ndarray) -> np.ndarray:
         return self.starts[lists + 1] - self.starts[lists]
 
-    def items(self, one: int) -> np.ndarray:
-        return self.keys[self.starts[one] : self.starts[one + 1]] - one * self.n
-
     def centrality(self) -> np.ndarray:
         """For each item, the share of its shingles' postings that others hold."""
         total = np.concatenate([[0], np.cumsum(self.length(self.lists))])
@@ -94,9 +96,9 @@ class Index:
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(lengths[-1]))) + 1)))
         short, long_lists = lists[: lists.size - long], lists[lists.size - long :]
         times = np.zeros(self.n, np.int64)
-        for one, run in groupby(heapq.merge(*(self.items(x).tolist() for x in short.tolist()))):
-            times[one] = sum(1 for _ in run)
-        self.merged += int(times.sum())
+        counted = Counter(heapq.merge(*(self.entries[a:z] for a, z in zip(self.starts[short].tolist(), self.starts[short + 1].tolist()))))
+        times[list(counted.keys())] = list(counted.values())
+        self.merged += counted.total()
         who = np.flatnonzero(wanted & (times >= need - long))
         step = max(1, PROBES // max(1, who.size))
         for at in range(0, long if who.size else 0, step):
@@ -142,17 +144,17 @@ def link(sets: list[np.ndarray], percent: int, known: list | None = None, ask: n
     open_ = np.ones(n, dtype=bool) if ask is None else ask.copy()
     waiting = [i for i in np.argsort(-central, kind="stable").tolist() if open_[i]]
     roots = forest.roots()
+    first = ask is None
     while waiting:
-        label, count = np.unique(roots, return_counts=True)
-        if label.size == 1:
-            break
         if ask is None:
             left, sizes = np.unique(roots[open_], return_counts=True)
             if left.size <= 1:
                 break
             largest = left[np.argmax(sizes)]
-            first = open_.all()
-            item = next((i for i in waiting if first or roots[i] != largest), waiting[0])
+            item = waiting[0] if first else next((i for i in waiting if roots[i] != largest), waiting[0])
+            first = False
+        elif (roots == roots[0]).all():
+            break
         else:
             item = waiting[0]
         waiting.remove(item)
@@ -243,21 +245,32 @@ def resolve(
 ) -> DataFrame:
     """Columns ``id`` and ``component`` of the items that are linked with another.
 
-    candidates: pairs of long columns ``a`` and ``b`` whose transitive closure holds every link.
-    fetch: adds a column ``payload`` to rows with an ``id``, given their number. make_sets: sorted
-    distinct uint64 arrays of payloads, and the ids of these payloads; rows with another id are
-    passed over. A link is a Jaccard similarity of ``percent`` in a hundred
-    at least. Items with an empty set are linked with nothing.
+    candidates: rows (cluster, id, head, members) of ``lists.candidate_clusters``. fetch: adds a
+    column ``payload`` to rows with an ``id``, given their number. make_sets: sorted distinct
+    uint64 arrays of payloads, and the ids of these payloads; rows with another id are passed over.
+    A link is a Jaccard similarity of ``percent`` in a hundred at least. Items with an empty set
+    are linked with nothing.
     """
-    members = scratch.keep(components(candidates, scratch).withColumnRenamed("component", "block"), "blocks")
-    large = scratch.keep(members.groupBy("block").agg(F.count("*").alias("items")).where(F.col("items") > max_items), "large")
-    n_large = large.count()
-    dealt = sized_join(members, large, "block", "left", 32, n_large)
-    parts = F.ceil(F.col("items") / max_items)
-    dealt = dealt.select(
-        "block", "id", "items", F.when(F.col("items").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("long").alias("part"), F.lit(-1).cast("long").alias("known"), F.lit(True).alias("asks")
-    )
-    dealt = fetch(dealt, members.count())
+    candidates = scratch.keep(candidates, "clusters")
+    blocks = scratch.keep(components(candidates.select(F.col("id").alias("a"), F.col("head").alias("b")), scratch).withColumnRenamed("component", "block"), "blocks")
+    most = min(MOST, max_items)
+    wide = scratch.keep(_sizes(blocks).where(F.col("items") > most), "wide")
+    n_wide = wide.count()
+    alone = F.lit(None).cast("long").alias("items")
+    members = sized_join(blocks, wide.select("block"), "block", "left_anti", 16, n_wide).select("block", "id", alone)
+    n_large = 0
+    if n_wide:
+        within = scratch.keep(sized_join(blocks, wide.select("block"), "block", "left_semi", 16, n_wide).select("id"), "within")
+        theirs = scratch.keep(sized_join(candidates, within, "id", "left_semi", 16, within.count()), "theirs")
+        few = theirs.where(F.col("members") <= FEW).select(F.col("cluster").alias("block"), "id", alone)
+        many = theirs.where(F.col("members") > FEW).select(F.col("id").alias("a"), F.col("head").alias("b"))
+        cores = scratch.keep(components(many, scratch).withColumnRenamed("component", "block"), "cores")
+        large = scratch.keep(_sizes(cores).where(F.col("items") > max_items), "large")
+        n_large = large.count()
+        members = members.union(few).union(sized_join(cores, large, "block", "left", 32, n_large).select("block", "id", "items"))
+    part = F.when(F.col("items").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("items") / max_items)))
+    members = scratch.keep(members.select("block", "id", "items", part.cast("long").alias("part"), F.lit(-1).cast("long").alias("known"), F.lit(True).alias("asks")), "asked")
+    dealt = fetch(members, members.count())
     if n_large:
         dealt = scratch.keep(dealt, "members")
     schema = "block long, part long, a long, b long, hub boolean, alone boolean"
@@ -267,11 +280,17 @@ def resolve(
         return rows.mapInArrow(_solve(make_sets, percent), schema)
 
     links = scratch.keep(solve(dealt), "links")
-    found = links.where("part = -1 and not alone").select(F.col("a").alias("id"), F.col("b").alias("component"))
-    if not n_large:
-        return found
-    apart = _join_parts(dealt.where("part >= 0"), links.where("part >= 0"), solve, max_items, n_large, scratch)
-    return found.union(components(apart.select("a", "b"), scratch).select("id", "component"))
+    if not n_wide:  # no item is in two blocks
+        return links.where("not alone").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    found = links.select("a", "b")
+    if n_large:
+        apart = _join_parts(dealt.where("part >= 0"), links.where("part >= 0"), solve, max_items, n_large, scratch)
+        found = links.where("part = -1").select("a", "b").union(apart.select("a", "b"))
+    return components(found, scratch).select("id", "component")
+
+
+def _sizes(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("block").agg(F.count("*").alias("items"))
 
 
 def _join_parts(large: DataFrame, links: DataFrame, solve: Callable[[DataFrame], DataFrame], max_items: int, n_large: int, scratch: Scratch) -> DataFrame:

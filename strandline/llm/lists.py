@@ -1,14 +1,14 @@
-"""Candidate edges from inverted lists, none of which is held whole or paired out.
+"""Candidate clusters from inverted lists, none of which is held whole or paired out.
 
 A posting says that an item is in a list; two items that can be linked share a list. Lists with
 the same members are one group. A group is compared by its members' bitmaps (``bitmap``): the
 bits in which two of them differ number no more than the shingles in which the sets differ, so a
-pair that differs in too many bits is no link, and no link is ruled out. What is admitted is
-handed on as the edges of a spanning forest, one less than the members at most.
+pair that differs in too many bits is no link, and no link is ruled out. Members that admitted
+pairs connect are a cluster, and rows of clusters are what is handed on, not pairs.
 
-A list of more than ``LONGEST`` items is not compared here: each of its items gets an edge to
-the list itself, which stands as one more node. Postings of lists known to hold much of all
-postings (``spread`` above 0) become such edges wherever they are, so no task gathers them.
+A list of more than ``LONGEST`` items is not compared here: it is a cluster as it is. Postings of
+lists known to hold much of all postings (``spread`` above 0) become rows of such a cluster
+wherever they are, so no task gathers them.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ _U = np.uint64
 
 
 def bitmaps(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Of sets that lie one behind another, each as flags, one for each value of a shingle's low bits; there are one to two times as many as shingles."""
-    bits = np.left_shift(1, np.ceil(np.log2(np.clip(counts, 64, MOST_BITS))).astype(np.int64))
+    """Of sets that lie one behind another, each as flags, one for each value of a shingle's low bits; there are two to four times as many as shingles."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.clip(2 * counts, 64, MOST_BITS))).astype(np.int64))
     ends = np.cumsum(bits)
     flags = np.zeros(int(ends[-1]) if counts.size else 0, dtype=np.uint8)
     flags[np.repeat(ends - bits, counts) + (shingles & np.repeat((bits - 1).astype(_U), counts)).astype(np.int64)] = 1
@@ -54,7 +54,7 @@ def _folded(b: np.ndarray, size: int) -> np.ndarray:
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings (list, spread, id) sorted by list to rows (group, id, sure).
 
-    sure: an edge between the item and its list. The others say that the item is in the group.
+    sure: the group is a list that is a cluster as it is.
     """
     lists, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
     long: int | None = None
@@ -118,24 +118,37 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from closed(lists, ids)
 
 
-def forest(n: np.ndarray, maps: list[bytes], percent: int, exact: bool = True) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs that sizes and bitmaps admit at ``percent`` in a hundred.
+def _two(n: list[int], maps: list[bytes], percent: int, exact: bool) -> bool:
+    """Whether sizes and bitmaps admit a pair."""
+    if exact and 100 * min(n) < percent * max(n):
+        return False
+    a, b = sorted(maps, key=len)
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) | (y & ((1 << bits) - 1))
+    return (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (n[0] + n[1])
 
-    exact: whether n are the sets' sizes; if not, they are no less, and rule nobody out by themselves.
+
+def clusters(sizes: list[int], maps: list[bytes], percent: int, exact: bool = True) -> list[list[int]]:
+    """Places of members that pairs connect which sizes and bitmaps admit at ``percent`` in a hundred; single members are left out.
+
+    exact: whether ``sizes`` are the sets' sizes; if not, they are no less, and rule nobody out by themselves.
     """
-    order = np.argsort(n, kind="stable")
-    n = n[order]
-    maps = [np.frombuffer(maps[i], np.uint8) for i in order.tolist()]
-    lengths = np.array([m.size for m in maps])
+    if len(sizes) < 2:
+        return []
+    if len(sizes) == 2:
+        return [[0, 1]] if _two(sizes, maps, percent, exact) else []
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    n = np.array([sizes[i] for i in order], np.int64)
+    lengths = np.array([len(maps[i]) for i in order])
     levels = {}
     for size in np.unique(lengths).tolist():
-        at = np.flatnonzero(lengths >= size)
         held = np.zeros((n.size, size), dtype=np.uint8)
-        for i in at.tolist():
-            held[i] = _folded(maps[i][None, :], size)[0]
+        for i in np.flatnonzero(lengths >= size).tolist():
+            held[i] = _folded(np.frombuffer(maps[order[i]], np.uint8)[None, :], size)[0]
         levels[size] = held.view(_U)
     label = np.arange(n.size)
-    edges = []
     for i in range(n.size - 1):
         end = int(np.searchsorted(n, n[i] * 100 // percent, side="right")) if exact else n.size
         others = i + 1 + np.flatnonzero(label[i + 1 : end] != label[i])
@@ -145,28 +158,34 @@ def forest(n: np.ndarray, maps: list[bytes], percent: int, exact: bool = True) -
         differ = np.bitwise_count(held[others] ^ held[i]).sum(axis=1, dtype=np.int64)
         for j in others[(100 + percent) * differ <= (100 - percent) * (n[i] + n[others])].tolist():
             if label[j] != label[i]:
-                edges.append((int(order[i]), int(order[j])))
                 label[label == label[j]] = label[i]
-    return edges
+    found: dict[int, list[int]] = {}
+    for i, x in enumerate(label.tolist()):
+        found.setdefault(x, []).append(order[i])
+    return [c for c in found.values() if len(c) > 1]
 
 
 def _admitted(percent: int, exact: bool) -> Callable:
-    """mapInArrow function from (group, id, n, bits), sorted by group, to edges (a, b)."""
+    """mapInArrow function from (group, id, n, bits), sorted by group, to rows of clusters (cluster, id, head, members)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: int | None = None
         items: list[int] = []
         sizes: list[int] = []
         maps: list[bytes] = []
-        out: list[tuple[int, int]] = []
+        out: list[list[int]] = []
 
         def table() -> pa.RecordBatch:
-            both = np.array(out, dtype=np.int64).reshape(-1, 2)
+            members = np.array([len(c) for c in out], np.int64)
+            ids = np.array([x for c in out for x in c], np.int64)
+            starts = np.cumsum(members) - members
+            name = mix(np.add.reduceat(mix(ids.view(_U)), starts) + members.astype(_U)) if out else np.zeros(0, _U)
+            heads = np.array([min(c) for c in out], np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name.view(np.int64), members)), pa.array(ids), pa.array(np.repeat(heads, members)), pa.array(np.repeat(members, members))], ["cluster", "id", "head", "members"])
 
         def close() -> None:
-            out.extend((items[i], items[j]) for i, j in forest(np.array(sizes, np.int64), maps, percent, exact))
+            out.extend([items[i] for i in c] for c in clusters(sizes, maps, percent, exact))
             items.clear(), sizes.clear(), maps.clear()
 
         for batch in batches:
@@ -200,16 +219,19 @@ def hot_spread(postings: DataFrame, total: int) -> Column:
     return F.when(F.col("list").isin(hot), F.pmod(F.xxhash64("id"), F.lit(SPREAD)) + 1).otherwise(F.lit(0)).cast("long")
 
 
-def candidate_edges(postings: DataFrame, bits: DataFrame, percent: int, scratch: Scratch, exact: bool = True) -> DataFrame:
-    """Edges (a, b) whose transitive closure holds every link; b may be a list instead of an item.
+def candidate_clusters(postings: DataFrame, bits: DataFrame, percent: int, scratch: Scratch, exact: bool = True) -> DataFrame:
+    """Rows (cluster, id, head, members): two items that are linked are in one cluster at least.
 
     postings: long columns list, spread and id. bits: id, n (size of the item's set; if not
-    ``exact``, a bound of it) and bits (its bitmap, made with n); rows may repeat.
+    ``exact``, a bound of it) and bits (its bitmap, made with n); rows may repeat. Equal clusters
+    have one name. head is the least member. Of a long list, cluster and head are the list, and
+    members is ``LONGEST`` + 1.
     """
     dealt = postings.select("list", "spread", "id").repartition("list", "spread").sortWithinPartitions("list")
     gathered = scratch.keep(dealt.mapInArrow(_gather, "group long, id long, sure boolean"), "gathered")
     groups = gathered.where("not sure").select("group", "id").distinct()
     own = bits.select("id", "n", "bits").join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     held = groups.join(own, "id").select("group", "id", "n", "bits")
-    found = held.repartition("group").sortWithinPartitions("group").mapInArrow(_admitted(percent, exact), "a long, b long")
-    return found.union(gathered.where("sure").select("id", "group"))
+    found = held.repartition("group").sortWithinPartitions("group").mapInArrow(_admitted(percent, exact), "cluster long, id long, head long, members long")
+    sure = gathered.where("sure").select(F.col("group").alias("cluster"), "id", F.col("group").alias("head"), F.lit(LONGEST + 1).cast("long").alias("members"))
+    return found.distinct().union(sure.distinct())

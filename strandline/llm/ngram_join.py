@@ -7,7 +7,7 @@ are rarest in the corpus. So each class is posted in its short lists only, and w
 it is no partner. List lengths come from one table of ``SLOTS`` counts over all documents, by a
 hash of the shingle; any order that is the same for all sets loses nothing.
 
-Lists become candidate edges (``lists``), whose connected classes form small blocks. Inside a
+Lists become candidate clusters (``lists``), and these blocks of classes. Inside a
 block the search is done with the block's own lists and DivideSkip's own number of long ones: a
 heap merges the short, binary search probes the long, and who reaches the overlap is linked
 (``blocks``). A class in no block has no partner, and its text is not read again.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch, fresh, sized_join
 from ._text import mix, shingle_sets
 from .blocks import MAX_ITEMS, resolve
-from .lists import LONGEST, SPREAD, bitmaps, candidate_edges
+from .lists import LONGEST, SPREAD, bitmaps, candidate_clusters
 
 #: Counts of shingles by hash; a bounded table, whatever the corpus. They travel in pieces of CHUNK counts.
 SLOTS = 1 << 20
@@ -197,7 +197,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80,
     packed, total = _frequencies(pieces)
     posted = base.select("text").mapInArrow(_posted(width, percent, packed, max(LONGEST, total >> 16)), "list long, spread long, id long")
     bits = pieces.where("chunk is null and n_shingles > 0").select(F.col("key1").alias("id"), F.col("n_shingles").alias("n"), "bits")
-    pairs = candidate_edges(posted, bits, percent, scratch)
+    pairs = candidate_clusters(posted, bits, percent, scratch)
     classes = scratch.keep(sized.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     named = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("key1").alias("id"))
     texts = base.where("doc_id is not null")

@@ -85,11 +85,13 @@ def test_short_lists_and_bitmaps_lose_no_link():
             posted = [set(ngram_join.rarest(s, percent, table)[0].tolist()) for s in sets]
             maps = lists.bitmaps(np.concatenate(sets), np.array([s.size for s in sets])).to_pylist()
             up = list(range(len(sets)))
-            for i, j in lists.forest(np.array([s.size for s in sets]), maps, percent):
-                up = [up[i] if x == up[j] else x for x in up]
+            for members in lists.clusters([s.size for s in sets], maps, percent):
+                for i in members:
+                    up[i] = members[0]
             for i, j in linked_pairs(exact, percent):
                 assert posted[i] & posted[j]
                 assert up[i] == up[j]
+                assert lists.clusters([sets[i].size, sets[j].size], [maps[i], maps[j]], percent) == [[0, 1]]
             assert blocks.link(sets, percent)[0].tolist() == brute.classes(exact, percent)
 
 
@@ -137,6 +139,7 @@ def test_lists_become_groups_and_long_ones_edges(monkeypatch):
 def test_hot_lists_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(lists, "LONGEST", 10)
     monkeypatch.setattr(ngram_join, "LONGEST", 10)
+    monkeypatch.setattr(blocks, "FEW", 3)
     texts = near_copies(4, 70, 60, 3)
     data = [(k, t) for k, t in enumerate(texts)]
     found = ngram_join.ngram_jaccard_components(rows(spark, data), 4, 85, max_items=20).collect()
