@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch, sized_join
+from ._text import released
 from .components import components
 
 #: Items of a block that one task takes.
@@ -38,7 +39,7 @@ MAX_ITEMS = 1000
 #: Items of a block that is searched as it is, and members of a cluster that does not connect in a larger one.
 MOST, FEW = 200, 8
 #: Payload whose sets are held at once, unless one group has more.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Look-ups that are done at once.
 PROBES = 1 << 20
 #: DivideSkip's constant: the larger it is, the fewer lists count as long.
@@ -232,7 +233,7 @@ def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]],
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[order, 0], keys[order, 1], ids[order], least, hub, alone)], ["block", "part", "a", "b", "hub", "alone"])
                 first = last
 
-    return run
+    return released(run)
 
 
 def resolve(

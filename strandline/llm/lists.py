@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
-from ._text import mix
+from ._text import mix, released
 
 #: Items of a list that are compared in one task.
 LONGEST = 1000
@@ -37,7 +37,9 @@ def bitmaps(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
     bits = np.left_shift(1, np.ceil(np.log2(np.clip(2 * counts, 64, MOST_BITS))).astype(np.int64))
     ends = np.cumsum(bits)
     flags = np.zeros(int(ends[-1]) if counts.size else 0, dtype=np.uint8)
-    flags[np.repeat(ends - bits, counts) + (shingles & np.repeat((bits - 1).astype(_U), counts)).astype(np.int64)] = 1
+    at = shingles & np.repeat((bits - 1).astype(_U), counts)
+    at += np.repeat((ends - bits).astype(_U), counts)
+    flags[at] = 1
     offsets = np.concatenate([[0], ends // 8]).astype(np.int64)
     data = np.packbits(flags, bitorder="little")
     return pa.Array.from_buffers(pa.large_binary(), counts.size, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
@@ -51,6 +53,7 @@ def _folded(b: np.ndarray, size: int) -> np.ndarray:
     return b
 
 
+@released
 def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From postings (list, spread, id) sorted by list to rows (group, id, sure).
 
@@ -201,7 +204,7 @@ def _admitted(percent: int, exact: bool) -> Callable:
         close()
         yield table()
 
-    return run
+    return released(run)
 
 
 def hot_spread(postings: DataFrame, total: int) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch, fresh, sized_join
-from ._text import mix, shingle_sets
+from ._text import mix, released, shingle_sets
 from .blocks import MAX_ITEMS, resolve
 from .lists import LONGEST, SPREAD, bitmaps, candidate_clusters
 
@@ -69,7 +69,7 @@ def _sized(width: int) -> Callable:
                     keys[:, row] = _keys(s)
                     waiting.append(s)
                     size += s.size
-                    if size > SLOTS:
+                    if size > 1 << 18:
                         count()
                         size = 0
             count()
@@ -80,7 +80,7 @@ def _sized(width: int) -> Callable:
         none = pa.nulls(full.size, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([zlib.compress(pieces[k].tobytes(), 1) for k in full], pa.binary()), pa.array(full.astype(np.int32))], names)
 
-    return run
+    return released(run)
 
 
 def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _posted(width: int, percent: int, packed: bytes, hot: int) -> Callable:
             if parts:
                 yield rows(parts)
 
-    return run
+    return released(run)
 
 
 def _sets(width: int) -> Callable:
