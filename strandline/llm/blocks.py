@@ -1,7 +1,7 @@
 """Exact Jaccard components inside candidate blocks, by T-occurrence search.
 
 Items that candidate clusters connect form a block; a pair in different blocks is known not to be
-linked. A block of more than ``MOST`` items is held together by chance as often as not. There,
+linked. A block of more than ``MAX_ITEMS`` items is held together by chance as often as not. There,
 each cluster of at most ``FEW`` members is a block of its own, and only larger clusters connect.
 Within a block an inverted index maps shingles to item lists, and a query item's
 partners are those in at least T of its lists. The search is DivideSkip: the L longest lists are
@@ -36,8 +36,8 @@ from .components import components
 
 #: Items of a block that one task takes.
 MAX_ITEMS = 1000
-#: Items of a block that is searched as it is, and members of a cluster that does not connect in a larger one.
-MOST, FEW = 200, 8
+#: Members of a cluster that is searched by itself in a block of more than MAX_ITEMS.
+FEW = 8
 #: Payload whose sets are held at once, unless one group has more.
 RUN_BYTES = 1 << 20
 #: Look-ups that are done at once.
@@ -254,8 +254,7 @@ def resolve(
     """
     candidates = scratch.keep(candidates, "clusters")
     blocks = scratch.keep(components(candidates.select(F.col("id").alias("a"), F.col("head").alias("b")), scratch).withColumnRenamed("component", "block"), "blocks")
-    most = min(MOST, max_items)
-    wide = scratch.keep(_sizes(blocks).where(F.col("items") > most), "wide")
+    wide = scratch.keep(_sizes(blocks).where(F.col("items") > max_items), "wide")
     n_wide = wide.count()
     alone = F.lit(None).cast("long").alias("items")
     members = sized_join(blocks, wide.select("block"), "block", "left_anti", 16, n_wide).select("block", "id", alone)

@@ -47,10 +47,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(edges.where("a is not null and b is not null and a <> b").distinct(), "edges")
     while True:
         hub = max(1000, now.count() // HUB)
-        middle = scratch.keep(_star(now, True, hub), "star")
-        following = scratch.keep(_star(middle, False, hub), "star")
+        following = scratch.keep(_star(_star(now, True, hub), False, hub), "star")
         scratch.drop(now)
-        scratch.drop(middle)
         now = following
         if _are_stars(now):
             leaves = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
