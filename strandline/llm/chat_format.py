@@ -53,7 +53,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     written = F.transform(
         "blocks", lambda b: F.struct(b["role"].alias("role"), F.concat(F.lit(START), _escape_role(b["role"]), F.lit("\n")).alias("head"), F.transform(b["texts"], escape).alias("texts"))
     )
-    out = out.select("conv_id", written.alias("blocks"))
+    out = out.select("conv_id", written.alias("blocks"), F.lit(trained_role).alias("trained"))
     piece = F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], SEPARATOR), F.lit(END)))
     span = "struct(cast(acc.at AS bigint) AS at, cast(length(x.text) AS bigint) AS length)"
     parts = f"""flatten(transform(blocks, b -> transform(b.texts, (t, k) -> struct(
@@ -62,7 +62,7 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> D
     spans = f"""aggregate({parts}, struct(0L AS at, cast(array() AS array<struct<at: bigint, length: bigint>>) AS spans), (done, x) ->
         transform(array(struct(done.at + x.before AS at, done.spans AS spans)), acc -> struct(
             cast(acc.at + length(x.text) + x.after AS bigint) AS at,
-            CASE WHEN x.role = '{trained_role}' THEN concat(acc.spans, array({span})) ELSE acc.spans END AS spans))[0]).spans"""
+            CASE WHEN x.role = trained THEN concat(acc.spans, array({span})) ELSE acc.spans END AS spans))[0]).spans"""
     return out.select("conv_id", F.array_join(piece, "").alias("formatted"), F.expr(spans).alias("loss_spans"))
 
 

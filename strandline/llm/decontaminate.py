@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch, sized_join
+from ._scratch import Scratch, fresh, sized_join
 
 SKETCH = 6
 
@@ -75,5 +75,6 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, perce
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose text contains an item; all their columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "clean")
-    bad = scratch.keep(contained_items(docs, benchmark, width, percent, scratch=scratch).select(F.col("text_key").alias("__key")).distinct(), "contaminated")
-    return sized_join(docs.withColumn("__key", F.xxhash64("text")), bad, "__key", "left_anti", 16, bad.count()).drop("__key")
+    (key,) = fresh(docs.columns, "key")
+    bad = scratch.keep(contained_items(docs, benchmark, width, percent, scratch=scratch).select(F.col("text_key").alias(key)).distinct(), "contaminated")
+    return sized_join(docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))), bad, key, "left_anti", 16, bad.count()).select(*docs.columns)

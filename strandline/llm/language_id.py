@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._scratch import fresh
 
 BUCKETS = 1 << 15
 #: About so many texts of each language are learned from, those of the least hash of their id.
@@ -115,7 +116,9 @@ def with_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score (the posterior, 0 to 1) to every row.
 
     A null text, or one without letters, is ``und`` with score 0; so is every text if nothing was
-    learned. Ties go to the language that sorts first.
+    learned. Ties go to the language that sorts first. Repeated rows are judged each, texts of any
+    length as a whole; other columns are carried along whatever their names, but for columns named
+    lang_pred and score, which are replaced; an empty table gives an empty table.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
@@ -129,6 +132,7 @@ def with_languages(docs: DataFrame, model: Model) -> DataFrame:
     text = F.col("text").cast("string")
     if not model.langs:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    out = docs.withColumn("__judged", judge(text)).withColumn("__letters", F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
-    out = out.withColumn("lang_pred", F.when(F.col("__letters"), F.col("__judged.lang")).otherwise("und"))
-    return out.withColumn("score", F.when(F.col("__letters"), F.col("__judged.score")).otherwise(0.0)).drop("__judged", "__letters")
+    judged, letters = fresh([*docs.columns, "lang_pred", "score"], "judged", "letters")
+    out = docs.withColumn(judged, judge(text)).withColumn(letters, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    out = out.withColumn("lang_pred", F.when(F.col(letters), F.col(judged)["lang"]).otherwise("und"))
+    return out.withColumn("score", F.when(F.col(letters), F.col(judged)["score"]).otherwise(0.0)).drop(judged, letters)

@@ -27,6 +27,11 @@ def test_edges(spark):
     assert got[3][2].count("<|im_start|>") == 3
 
 
+def test_quoted_role(spark):
+    out = format_conversations(spark.createDataFrame([(1, 0, "it's", "abc", "f"), (1, 1, "user", "no", "f")], SCHEMA), trained_role="it's")
+    assert [r.loss for r in out.select(read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()] == [["abc"]]
+
+
 def test_empty_table(spark):
     assert format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -37,3 +37,10 @@ def test_removal_and_empty_tables(spark):
     none_docs, none_items = tables(spark, [], [])
     assert contained_items(none_docs, items).count() == 0
     assert without_contaminated(docs, none_items).count() == docs.count()
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "clean words only", 5, 6)], "doc_id long, text string, key int, __key int")
+    items = spark.createDataFrame([(1, "something else that is not here at all")], "item_id long, text string")
+    kept = without_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "clean words only", 5, 6)]

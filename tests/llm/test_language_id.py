@@ -19,3 +19,10 @@ def test_edges(spark):
     nothing = language_id.train(docs.where("false"))
     assert {r.lang_pred for r in language_id.with_languages(docs, nothing).collect()} == {"und"}
     assert language_id.with_languages(docs.where("false"), model).count() == 0
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(k, "the word and the other" if k % 2 else "das wort und das andere", "en" if k % 2 else "de", 3, 4) for k in range(20)], "doc_id long, text string, lang string, judged int, __letters int")
+    out = language_id.with_languages(docs, language_id.train(docs))
+    assert out.columns == [*docs.columns, "lang_pred", "score"]
+    assert all(r.lang == r.lang_pred and (r.judged, r["__letters"]) == (3, 4) for r in out.collect())
