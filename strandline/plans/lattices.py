@@ -53,8 +53,8 @@ def closed_itemsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def itemset_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """Items common to all vectors with the first three items of the vector with the most."""
-    return rounded(it.closure(it.contacts(frames(spark, sf).where("vec_id < 40"), "vec_id", "x", 0.0), [0, 1, 2]))
+    """Items common to all vectors that have the items 0, 1 and 2."""
+    return rounded(it.closure(it.contacts(frames(spark, sf), "vec_id", "x", 0.0), [0, 1, 2]))
 
 
 def unique_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,7 +281,7 @@ ORACLE_SQL = {
     "itemsets_strict": f"WITH {_ON}, {_K.format(t='> 60')} SELECT {_S}, support FROM k1 UNION ALL SELECT {_S}, support FROM k2",
     "maximal_itemsets": f"WITH {_ON}, {_K.format(t='>= 30')} SELECT {_S}, support FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items))",
     "closed_itemsets": f"WITH {_ON}, {_K.format(t='>= 5')}, g AS (SELECT * FROM f UNION ALL SELECT * FROM k4) SELECT {_S}, support FROM f a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.support = a.support AND len(b.items) > len(a.items) AND list_has_all(b.items, a.items))",
-    "itemset_closure": f"WITH {LONG}, o AS (SELECT vec_id, i FROM x WHERE v > 0 AND vec_id < 40), h AS (SELECT vec_id FROM o WHERE i IN (0, 1, 2) GROUP BY 1 HAVING count(*) = 3) SELECT i AS item FROM o WHERE vec_id IN (FROM h) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM h)",
+    "itemset_closure": f"WITH {LONG}, o AS (SELECT vec_id, i FROM x WHERE v > 0), h AS (SELECT vec_id FROM o WHERE i IN (0, 1, 2) GROUP BY 1 HAVING count(*) = 3) SELECT i AS item FROM o WHERE vec_id IN (FROM h) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM h)",
     "unique_patterns": f"WITH {LONG}, p AS (SELECT vec_id, list(i ORDER BY i) AS items FROM x WHERE i < 5 AND v > {CUT} GROUP BY 1) SELECT {_S}, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS tids FROM p GROUP BY p.items",
     "feature_reduction": f"""WITH {LONG}, o AS (SELECT vec_id AS tid, i AS item FROM x WHERE v > 0.05), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT item, count(*) AS ones FROM o GROUP BY 1), k AS (SELECT s.* FROM s, n WHERE ones >= 0.2 * n AND ones <= n - 0.2 * n),
         d AS (SELECT a.item AS a, b.item AS b, any_value(ka.ones) + any_value(kb.ones) - 2 * count(*) AS diff FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item JOIN k ka ON ka.item = a.item JOIN k kb ON kb.item = b.item GROUP BY a.item, b.item)

@@ -41,9 +41,9 @@ def pricing_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def back_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampled lines, resolved to their orders and customers; the sample's id is carried along."""
+    """Every line, resolved to its order and that order's customer; the line's place is carried along."""
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    sample = li.where("l_orderkey % 97 = 0").select("l_orderkey", "l_linenumber", "l_quantity")
+    sample = li.select("l_orderkey", "l_linenumber", "l_quantity")
     return rounded(sample.join(o, sample.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "l_quantity", "o_custkey"))
 
 
@@ -200,7 +200,7 @@ ORACLE_SQL = {
     "distinct_sorted": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem ORDER BY ALL",
     "topk_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 2) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
-    "back_projection": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 97 = 0",
+    "back_projection": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "cube_counts": "SELECT c_mktsegment, c_nationkey::BIGINT AS c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
     "set_ops": "(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
