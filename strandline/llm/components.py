@@ -28,9 +28,9 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
     hubs = least.where(F.col("degree") > hub).select("u", F.col("m").alias("of_hub"))
-    marked = both.join(F.broadcast(hubs), "u", "left")
-    joined = marked.where("of_hub is null").join(least.where(F.col("degree") <= hub), "u").select("u", "v", "m")
-    joined = joined.union(marked.where("of_hub is not null").select("u", "v", "of_hub"))
+    # Edges of hubs know their least already; they are dealt by their other end.
+    marked = both.join(F.broadcast(hubs), "u", "left").withColumn("k", F.when(F.col("of_hub").isNull(), F.col("u")).otherwise(F.xxhash64("v")))
+    joined = marked.join(least.select(F.col("u").alias("k"), "m"), "k", "left").select("u", "v", F.coalesce("of_hub", "m").alias("m"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
