@@ -1,20 +1,67 @@
-"""Connected components of an edge table by alternating large-star and small-star steps.
+"""Connected components of an edge table: contraction inside tasks, and alternating large-star and small-star steps between them.
 
-Each step is one shuffle of the edges; their number shrinks to one edge per node, and the number
-of steps grows with the logarithm of the longest chain. A step joins every edge with the least
-neighbour of its node, which is aggregated before the shuffle. Nodes that hold more than a
-``HUB``-th of all edges, of which there are less than 2 * ``HUB``, are joined by broadcast, so that
-no task gathers a hub's edges.
+A task takes about ``TASK_EDGES`` edges and returns a forest of stars: each of its nodes points to
+the least one it is connected with there. Edges that fit one task are done then. Otherwise a star
+step joins every edge with the least neighbour of its node, which is aggregated before the shuffle,
+and the next contraction starts from shorter paths. The number of rounds grows with the logarithm
+of the longest chain. Nodes that hold more than a ``HUB``-th of all edges, of which there are less
+than 2 * ``HUB``, are joined by broadcast, so that no task gathers a hub's edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from ._text import released
 
 HUB = 500
+#: Edges of a task: 16 MB of ids, and a few times as much while they are contracted.
+TASK_EDGES = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that are connected with a smaller one, and the least one each."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: a.size], place[a.size :]
+    root = np.arange(nodes.size)
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    moved = np.flatnonzero(root != np.arange(nodes.size))
+    return nodes[moved], nodes[root[moved]]
+
+
+@released
+def _contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a task's edges (a, b); what waits is contracted whenever it has doubled."""
+    a = b = np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        waiting.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        size += batch.num_rows
+        if size > max(TASK_EDGES, a.size):
+            a, b = forest(*(np.concatenate(x) for x in zip((a, b), *waiting)))
+            waiting, size = [], 0
+    if waiting:
+        a, b = forest(*(np.concatenate(x) for x in zip((a, b), *waiting)))
+    for at in range(0, a.size, 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
 
 
 def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
@@ -38,21 +85,34 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, task_edges: int = TASK_EDGES) -> DataFrame:
     """Columns ``id`` and ``component`` (the least id reachable) of every node that has an edge.
 
-    ``edges`` has two long columns ``a`` and ``b``; nulls, loops and repeats are ignored. Nodes
-    without an edge to another node are absent. An empty table gives an empty table.
+    ``edges`` has two long columns ``a`` and ``b`` and is read twice, so it should be a kept table
+    or a projection of one; nulls, loops and repeats are ignored. Nodes without an edge to another
+    node are absent. An empty table gives an empty table.
     """
-    now = scratch.keep(edges.where("a is not null and b is not null and a <> b").distinct(), "edges")
-    while True:
-        hub = max(1000, now.count() // HUB)
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    n = edges.count()
+    now = scratch.keep(_within_tasks(edges, n, task_edges), "forests")
+    while n > task_edges:
+        n = now.count()
+        hub = max(1000, n // HUB)
         following = scratch.keep(_star(_star(now, True, hub), False, hub), "star")
         scratch.drop(now)
-        now = following
-        if _are_stars(now):
-            leaves = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return leaves.union(now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+        if _are_stars(following):
+            now = following
+            break
+        n = following.count()
+        now = scratch.keep(_within_tasks(following, n, task_edges), "forests")
+        scratch.drop(following)
+    leaves = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return leaves.union(now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component")))
+
+
+def _within_tasks(edges: DataFrame, n: int, task_edges: int) -> DataFrame:
+    """The ``n`` edges in as few tasks as hold them, contracted in each."""
+    return edges.coalesce(max(1, -(-n // task_edges))).mapInArrow(_contracted, "a long, b long")
 
 
 def _are_stars(edges: DataFrame) -> bool:
