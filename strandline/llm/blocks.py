@@ -23,6 +23,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,17 @@ RUN_BYTES = 1 << 20
 PROBES = 1 << 20
 #: DivideSkip's constant: the larger it is, the fewer lists count as long.
 MU = 0.01
+#: Bits of a set in a block at most; larger sets are ruled out less often.
+MOST_BITS = 1 << 13
+
+
+def _bit_rows(shingles: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of bits for each set, one for each value of its shingles' low bits; of all sets equally many."""
+    most = int(sizes.max()) if sizes.size else 0
+    bits = 1 << (min(MOST_BITS, max(64, 2 * most)) - 1).bit_length()
+    flags = np.zeros((sizes.size, bits), dtype=bool)
+    flags[owner, (shingles & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
 
 
 class Index:
@@ -61,9 +73,24 @@ class Index:
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         alone = np.concatenate([[0], np.cumsum(counts[of] == 1)])
         self.own = alone[self.begins[1:]] - alone[self.begins[:-1]]
-        self.entries = (self.keys % self.n).tolist()  # the lists, one behind another
+        self.bits = _bit_rows(flat, owner, self.sizes)
         self.merged, self.probed = 0, 0  # entries merged by the heap, and look-ups in long lists
 
+    @cached_property
+    def entries(self) -> np.ndarray:
+        """The lists, one behind another."""
+        return self.keys % self.n
+
+    def among(self, lists: np.ndarray, wanted: np.ndarray) -> list[list[int]]:
+        """The lists, without items that are not ``wanted``."""
+        length = self.length(lists)
+        ends = np.cumsum(length)
+        items = self.entries[np.arange(int(length.sum())) + np.repeat(self.starts[lists] - (ends - length), length)]
+        stay = wanted[items]
+        cuts = np.concatenate([[0], np.cumsum(stay)])[np.concatenate([[0], ends])].tolist()
+        items = items[stay].tolist()
+        return [items[a:z] for a, z in zip(cuts, cuts[1:]) if z > a]
+
     def lists_of(self, item: int) -> np.ndarray:
         return self.lists[self.begins[item] : self.begins[item + 1]]
 
@@ -78,13 +105,17 @@ class Index:
     def partners(self, item: int, percent: int, wanted: np.ndarray) -> np.ndarray:
         """Items among ``wanted`` (a mask) whose Jaccard similarity with ``item`` is at least ``percent`` in a hundred.
 
-        An item shares at most the shingles that anyone else has, which rules most others out
-        before a list is read.
+        An item shares at most the shingles that anyone else has, and the bits in which two bitmaps
+        differ number no more than the shingles in which the sets differ. Both rule most others out
+        before a list is read, and no link.
         """
         size = int(self.sizes[item])
         most = np.minimum(self.sizes[item] - self.own[item], self.sizes - self.own)
         wanted = wanted & (most > 0) & ((100 + percent) * most >= percent * (size + self.sizes))
         wanted[item] = False
+        near = np.flatnonzero(wanted)
+        differ = np.bitwise_count(self.bits[near] ^ self.bits[item]).sum(axis=1, dtype=np.int64)
+        wanted[near[(100 + percent) * differ > (100 - percent) * (size + self.sizes[near])]] = False
         least = self.sizes[wanted]
         if not least.size:
             return np.zeros(0, np.int64)
@@ -97,7 +128,7 @@ class Index:
         long = min(need - 1, int(need / (MU * math.log2(max(2, int(lengths[-1]))) + 1)))
         short, long_lists = lists[: lists.size - long], lists[lists.size - long :]
         times = np.zeros(self.n, np.int64)
-        counted = Counter(heapq.merge(*(self.entries[a:z] for a, z in zip(self.starts[short].tolist(), self.starts[short + 1].tolist()))))
+        counted = Counter(heapq.merge(*self.among(short, wanted)))
         times[list(counted.keys())] = list(counted.values())
         self.merged += counted.total()
         who = np.flatnonzero(wanted & (times >= need - long))
