@@ -19,7 +19,8 @@ _ODD_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PIECE = 1 << 18
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
+_AS_IS = np.arange(256, dtype=np.uint8)
+_LOWER = _AS_IS.copy()
 _LOWER[65:91] += 32
 _tables = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
@@ -74,8 +75,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words in b; cuts are offsets at which a word ends whatever follows."""
+def word_bounds(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of the words in b; cuts are offsets at which a word ends whatever follows."""
     inside = _WORD[b]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -83,16 +84,21 @@ def _words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = cuts[(cuts > 0) & (cuts < b.size)]
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def _words(b: np.ndarray, cuts: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words in b, whose bytes are read through the table ``fold``."""
+    s, e = word_bounds(b, cuts)
     up, down = powers(b.size)
     total = np.zeros(b.size + 1, dtype=_U)
-    np.cumsum((_LOWER[b].astype(_U) + _U(1)) * up, out=total[1:])
+    np.cumsum((fold[b].astype(_U) + _U(1)) * up, out=total[1:])
     h = (total[e] - total[s]) * down[s]
     h += (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
     return s, mix(h)
 
 
-def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of documents of about _PIECE bytes."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -101,7 +107,7 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def _long(b: np.ndarray) -> np.ndarray:
+def _long(b: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """Word hashes of one very long text, worked off in pieces that end at white space."""
     out, at = [], 0
     while at < b.size:
@@ -109,25 +115,26 @@ def _long(b: np.ndarray) -> np.ndarray:
         while end < b.size and _WORD[b[end]]:
             gap = np.flatnonzero(~_WORD[b[end : end + _PIECE]])
             end = end + int(gap[0]) if gap.size else min(end + _PIECE, b.size)
-        out.append(_words(b[at:end], np.zeros(0, np.int64))[1])
+        out.append(_words(b[at:end], np.zeros(0, np.int64), fold)[1])
         at = end
     return np.concatenate(out)
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: first and last row, the words' hashes, and where each text's words begin."""
+def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: first and last row, the words' hashes (with A-Z as they are if not ``lower``), and where each text's words begin."""
+    fold = _LOWER if lower else _AS_IS
     data, offsets = utf8(column)
-    for i, j in _pieces(offsets):
+    for i, j in pieces(offsets):
         size = int(offsets[j] - offsets[i])
         b = data[offsets[i] : offsets[j]]
         if j == i + 1 and size > 4 * _PIECE:
-            h = _long(b)
+            h = _long(b, fold)
             yield i, j, h, np.array([0, h.size])
         elif size == 0:
             yield i, j, np.zeros(0, _U), np.zeros(j - i + 1, np.int64)
         else:
             cuts = offsets[i : j + 1] - offsets[i]
-            s, h = _words(b, cuts)
+            s, h = _words(b, cuts, fold)
             yield i, j, h, np.searchsorted(s, cuts)
 
 

@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality_rules import learn_rules, with_statistics, with_verdict
+from .substring_dedup import without_repeated_windows
 from .url_filters import filter_urls
 from ._scratch import Scratch
 
@@ -103,6 +104,13 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity_report(records, warc.as_replica(damaged, records, scratch), scratch).select("page_id", "file", "seq", "offset", "length", "digest", "status")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words cut out, and the digest of those that stay."""
+    left = without_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), width=20)
+    kept = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -114,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc_fixity": op10_warc_fixity,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 _ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,4 +144,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
         sum(24 + length(role) + length(replace(text, '<|', '<||')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+    "op11_substring_dedup": """WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END)) AS s FROM w),
+        r AS (SELECT doc_id, p, word, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM g),
+        c AS (SELECT doc_id, p, word, coalesce(p - max(p) FILTER (again) OVER (PARTITION BY doc_id ORDER BY p) < 20, false) AS gone FROM r)
+        SELECT doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
 }
