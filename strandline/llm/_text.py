@@ -25,6 +25,11 @@ _LOWER[65:91] += 32
 _tables = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
+def lowered(b: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[b]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), so that every input bit reaches every output bit."""
     h = h ^ (h >> _U(30))
@@ -75,27 +80,36 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_bounds(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end offsets of the words in b; cuts are offsets at which a word ends whatever follows."""
-    inside = _WORD[b]
+def bounds(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of the runs of true values; cuts are offsets at which a run ends whatever follows."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    cuts = cuts[(cuts > 0) & (cuts < b.size)]
+    cuts = cuts[(cuts > 0) & (cuts < inside.size)]
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _words(b: np.ndarray, cuts: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words in b, whose bytes are read through the table ``fold``."""
-    s, e = word_bounds(b, cuts)
+def word_bounds(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end offsets of the words in b; cuts are offsets at which a word ends whatever follows."""
+    return bounds(_WORD[b], cuts)
+
+
+def run_hashes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of b from s to e."""
     up, down = powers(b.size)
     total = np.zeros(b.size + 1, dtype=_U)
-    np.cumsum((fold[b].astype(_U) + _U(1)) * up, out=total[1:])
+    np.cumsum((b.astype(_U) + _U(1)) * up, out=total[1:])
     h = (total[e] - total[s]) * down[s]
     h += (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
-    return s, mix(h)
+    return mix(h)
+
+
+def _words(b: np.ndarray, cuts: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words in b, whose bytes are read through the table ``fold``."""
+    s, e = word_bounds(b, cuts)
+    return s, run_hashes(fold[b], s, e)
 
 
 def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_classifier, warc
 from .chat_format import format_conversations, read_loss, read_turns
+from .conversation_repair import repair_conversations
 from .decontaminate import contained_items
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality_rules import learn_rules, with_statistics, with_verdict
+from .spelling import variants_of_documents
 from .substring_dedup import without_repeated_windows
 from .url_filters import filter_urls
 from ._scratch import Scratch
@@ -111,6 +113,32 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with faults by a checksum of ``conv_id:turn``: dropped, emptied, without ends of sentences, repeated, or said by the user."""
+    fault = F.crc32(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", fault.alias("fault"), *(F.coalesce(c, F.lit(" ")).alias(f"was_{c}") for c in ("role", "text"))).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("was_text", "[.!?]", "")).otherwise(F.col("was_text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("was_role"))
+    copies = F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), "was_role", "was_text", F.explode(copies).alias("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired turns, for all conversations, damaged first."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged_turns(turns), order=("turn", "was_role", "was_text", "copy"))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    found = found.withColumn("repaired", said)
+    whole = turns.select("conv_id").distinct().alias("c").join(found.alias("f"), F.col("c.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("c.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")), 256).alias("repaired_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters or more that occur three times or more, each with its commoner spelling one edit away."""
+    return variants_of_documents(table(spark, sf_dir, "documents"), least_chars=5, least_n=3, drop_every=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -123,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_warc_fixity": op10_warc_fixity,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
