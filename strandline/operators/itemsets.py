@@ -27,27 +27,39 @@ def supports(lists: DataFrame) -> DataFrame:
     return lists.groupBy("items").agg(F.count("*").alias("support"))
 
 
-def frequent_levels(transactions: DataFrame, least: int, longest: int, strict: bool = False) -> list[DataFrame]:
-    """For each size 1..longest, the transaction lists (items, tid) of itemsets with support >= least (> least if ``strict``)."""
+def _candidates(good: DataFrame, size: int) -> DataFrame:
+    """(prefix, x, y) of the sets of one item more than ``size`` all of whose subsets of ``size`` items are in ``good``."""
+    ends = good.select(F.slice("items", 1, size - 1).alias("prefix"), F.element_at("items", size).alias("x"))
+    both = ends.join(ends.withColumnRenamed("x", "y"), "prefix").where("x < y")
+    whole = both.withColumn("items", F.concat("prefix", F.array("x", "y")))
+    subsets = whole.select("items", F.explode("items").alias("gone")).select("items", F.array_remove("items", F.col("gone")).alias("child"))
+    lacking = subsets.join(good.select(F.col("items").alias("child")), "child", "left_anti").select("items").distinct()
+    return whole.join(lacking, "items", "left_anti").select("prefix", "x", "y")
+
+
+def frequent_itemsets(transactions: DataFrame, least: int, longest: int | None = None, strict: bool = False) -> DataFrame:
+    """Itemsets with support >= least (> least if ``strict``) and that support, of up to ``longest`` items or of any size.
+
+    Pairs are joined by transaction, as most pairs of items never meet. From three items on, candidates
+    are made of the frequent sets and tested by their subsets first, and only theirs are the transaction
+    lists that are joined. The lists of the last level are counted but not kept.
+    """
     keep = F.col("support") > least if strict else F.col("support") >= least
-    distinct = transactions.where("item is not null").select("tid", "item").distinct()
-    level = distinct.select("tid", F.array("item").alias("items"))
-    levels = []
-    for size in range(1, longest + 1):
-        good = supports(level).where(keep).select("items")
-        level = cut(level.join(good, "items", "left_semi").select("items", "tid"))
-        levels.append(level)
-        if size < longest:
-            prefix = F.slice("items", 1, size - 1) if size > 1 else F.array().cast(level.schema["items"].dataType)
-            a = level.select("tid", prefix.alias("prefix"), F.element_at("items", size).alias("x"))
-            b = a.withColumnRenamed("x", "y")
-            level = a.join(b, ["tid", "prefix"]).where("x < y").select("tid", F.concat("prefix", F.array("x", "y")).alias("items"))
-    return levels
-
-
-def frequent_itemsets(transactions: DataFrame, least: int, longest: int, strict: bool = False) -> DataFrame:
-    """Itemsets of up to ``longest`` items with their support."""
-    return reduce(DataFrame.unionByName, [supports(x) for x in frequent_levels(transactions, least, longest, strict)])
+    lists = transactions.where("item is not null").select("tid", "item").distinct().select("tid", F.array("item").alias("items"))
+    found: list[DataFrame] = []
+    while longest is None or len(found) < longest:
+        good = cut(supports(lists).where(keep))
+        found.append(good)
+        size = len(found)
+        if size == longest or longest is None and not good.limit(1).count():
+            break
+        level = cut(lists.join(good.select("items"), "items", "left_semi").select("items", "tid"))
+        prefix = F.slice("items", 1, size - 1)
+        a = level.select("tid", prefix.alias("prefix"), F.element_at("items", size).alias("x"))
+        b = a.withColumnRenamed("x", "y")
+        both = a.join(b, ["tid", "prefix"]).where("x < y") if size == 1 else a.join(_candidates(good, size), ["prefix", "x"]).join(b, ["tid", "prefix", "y"])
+        lists = both.select("tid", F.concat("prefix", F.array("x", "y")).alias("items"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_one(sets: DataFrame, *keep: str) -> DataFrame:
@@ -74,10 +86,15 @@ def closure(transactions: DataFrame, items: list) -> DataFrame:
     return inside.groupBy("item").agg(F.count("*").alias("n")).join(holds.agg(F.count("*").alias("all")), F.expr("n = all")).select("item")
 
 
-def lattice_nodes(maximal_sets: DataFrame, longest: int) -> DataFrame:
+def longest(sets: DataFrame) -> int:
+    """Items of the largest set."""
+    return sets.agg(F.max(F.size("items"))).first()[0] or 0
+
+
+def lattice_nodes(maximal_sets: DataFrame) -> DataFrame:
     """All non-empty subsets of the maximal sets, by dropping one item at a time."""
     level, found = maximal_sets.select("items"), [maximal_sets.select("items")]
-    for _ in range(longest - 1):
+    for _ in range(longest(maximal_sets) - 1):
         level = without_one(level).select(F.col("child").alias("items")).distinct()
         found.append(level)
     return reduce(DataFrame.unionByName, found).distinct()
@@ -128,10 +145,10 @@ def compress(lists: DataFrame, edges: DataFrame) -> DataFrame:
     return lists.join(covered, ["items", "tid"], "left_anti")
 
 
-def decompress(compressed: DataFrame, edges: DataFrame, longest: int) -> DataFrame:
-    """The full lists of ``compress``: rows flow down from parents to children, level by level."""
+def decompress(compressed: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
+    """The full lists of ``compress``: rows flow down from parents to children, through ``levels`` sizes of sets."""
     full = level = compressed
-    for _ in range(longest - 1):
+    for _ in range(levels - 1):
         level = level.withColumnRenamed("items", "parent").join(edges, "parent").select(F.col("child").alias("items"), "tid").distinct()
         full = full.unionByName(level)
     return full.distinct()

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..lineage import cut
+from .itemsets import members
 
 
 def collapse(edges: DataFrame, nodes: DataFrame, theta: float, longest: int) -> DataFrame:
@@ -44,18 +45,12 @@ def assign_rows(transactions: DataFrame, groups: DataFrame, most: int = 4) -> Da
     """(tid, level, items): each row's own pattern if it is a node, else the largest subset that is one.
 
     Level is the number of dropped items, at most min(most, items - 1) of them; the lower set first among equals. Rows
-    without a match are left out.
+    without a match are left out. Rows meet the nodes by item, so no subsets are made.
     """
-    rows = transactions.groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    level = rows.groupBy("items").agg(F.count("*").alias("n")).select(F.col("items").alias("pattern"), "items")
-    nodes, found = groups.select("items").distinct(), None
-    for k in range(most + 1):
-        if k:
-            level = level.where(F.size("items") > 1).select("pattern", "items", F.explode("items").alias("gone")).select("pattern", F.array_remove("items", F.col("gone")).alias("items")).distinct()
-        hit = level.join(nodes, "items", "left_semi").select("pattern", "items", F.lit(k).alias("level"))
-        found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("pattern").agg(F.min(F.struct("level", "items")).alias("m")).select("pattern", "m.level", "m.items")
-    return rows.withColumnRenamed("items", "pattern").join(best, "pattern").select("tid", "level", "items")
+    patterns = transactions.select("tid", "item").distinct().groupBy("tid").agg(F.count("*").cast("int").alias("size"))
+    held = members(groups.select("items").distinct(), transactions).join(patterns, "tid").withColumn("level", F.col("size") - F.size("items"))
+    best = held.where(F.col("level") <= most).groupBy("tid").agg(F.min(F.struct("level", "items")).alias("m"))
+    return best.select("tid", "m.level", "m.items")
 
 
 def summaries(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -194,6 +189,3 @@ def markov_clusters(edges: DataFrame, power: int = 2, inflation: float = 2.0, ro
         now = cut(normalised(now.withColumn("v", F.pow("v", F.lit(inflation)))).where(F.col("v") > least))
     return now.groupBy("j").agg(F.max_by("i", F.struct("v", -F.col("i"))).alias("cluster"))
 
-
-def logistic_score(x: Column, top: float, steep: float, middle: float) -> Column:
-    return vec.logistic(x, top, steep, middle)

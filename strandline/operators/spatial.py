@@ -58,6 +58,71 @@ def kd_probe(points: DataFrame, splits: DataFrame, axes: list[str], max_depth: i
     return now
 
 
+def _axis_value(axes: list[str]) -> Column:
+    """The value on the axis that a point's node is split on: axes take turns with the depth."""
+    return F.element_at(F.array(*axes), (F.length("path") % len(axes) + 1).cast("int"))
+
+
+def kd_insert(points: DataFrame, splits: DataFrame, new: DataFrame, axes: list[str], method: str = "median", max_depth: int = 16, leaf_size: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A built tree (points with path, splits) with the points of ``new`` in it: points and splits as of ``kd_tree``.
+
+    New points go down the splits to a leaf. A leaf of more than ``leaf_size`` points is split again
+    on its next axis, over old and new points alike, and so are its parts, down to ``max_depth``;
+    leaves of points that are all equal stay. All other leaves are only counted. One aggregation a
+    round, for all leaves to be split at once, whatever their depth.
+    """
+    made = splits.agg(F.max(F.length("path"))).first()[0]
+    placed = kd_probe(new, splits, axes, 0 if made is None else made + 1)
+    columns = points.columns
+    now, found = cut(points.unionByName(placed.select(*columns))), [splits]
+    while True:
+        where = F.struct(*axes)
+        sizes = now.groupBy("path").agg(F.count("*").alias("n"), F.min(where).alias("a"), F.max(where).alias("z"))
+        full = cut(sizes.where((F.col("n") > leaf_size) & (F.length("path") < max_depth) & (F.col("a") != F.col("z"))).select("path"))
+        if not full.limit(1).count():
+            return now, reduce(DataFrame.unionByName, found)
+        value = now.join(full, "path", "left_semi").select("path", _axis_value(axes).alias("value"))
+        level = cut(_splits(value, "value", method).select("path", "mid", "n"))
+        axis = F.element_at(F.array(*map(F.lit, axes)), (F.length("path") % len(axes) + 1).cast("int"))
+        found.append(level.select("path", axis.alias("axis"), "mid", "n"))
+        step = F.when(F.col("mid").isNull(), "").when(_axis_value(axes) > F.col("mid"), "1").otherwise("0")
+        now = cut(now.join(level.select("path", "mid"), "path", "left").withColumn("path", F.concat("path", step)).select(*columns))
+
+
+def sparse_kd_tree(points: DataFrame, axes: list[str], method: str = "middle", depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Points with path and splits (path, axis, mid, n) of a tree whose leaves all lie at ``depth``.
+
+    The first level of each axis is one split for all nodes, made of the whole column, so that cells
+    share their planes; its path is ``?`` for every step. Deeper levels split each node that has
+    points, even a single one.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    now, splits = points.withColumn("path", F.lit("")), []
+    for k in range(depth):
+        axis = axes[k % len(axes)]
+        whole = k < len(axes)
+        level = _splits(now.withColumn("path", F.lit("?" * k)) if whole else now, axis, method).select("path", F.coalesce("mid", "hi").alias("mid"), "n")
+        splits.append(level.select("path", F.lit(axis).alias("axis"), "mid", "n"))
+        mids = F.broadcast(level.select("mid")) if whole else level.select("path", "mid")
+        now = (now.crossJoin(mids) if whole else now.join(mids, "path")).withColumn("path", F.concat("path", F.when(F.col(axis) > F.col("mid"), "1").otherwise("0"))).select(*points.columns, "path")
+        if k % 4 == 3:
+            now = cut(now)
+    return now, reduce(DataFrame.unionByName, splits)
+
+
+def sparse_kd_insert(points: DataFrame, splits: DataFrame, new: DataFrame, axes: list[str], depth: int = 8) -> DataFrame:
+    """The points of a sparse tree and of ``new``, with path. No node is split again; below a node that had no points, new ones go left."""
+    now = new.withColumn("path", F.lit(""))
+    for k in range(depth):
+        axis = axes[k % len(axes)]
+        whole = k < len(axes)
+        level = splits.where(F.length("path") == k).select("path", "mid")
+        now = now.crossJoin(F.broadcast(level.select("mid"))) if whole else now.join(level, "path", "left")
+        now = now.withColumn("path", F.concat("path", F.when(F.col(axis) > F.col("mid"), "1").otherwise("0"))).drop("mid")
+    return points.unionByName(now.select(*points.columns))
+
+
 def under(points: DataFrame, key: str) -> DataFrame:
     """All points under a path prefix."""
     return points.where(F.col("path").startswith(key))

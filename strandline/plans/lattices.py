@@ -1,27 +1,40 @@
-"""Itemsets, lattices, clusters and samples over embeddings (dimension on if its value is over a cutoff), orders and events."""
+"""Itemsets, lattices, clusters and samples over embeddings (dimension on if its value is over a cutoff), orders and events.
+
+Supports are shares of the rows, over all dimensions, and sets may have any size.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import itemsets as it
 from ..operators import lattice as op
+from ..operators import maintained
 from ..operators import sampling as sa
+from ..operators.concepts import formal_concepts as concepts_of
 from ..operators.labelling import centroids
+from ..operators.maxminer import least_count, max_miner
 from .tables import LONG, events, frames, rounded, table
 
-KR, CUT, LONGEST = list(range(12)), 0.1, 3
+CUT = 0.1
+#: Least supports, as shares of the rows: of a lattice's nodes, and of sets that no lattice is made of.
+SHARE, RARE = 0.02, 0.015
 LOW, HIGH, BINS = -0.5, 0.5, 20
 
 
-def _least(spark: SparkSession, sf: str) -> int:
-    """A tenth of the rows."""
-    return frames(spark, sf).count() // 10
+def _least(spark: SparkSession, sf: str, share: float) -> int:
+    rows = frames(spark, sf)
+    return least_count(rows, share, rows.count())
 
 
 def _on(spark: SparkSession, sf: str) -> DataFrame:
-    return it.contacts(frames(spark, sf), "vec_id", "x", CUT, KR)
+    return it.contacts(frames(spark, sf), "vec_id", "x", CUT)
+
+
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    return frames(spark, sf).select(F.col("vec_id").alias("tid"), F.posexplode("x").alias("feature", "x"))
 
 
 def _key(c: str = "items") -> F.Column:
@@ -36,20 +49,30 @@ def itemsets_k2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def itemsets_k3(spark: SparkSession, sf: str) -> DataFrame:
-    return it.frequent_itemsets(_on(spark, sf), 10, 3).where(F.size("items") == 3).select(_key(), "support")
+    found = it.frequent_itemsets(_on(spark, sf), _least(spark, sf, RARE), 3)
+    return found.where(F.size("items") == 3).select(_key(), "support")
 
 
 def itemsets_strict(spark: SparkSession, sf: str) -> DataFrame:
-    """Itemsets with support over (not at) a count."""
-    return it.frequent_itemsets(_on(spark, sf), 60, 2, strict=True).select(_key(), "support")
+    """Itemsets of any size with support over (not at) a count."""
+    return it.frequent_itemsets(_on(spark, sf), _least(spark, sf, RARE), strict=True).select(_key(), "support")
 
 
 def maximal_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    return it.maximal(it.frequent_itemsets(_on(spark, sf), 30, 3)).select(_key(), "support")
+    return max_miner(_on(spark, sf), _least(spark, sf, RARE))[0].select(_key(), "support")
 
 
 def closed_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    return it.closed(it.frequent_itemsets(_on(spark, sf), 5, 4)).where(F.size("items") <= 3).select(_key(), "support")
+    """Closed sets with enough rows, one item or more."""
+    return concepts_of(_on(spark, sf), _least(spark, sf, RARE)).where(F.size("items") > 0).select(_key(), "support")
+
+
+def formal_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    """All concepts of the order lines by flag, status, and steps of quantity and discount; lines of one number in an order count as one."""
+    steps = [F.when(F.col("l_quantity") >= q, F.lit(f"quantity {q}")) for q in (10, 20, 30, 40)] + [F.when(F.col("l_discount") >= d / 100, F.lit(f"discount {d}")) for d in (3, 6)]
+    marks = F.array(F.concat(F.lit("flag "), "l_returnflag"), F.concat(F.lit("status "), "l_linestatus"), *steps)
+    lines = table(spark, sf, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("tid"), F.explode(F.array_compact(marks)).alias("item"))
+    return concepts_of(lines).select(F.array_join("items", ",").alias("items"), "support")
 
 
 def itemset_closure(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +81,7 @@ def itemset_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unique_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return it.patterns(it.contacts(frames(spark, sf), "vec_id", "x", CUT, [0, 1, 2, 3, 4])).select(_key(), "n", F.array_join("tids", ",").alias("tids"))
+    return it.patterns(_on(spark, sf)).select(_key(), "n", F.array_join("tids", ",").alias("tids"))
 
 
 def feature_reduction(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,15 +91,14 @@ def feature_reduction(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lattice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     on = _on(spark, sf)
-    nodes = it.lattice_nodes(it.maximal(it.frequent_itemsets(on, 30, LONGEST)), LONGEST)
+    nodes = cut(it.lattice_nodes(max_miner(on, _least(spark, sf, SHARE))[0]))
     return on, nodes, it.lattice_edges(nodes)
 
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     on, nodes, edges = _lattice(spark, sf)
-    values = frames(spark, sf).select(F.col("vec_id").alias("tid"), F.posexplode("x").alias("feature", "x")).where(F.col("feature").isin(KR))
-    means = it.mean_bins(it.members(nodes, on), values, LOW, HIGH, BINS)
-    return on, nodes, it.edge_weights(edges, means, BINS)
+    means = it.mean_bins(it.members(nodes, on), _values(spark, sf), LOW, HIGH, BINS)
+    return on, nodes, cut(it.edge_weights(edges, means, BINS))
 
 
 def lattice_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,13 +113,13 @@ def lattice_edges_emd(spark: SparkSession, sf: str) -> DataFrame:
 
 def lattice_collapse(spark: SparkSession, sf: str) -> DataFrame:
     _, nodes, edges = _weighted(spark, sf)
-    return rounded(op.collapse(edges, nodes, 0.8, LONGEST).select(_key("root"), _key("items"), "weight"))
+    return rounded(op.collapse(edges, nodes, 0.8, it.longest(nodes)).select(_key("root"), _key("items"), "weight"))
 
 
 def lattice_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes of the groups in which nodes follow their closest parent."""
     _, nodes, edges = _weighted(spark, sf)
-    return op.groups_by_best_parent(edges, nodes, 1.0, LONGEST).groupBy("root").agg(F.count("*").alias("n")).select(_key("root"), "n")
+    return op.groups_by_best_parent(edges, nodes, 1.0, it.longest(nodes)).groupBy("root").agg(F.count("*").alias("n")).select(_key("root"), "n")
 
 
 def lattice_compression(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,19 +135,48 @@ def lattice_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Number of downward paths by root and length."""
     _, nodes, edges = _lattice(spark, sf)
     roots = nodes.join(edges.select(F.col("child").alias("items")).distinct(), "items", "left_anti")
-    return rounded(op.paths(edges, roots, LONGEST).groupBy("root", F.size("path").alias("steps")).agg(F.count("*").alias("n")).select(_key("root"), "steps", "n"))
+    return rounded(op.paths(edges, roots, it.longest(nodes)).groupBy("root", F.size("path").alias("steps")).agg(F.count("*").alias("n")).select(_key("root"), "steps", "n"))
 
 
 def merged_supports(spark: SparkSession, sf: str) -> DataFrame:
     """Supports of two halves of the rows, mined on their own and merged: the same as of all rows."""
     on = _on(spark, sf)
     parts = [it.frequent_itemsets(on.where(F.col("tid") % 2 == k), 1, 2) for k in (0, 1)]
-    return it.merge_supports(parts[0], parts[1], 30).select(_key(), "support")
+    return it.merge_supports(parts[0], parts[1], _least(spark, sf, SHARE)).select(_key(), "support")
+
+
+def _halves(spark: SparkSession, sf: str) -> maintained.Lattice:
+    """The lattice of the rows of even ids, merged with that of the rows of odd ids."""
+    ids = table(spark, sf, "embeddings").agg(F.count_if(F.col("vec_id") % 2 == 0), F.count_if(F.col("vec_id") % 2 == 1)).first()
+    built = []
+    for k in (0, 1):
+        part = [df.where(F.col("tid") % 2 == k).withColumn("tid", F.floor(F.col("tid") / 2)) for df in (_on(spark, sf), _values(spark, sf))]
+        built.append(maintained.build(*part, ids[k], SHARE, (LOW, HIGH, BINS)))
+    return maintained.merge(*built)
+
+
+def lattice_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of two merged lattices, with the number and sum of their rows, those of the second batch numbered after the first."""
+    return _halves(spark, sf).rows.groupBy("items").agg(F.count("*").alias("n"), F.sum("tid").alias("tids")).select(_key(), "n", "tids")
+
+
+def lattice_merge_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted edges of two merged lattices: those of all rows."""
+    return rounded(_halves(spark, sf).edges.select(_key("child"), _key("parent"), "emd"))
+
+
+def lattice_extend(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted edges of a lattice without the last dimension, to which it is then added."""
+    on, values = _on(spark, sf), _values(spark, sf)
+    last = values.agg(F.max("feature")).first()[0]
+    old = maintained.build(on.where(F.col("item") < last), values.where(F.col("feature") < last), frames(spark, sf).count(), SHARE, (LOW, HIGH, BINS))
+    new = maintained.extend(old, on.where(F.col("item") == last), values.where(F.col("feature") == last))
+    return rounded(new.edges.select(_key("child"), _key("parent"), "emd"))
 
 
 def cuboid_assignment(spark: SparkSession, sf: str) -> DataFrame:
     on, nodes, _ = _lattice(spark, sf)
-    return rounded(op.assign_rows(on, nodes, 12).groupBy("level").agg(F.count("*").alias("n")))
+    return rounded(op.assign_rows(on, nodes, 64).groupBy("level").agg(F.count("*").alias("n")))
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -250,22 +301,26 @@ def top_unexecuted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.top_unexecuted(c, done, "c_custkey", "c_acctbal", 25))
 
 
-QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, merged_supports, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, aged_queue, top_unexecuted)}
+QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, aged_queue, top_unexecuted)}
 
-_ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE i < 12 AND v > {CUT})"
-_K = """k1 AS (SELECT [item] AS items, count(*) AS support FROM o GROUP BY ALL HAVING count(*) {t}),
-    k2 AS (SELECT [a.item, b.item] AS items, count(*) AS support FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item GROUP BY ALL HAVING count(*) {t}),
-    k3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS support FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item JOIN o c ON b.tid = c.tid AND b.item < c.item GROUP BY ALL HAVING count(*) {t}),
-    k4 AS (SELECT [a.item, b.item, c.item, d.item] AS items, count(*) AS support FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item JOIN o c ON b.tid = c.tid AND b.item < c.item JOIN o d ON c.tid = d.tid AND c.item < d.item GROUP BY ALL HAVING count(*) {t}),
-    f AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)"""
+_ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE v > {CUT})"
 _S = "array_to_string(items, ',') AS items"
-_NODES = f"{_ON}, {_K.format(t='>= 30')}, nd AS (SELECT items, row_number() OVER () AS id FROM f), mb AS (SELECT nd.items, o.tid FROM nd JOIN o ON list_contains(nd.items, o.item) GROUP BY ALL HAVING count(*) = any_value(len(nd.items)))"
-_EDGES = f"{_NODES}, e AS (SELECT c.items AS child, p.items AS parent FROM nd c JOIN nd p ON len(p.items) = len(c.items) + 1 AND list_has_all(p.items, c.items))"
-_EMD = f"""{_EDGES}, h AS (SELECT mb.items, x.i AS feature, least(floor((x.v - ({LOW})::DOUBLE) * {BINS} / 1.0::DOUBLE), {BINS - 1}) AS bin FROM mb JOIN x ON x.vec_id = mb.tid WHERE x.i < 12 AND x.v BETWEEN {LOW} AND {HIGH}),
-    hh AS (SELECT items, feature, bin, count(*) AS n FROM h GROUP BY ALL), ht AS (SELECT items, feature, sum(n) AS t FROM hh GROUP BY ALL),
+
+
+def _sets(share: float, over: str = ">=", tid: str = "tid") -> str:
+    """All sets with enough rows, of any size, with their rows."""
+    return f"""{_ON}, z AS (SELECT ceil({share} * count(*)) AS least FROM embeddings),
+    s AS (SELECT item, list({tid} ORDER BY tid) AS tids FROM o GROUP BY item HAVING count(*) {over} (SELECT least FROM z)),
+    f AS (SELECT [item] AS items, tids FROM s UNION ALL SELECT list_append(f.items, s.item), list_intersect(f.tids, s.tids) FROM f JOIN s ON s.item > f.items[len(f.items)] CROSS JOIN z WHERE len(list_intersect(f.tids, s.tids)) {over} z.least)"""
+
+
+_PARTS = ", u AS (SELECT items, len(tids) AS support, unnest(items) AS gone FROM f WHERE len(items) > 1), w1 AS (SELECT DISTINCT list_filter(items, lambda y: y <> gone) AS items, support FROM u)"
+_NODES = f"{_sets(SHARE)}, nd AS (SELECT items, row_number() OVER () AS id FROM f), mb AS (SELECT items, unnest(tids) AS tid FROM f)"
+_EDGES = f"{_NODES}, e AS (SELECT list_filter(items, lambda y: y <> gone) AS child, items AS parent FROM (SELECT items, unnest(items) AS gone FROM f WHERE len(items) > 1))"
+_EMD = f"""{_EDGES}, h AS (SELECT mb.items, x.i AS feature, least(floor((x.v - ({LOW})::DOUBLE) * {BINS} / 1.0::DOUBLE), {BINS - 1}) AS bin FROM mb JOIN x ON x.vec_id = mb.tid WHERE list_contains(mb.items, x.i) AND x.v BETWEEN {LOW} AND {HIGH}),
+    hp AS (SELECT items, feature, avg(bin) AS mean FROM h GROUP BY ALL),
     ef AS (SELECT child, parent, unnest(child) AS feature FROM e),
-    fl AS (SELECT ef.child, ef.parent, ef.feature, (SELECT sum(({BINS - 1} - bin) * n) / any_value(t) FROM hh JOIN ht USING (items, feature) WHERE items = ef.child AND feature = ef.feature) - (SELECT sum(({BINS - 1} - bin) * n) / any_value(t) FROM hh JOIN ht USING (items, feature) WHERE items = ef.parent AND feature = ef.feature) AS flow FROM ef),
-    w AS (SELECT child, parent, sqrt(sum((flow / {BINS - 1}) * (flow / {BINS - 1}))) AS emd FROM fl GROUP BY ALL)"""
+    w AS (SELECT ef.child, ef.parent, sqrt(sum(((p.mean - c.mean) / {BINS - 1}) * ((p.mean - c.mean) / {BINS - 1}))) AS emd FROM ef JOIN hp c ON c.items = ef.child AND c.feature = ef.feature JOIN hp p ON p.items = ef.parent AND p.feature = ef.feature GROUP BY ef.child, ef.parent)"""
 _DIST = "c AS (SELECT label AS state, i, avg(v) AS v FROM x GROUP BY ALL), d AS (SELECT x.vec_id, any_value(x.label) AS label, sqrt(sum((x.v - c.v) * (x.v - c.v))) AS d FROM x JOIN c ON x.i = c.i AND x.label = c.state GROUP BY x.vec_id)"
 _SUMS = "mo AS (SELECT label, i, count(*) AS n, var_samp(v) AS q FROM x GROUP BY ALL), cl AS (SELECT label::BIGINT AS final, max(n) AS n, sum(q) AS variance FROM mo GROUP BY label)"
 
@@ -277,30 +332,39 @@ def _h(c: str, seed: int = 0) -> str:
 
 ORACLE_SQL = {
     "itemsets_k2": "WITH o AS (SELECT DISTINCT l_orderkey AS t, l_suppkey AS i FROM lineitem) SELECT x.i AS a, y.i AS b, count(*) AS support FROM o x JOIN o y ON x.t = y.t AND x.i < y.i GROUP BY ALL HAVING count(*) >= 2",
-    "itemsets_k3": f"WITH {_ON}, {_K.format(t='>= 10')} SELECT {_S}, support FROM k3",
-    "itemsets_strict": f"WITH {_ON}, {_K.format(t='> 60')} SELECT {_S}, support FROM k1 UNION ALL SELECT {_S}, support FROM k2",
-    "maximal_itemsets": f"WITH {_ON}, {_K.format(t='>= 30')} SELECT {_S}, support FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE len(b.items) > len(a.items) AND list_has_all(b.items, a.items))",
-    "closed_itemsets": f"WITH {_ON}, {_K.format(t='>= 5')}, g AS (SELECT * FROM f UNION ALL SELECT * FROM k4) SELECT {_S}, support FROM f a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.support = a.support AND len(b.items) > len(a.items) AND list_has_all(b.items, a.items))",
+    "itemsets_k3": f"WITH RECURSIVE {_sets(RARE)} SELECT {_S}, len(tids) AS support FROM f WHERE len(items) = 3",
+    "itemsets_strict": f"WITH RECURSIVE {_sets(RARE, '>')} SELECT {_S}, len(tids) AS support FROM f",
+    "maximal_itemsets": f"WITH RECURSIVE {_sets(RARE)}{_PARTS} SELECT {_S}, len(tids) AS support FROM f WHERE items NOT IN (SELECT items FROM w1)",
+    "closed_itemsets": f"WITH RECURSIVE {_sets(RARE)}{_PARTS} SELECT {_S}, len(tids) AS support FROM f WHERE NOT EXISTS (SELECT 1 FROM w1 WHERE w1.items = f.items AND w1.support = len(f.tids))",
+    "formal_concepts": """WITH RECURSIVE m AS (SELECT l_orderkey, l_linenumber, unnest(['flag ' || l_returnflag, 'status ' || l_linestatus, CASE WHEN l_quantity >= 10 THEN 'quantity 10' END, CASE WHEN l_quantity >= 20 THEN 'quantity 20' END, CASE WHEN l_quantity >= 30 THEN 'quantity 30' END,
+        CASE WHEN l_quantity >= 40 THEN 'quantity 40' END, CASE WHEN l_discount >= 0.03 THEN 'discount 3' END, CASE WHEN l_discount >= 0.06 THEN 'discount 6' END]) AS item FROM lineitem),
+        t AS (SELECT list_sort(list(DISTINCT item)) AS items FROM m WHERE item IS NOT NULL GROUP BY l_orderkey, l_linenumber), p AS (SELECT items, count(*) AS n FROM t GROUP BY 1),
+        c AS (SELECT items FROM p UNION SELECT list_sort(list_intersect(c.items, p.items)) FROM c JOIN p ON true)
+        SELECT array_to_string(c.items, ',') AS items, sum(n)::BIGINT AS support FROM c JOIN p ON list_has_all(p.items, c.items) GROUP BY c.items""",
     "itemset_closure": f"WITH {LONG}, o AS (SELECT vec_id, i FROM x WHERE v > 0), h AS (SELECT vec_id FROM o WHERE i IN (0, 1, 2) GROUP BY 1 HAVING count(*) = 3) SELECT i AS item FROM o WHERE vec_id IN (FROM h) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM h)",
-    "unique_patterns": f"WITH {LONG}, p AS (SELECT vec_id, list(i ORDER BY i) AS items FROM x WHERE i < 5 AND v > {CUT} GROUP BY 1) SELECT {_S}, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS tids FROM p GROUP BY p.items",
+    "unique_patterns": f"WITH {LONG}, p AS (SELECT vec_id, list(i ORDER BY i) AS items FROM x WHERE v > {CUT} GROUP BY 1) SELECT {_S}, count(*) AS n, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS tids FROM p GROUP BY p.items",
     "feature_reduction": f"""WITH {LONG}, o AS (SELECT vec_id AS tid, i AS item FROM x WHERE v > 0.05), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT item, count(*) AS ones FROM o GROUP BY 1), k AS (SELECT s.* FROM s, n WHERE ones >= 0.2 * n AND ones <= n - 0.2 * n),
         d AS (SELECT a.item AS a, b.item AS b, any_value(ka.ones) + any_value(kb.ones) - 2 * count(*) AS diff FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item JOIN k ka ON ka.item = a.item JOIN k kb ON kb.item = b.item GROUP BY a.item, b.item)
         SELECT item, ones FROM k WHERE item NOT IN (SELECT a FROM d, n WHERE diff < 0.4 * n) ORDER BY ones, item LIMIT 20""",
-    "lattice_members": f"WITH {_NODES} SELECT {_S}, count(*) AS n, sum(tid)::BIGINT AS tids FROM mb GROUP BY mb.items",
-    "lattice_edges_emd": f"WITH {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",
+    "lattice_members": f"WITH RECURSIVE {_NODES} SELECT {_S}, count(*) AS n, sum(tid)::BIGINT AS tids FROM mb GROUP BY mb.items",
+    "lattice_edges_emd": f"WITH RECURSIVE {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",
     "lattice_collapse": f"""WITH RECURSIVE {_EMD}, cs AS (SELECT child, parent, 1 - emd AS sim FROM w WHERE 1 - emd >= 0.8), up AS (SELECT items AS root, items, 1.0::DOUBLE AS weight FROM nd WHERE items NOT IN (SELECT child FROM cs)
         UNION ALL SELECT up.root, cs.child, up.weight * cs.sim FROM up JOIN cs ON cs.parent = up.items)
         SELECT array_to_string(root, ',') AS root, array_to_string(items, ',') AS items, round(max(weight), 6) AS weight FROM up GROUP BY up.root, up.items""",
-    "lattice_groups": f"""WITH {_EMD}, b AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY emd, parent) AS r FROM w WHERE emd <= 1), up AS (SELECT child, parent FROM b WHERE r = 1),
-        g AS (SELECT nd.items, coalesce(u2.parent, u1.parent, nd.items) AS root FROM nd LEFT JOIN up u1 ON u1.child = nd.items LEFT JOIN up u2 ON u2.child = u1.parent)
-        SELECT array_to_string(root, ',') AS root, count(*) AS n FROM g GROUP BY g.root""",
-    "lattice_compression": f"""WITH {_EDGES}, cv AS (SELECT DISTINCT e.child AS items, mb.tid FROM e JOIN mb ON mb.items = e.parent)
+    "lattice_groups": f"""WITH RECURSIVE {_EMD}, b AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY emd, parent) AS r FROM w WHERE emd <= 1), up AS (SELECT child, parent FROM b WHERE r = 1),
+        g AS (SELECT items, items AS root FROM nd UNION ALL SELECT g.items, up.parent FROM g JOIN up ON up.child = g.root),
+        t AS (SELECT items, max_by(root, len(root)) AS root FROM g GROUP BY items)
+        SELECT array_to_string(root, ',') AS root, count(*) AS n FROM t GROUP BY t.root""",
+    "lattice_compression": f"""WITH RECURSIVE {_EDGES}, cv AS (SELECT DISTINCT e.child AS items, mb.tid FROM e JOIN mb ON mb.items = e.parent)
         SELECT array_to_string(mb.items, ',') AS items, count(*) AS n, count(*) FILTER (cv.tid IS NULL) AS own FROM mb LEFT JOIN cv ON mb.items = cv.items AND mb.tid = cv.tid GROUP BY mb.items""",
     "lattice_paths": f"""WITH RECURSIVE {_EDGES}, pa AS (SELECT items AS root, items AS node, 1 AS steps FROM nd WHERE items NOT IN (SELECT child FROM e) UNION ALL SELECT root, e.child, steps + 1 FROM pa JOIN e ON e.parent = pa.node)
         SELECT array_to_string(root, ',') AS root, steps::BIGINT AS steps, count(*) AS n FROM pa GROUP BY pa.root, steps""",
-    "merged_supports": f"WITH {_ON}, {_K.format(t='>= 30')} SELECT {_S}, support FROM k1 UNION ALL SELECT {_S}, support FROM k2",
-    "cuboid_assignment": f"""WITH {_NODES}, p AS (SELECT tid, list(item ORDER BY item) AS items FROM o GROUP BY 1), m AS (SELECT p.tid, max(len(nd.items)) AS k, any_value(len(p.items)) AS n FROM p JOIN nd ON list_has_all(p.items, nd.items) GROUP BY 1)
-        SELECT n - k AS level, count(*) AS n FROM m GROUP BY n - k""",
+    "merged_supports": f"WITH RECURSIVE {_sets(SHARE)} SELECT {_S}, len(tids) AS support FROM f WHERE len(items) <= 2",
+    "lattice_merge": f"WITH RECURSIVE {_sets(SHARE, tid='tid // 2 + (tid % 2) * (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0)')} SELECT {_S}, len(tids) AS n, list_sum(tids)::BIGINT AS tids FROM f",
+    "lattice_merge_edges": f"WITH RECURSIVE {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",
+    "lattice_extend": f"WITH RECURSIVE {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",
+    "cuboid_assignment": f"""WITH RECURSIVE {_NODES}, p AS (SELECT tid, count(*) AS n FROM o GROUP BY 1), m AS (SELECT tid, max(len(items)) AS k FROM mb GROUP BY 1)
+        SELECT n - k AS level, count(*) AS n FROM p JOIN m USING (tid) GROUP BY n - k""",
     "cluster_summaries": f"WITH {LONG}, {_SUMS} SELECT final, n, round(variance, 6) AS variance FROM cl",
     "cluster_scores": f"WITH {LONG}, {_SUMS} SELECT final, n, round(variance, 6) AS variance, round(greatest(min(variance) OVER () / variance + 1 - 4.0 * n / (sum(n) OVER ())::DOUBLE, 0), 6) AS score FROM cl",
     "ranked_members": f"WITH {LONG}, {_DIST}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM d) SELECT label::BIGINT AS label, vec_id, round(d, 6) AS d, rank FROM r WHERE rank <= 3",

@@ -47,6 +47,32 @@ def kd_subtree(spark: SparkSession, sf: str) -> DataFrame:
     return op.under(points, "01").select("vec_id", "path")
 
 
+#: Of the tree with insertion: depth of the first build, greatest depth, and size of a leaf. Depth of the sparse tree.
+BUILT, DEEPEST, LEAF, SPARSE = 3, 8, 12, 5
+
+
+def kd_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree of the points of even ids, into which those of odd ids are put: the leaf of every point."""
+    points = axes(frames(spark, sf), 3)
+    tree, splits = op.kd_tree(points.where("vec_id % 2 = 0"), AXES, "middle", BUILT, LEAF)
+    return op.kd_insert(tree, splits, points.where("vec_id % 2 = 1"), AXES, "middle", DEEPEST, LEAF)[0].select("vec_id", "path")
+
+
+def kd_insert_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The splits that a second batch of points adds to a tree."""
+    points = axes(frames(spark, sf), 3)
+    tree, splits = op.kd_tree(points.where("vec_id % 2 = 0"), AXES, "middle", BUILT, LEAF)
+    made = op.kd_insert(tree, splits, points.where("vec_id % 2 = 1"), AXES, "middle", DEEPEST, LEAF)[1]
+    return rounded(made.join(splits.select("path"), "path", "left_anti").select("path", "axis", "mid", "n"))
+
+
+def sparse_kd_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves of a sparse tree of the points of even ids with those of odd ids put in: all at one depth."""
+    points = axes(frames(spark, sf), 3)
+    tree, splits = op.sparse_kd_tree(points.where("vec_id % 2 = 0"), AXES, "middle", SPARSE)
+    return op.sparse_kd_insert(tree, splits, points.where("vec_id % 2 = 1"), AXES, SPARSE).select("vec_id", "path")
+
+
 def kd_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     p = axes(frames(spark, sf), 10)
     return rounded(p.groupBy(op.grid_cell([F.col(f"x{k}") for k in range(10)], [0.0] * 10).alias("cell")).agg(F.count("*").alias("n")))
@@ -150,7 +176,7 @@ def norms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(f.select("vec_id", vec.norm(F.col("x")).alias("norm"), F.array_max("x").alias("top"), (F.array_position("x", F.array_max("x")) - 1).alias("argmax")))
 
 
-QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_subtree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
+QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_subtree, kd_insert, kd_insert_splits, sparse_kd_tree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
 
 
 def _levels(mid: str, source: str = "p") -> str:
@@ -174,6 +200,32 @@ def _gap_levels() -> tuple[str, str]:
     return ", ".join(out), f"t{DEPTH}"
 
 
+_MID = "(max(x{k}) + min(x{k})) / 2"
+
+
+def _step(to: str, source: str, mids: str, axis: int) -> str:
+    return f"{to} AS (SELECT t.* EXCLUDE (path), t.path || CASE WHEN m.mid IS NULL THEN '' WHEN t.x{axis} > m.mid THEN '1' ELSE '0' END AS path FROM {source} t LEFT JOIN {mids} m USING (path))"
+
+
+def _insert_levels() -> str:
+    """u<DEEPEST>: all points with their leaves; v<k>: the splits that the second batch made at depth k."""
+    out = ["a0 AS (SELECT *, '' AS path FROM p WHERE vec_id % 2 = 0), b0 AS (SELECT *, '' AS path FROM p WHERE vec_id % 2 = 1)"]
+    for k in range(BUILT):
+        out += [f"m{k} AS (SELECT path, {_MID.format(k=k)} AS mid FROM a{k} WHERE length(path) = {k} GROUP BY path HAVING count(*) > {LEAF})", _step(f"a{k + 1}", f"a{k}", f"m{k}", k), _step(f"b{k + 1}", f"b{k}", f"m{k}", k)]
+    out.append(f"u0 AS (SELECT * FROM a{BUILT} UNION ALL SELECT * FROM b{BUILT})")
+    for k in range(DEEPEST):
+        out += [f"v{k} AS (SELECT path, {_MID.format(k=k % 3)} AS mid, count(*) AS n FROM u{k} WHERE length(path) = {k} GROUP BY path HAVING count(*) > {LEAF})", _step(f"u{k + 1}", f"u{k}", f"v{k}", k % 3)]
+    return ", ".join(out)
+
+
+def _sparse_levels() -> str:
+    out = ["a0 AS (SELECT *, '' AS path FROM p WHERE vec_id % 2 = 0), b0 AS (SELECT *, '' AS path FROM p WHERE vec_id % 2 = 1)"]
+    for k in range(SPARSE):
+        mid = f"(SELECT {_MID.format(k=k)} FROM a0)" if k < 3 else f"(SELECT {_MID.format(k=k % 3)} FROM a{k} WHERE a{k}.path = t.path)"
+        out += [f"{t}{k + 1} AS (SELECT t.* EXCLUDE (path), t.path || CASE WHEN t.x{k % 3} > {mid} THEN '1' ELSE '0' END AS path FROM {t}{k} t)" for t in "ab"]
+    return ", ".join(out)
+
+
 _P = "p AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS x{k}" for k in range(10)) + " FROM embeddings)"
 _R = " * ".join(f"(CASE WHEN max(x{k}) = min(x{k}) THEN 0.001::DOUBLE ELSE max(x{k}) - min(x{k}) END)" for k in range(3))
 
@@ -196,6 +248,9 @@ ORACLE_SQL = {
     "kd_tree_leaves_max_gap": _leaves(_gap_levels()),
     "kd_probe": f"WITH {_P}, {_TREE_PROBE[0]}, q0 AS (SELECT *, '' AS path FROM p WHERE vec_id % 2 = 1), " + ", ".join(f"q{k + 1} AS (SELECT q.* EXCLUDE (path), q.path || CASE WHEN m.mid IS NULL THEN '' WHEN q.x{k} > m.mid THEN '1' ELSE '0' END AS path FROM q{k} q LEFT JOIN m{k} m USING (path))" for k in range(DEPTH)) + f" SELECT vec_id, path FROM q{DEPTH}",
     "kd_subtree": f"WITH {_P}, {_levels('(max({x}) + min({x})) / 2')[0]} SELECT vec_id, path FROM t{DEPTH} WHERE path LIKE '01%'",
+    "kd_insert": f"WITH {_P}, {_insert_levels()} SELECT vec_id, path FROM u{DEEPEST}",
+    "kd_insert_splits": f"WITH {_P}, {_insert_levels()} " + " UNION ALL ".join(f"SELECT path, 'x{k % 3}' AS axis, round(mid, 6) AS mid, n FROM v{k}" for k in range(DEEPEST)),
+    "sparse_kd_tree": f"WITH {_P}, {_sparse_levels()} SELECT vec_id, path FROM a{SPARSE} UNION ALL SELECT vec_id, path FROM b{SPARSE}",
     "kd_grid_cells": f"WITH {_P} SELECT ({_cell(range(10))})::BIGINT AS cell, count(*) AS n FROM p GROUP BY 1",
     "kd_region_count": f"WITH {_P} SELECT 'a' AS region, count(*) AS n FROM p WHERE x0 > 0 AND x1 > 0 UNION ALL SELECT 'b', count(*) FROM p WHERE x0 <= 0 AND x2 > 0 UNION ALL SELECT 'c', count(*) FROM p WHERE x2 <= 0 AND x3 <= 0 AND x4 > 0",
     "cell_overlap": f"WITH {_AB} SELECT a, b, n FROM o",

@@ -70,7 +70,7 @@ def test_itemset_supports_and_lattice(spark):
     assert found == {"a": 3, "b": 4, "c": 3, "ab": 3, "ac": 2, "bc": 3, "abc": 2}
     top = itemsets.maximal(itemsets.frequent_itemsets(rows, 2, 3))
     assert ["".join(r["items"]) for r in top.collect()] == ["abc"]
-    nodes = itemsets.lattice_nodes(top, 3)
+    nodes = itemsets.lattice_nodes(top)
     assert nodes.count() == 7
     edges = itemsets.lattice_edges(nodes)
     assert edges.count() == 9
@@ -165,3 +165,42 @@ def test_catalog(spark, tmp_path):
     store.save("c", spark.createDataFrame([("a", 1)], "key string, v long"))
     store.append("c", spark.createDataFrame([("a", 2), ("b", 5)], "key string, v long"))
     assert {r["key"]: r["v"] for r in store.counters("c").collect()} == {"a": 3, "b": 5}
+
+
+def grid_points(spark, ids):
+    return spark.createDataFrame([(k, float(k * 37 % 101), float(k * 53 % 97)) for k in ids], "id long, x double, y double")
+
+
+@pytest.mark.parametrize("method", ["median", "mean", "middle", "max_gap"])
+def test_batches_into_a_tree(spark, method):
+    """After two batches no leaf is over its size, every point lies where the splits lead it, and untouched leaves are as they were."""
+    tree, splits = spatial.kd_tree(grid_points(spark, range(60)), ["x", "y"], method, 3, 10)
+    before = {r["path"] for r in tree.select("path").distinct().collect()}
+    for ids in (range(60, 75), range(75, 200)):
+        tree, splits = spatial.kd_insert(tree, splits, grid_points(spark, ids), ["x", "y"], method, 20, 10)
+    sizes = {r["path"]: r["count"] for r in tree.groupBy("path").count().collect()}
+    assert sum(sizes.values()) == 200 and max(sizes.values()) <= 10
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+    assert all(any(p.startswith(b) for b in before) or any(b.startswith(p) for b in before) for p in sizes)
+    again = spatial.kd_probe(grid_points(spark, range(200)), splits, ["x", "y"], 20).select("id", F.col("path").alias("again"))
+    assert tree.join(again, "id").where("path <> again").count() == 0
+    assert splits.groupBy("path").count().where("count > 1").count() == 0
+
+
+def test_equal_points_end_the_splitting(spark):
+    same = spark.createDataFrame([(k, 1.0, 2.0) for k in range(9)] + [(9, 1.0, 3.0)], "id long, x double, y double")
+    tree, splits = spatial.kd_tree(same.limit(0), ["x", "y"], "middle", 2, 3)
+    tree, splits = spatial.kd_insert(tree, splits, same, ["x", "y"], "middle", 12, 3)
+    assert sorted(r["count"] for r in tree.groupBy("path").count().collect()) == [1, 9] and splits.count() == 2
+
+
+def test_sparse_tree_shares_its_first_planes(spark):
+    points = grid_points(spark, range(50))
+    tree, splits = spatial.sparse_kd_tree(points, ["x", "y"], "middle", 5)
+    whole = {r["axis"]: r["mid"] for r in splits.where(F.length("path") < 2).collect()}
+    assert whole == {c: (points.agg(F.min(c)).first()[0] + points.agg(F.max(c)).first()[0]) / 2 for c in "xy"}
+    assert {len(r["path"]) for r in tree.collect()} == {5}
+    more = spatial.sparse_kd_insert(tree, splits, grid_points(spark, range(50, 90)), ["x", "y"], 5)
+    assert more.count() == 90 and {len(r["path"]) for r in more.collect()} == {5}
+    wrong = more.where((F.substring("path", 1, 1) == "1") != (F.col("x") > whole["x"])).count() + more.where((F.substring("path", 2, 1) == "1") != (F.col("y") > whole["y"])).count()
+    assert wrong == 0
