@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 #: Fixed values of the multiplicative hash.
 MULTIPLIER, STEP, MODULUS = 1103515245, 12345, 1 << 31
 
@@ -103,10 +105,66 @@ def knapsack_scores(rows: DataFrame, row_id: str, vector: str, target: list[floa
     return rows.select(row_id, fit.alias("score"))
 
 
+def running_total(rows: DataFrame, by: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each one in an order that leaves no ties.
+
+    Rows are dealt to ranges of the order and summed inside each; a range starts from the totals of
+    those before it, of which there is one row each. No task sees more than its range.
+    """
+    placed = cut(rows.withColumn("__value", value).repartitionByRange(*by).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__range").agg(F.sum("__value").alias("s")).select("__range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__start"))
+    own = F.sum("__value").over(Window.partitionBy("__range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + own).drop("__range", "__value", "__start")
+
+
 def knapsack_fill(rows: DataFrame, row_id: str, score: str, size: str, capacity: float) -> DataFrame:
-    """The best scored rows whose running size fits the capacity. Sizes are summed in order of the score, in one window."""
-    w = Window.partitionBy().orderBy(F.desc(score), row_id).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("filled", F.sum(size).over(w)).where(F.col("filled") <= capacity)
+    """The best scored rows whose running size fits the capacity."""
+    return running_total(rows, [F.desc(score), F.asc(row_id)], F.col(size), "filled").where(F.col("filled") <= capacity)
+
+
+def knapsack_oscillate(rows: DataFrame, chosen: DataFrame, row_id: str, vector: str, capacity: list[float], rounds: int = 100) -> tuple[DataFrame, float, float]:
+    """(chosen ids, what was unfilled or over before, and after): exchanges of chosen rows for others that fit the capacity better.
+
+    What counts is the sum over features of the distance between the chosen rows' total and the
+    capacity. Each round tries every other row in the place of every chosen one, in one pass over
+    the rows against the chosen, and makes the best exchange (the lower ids among equals) while it
+    improves. ``chosen`` (row_id) are the slots of the knapsack and must fit a broadcast, 10,000 at most.
+    """
+    held = rows.join(chosen.select(row_id), row_id, "left_semi").select(row_id, vector).limit(10_001).collect()
+    if len(held) > 10_000:
+        raise ValueError("more than 10,000 slots")
+    spark, schema = rows.sparkSession, rows.select(row_id, F.col(vector).cast("array<double>").alias(vector)).schema
+    slots = {r[row_id]: [float(x) for x in r[vector]] for r in held}
+    goal = [float(c) for c in capacity]
+    rest = lambda: [g - sum(v[k] for v in slots.values()) for k, g in enumerate(goal)]
+    first = best = sum(map(abs, rest()))
+    for _ in range(rounds if slots else 0):
+        left = F.array(*map(F.lit, rest()))
+        out = F.broadcast(spark.createDataFrame(list(slots.items()), schema).select(F.col(row_id).alias("__out"), F.zip_with(left, vector, lambda x, y: x + y).alias("__free")))
+        free = rows.join(spark.createDataFrame([(k,) for k in slots], f"{row_id} {schema[row_id].dataType.simpleString()}"), row_id, "left_anti")
+        miss = F.aggregate(F.zip_with("__free", F.col(vector).cast("array<double>"), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+        found = free.crossJoin(out).select(miss.alias("miss"), "__out", F.col(row_id).alias("__in"), F.col(vector).cast("array<double>").alias("v")).agg(F.min_by(F.struct("__out", "__in", "v", "miss"), F.struct("miss", "__out", "__in")).alias("b")).first()["b"]
+        if found is None or not found["miss"] < best - 1e-9 * max(1.0, best):
+            break
+        best = found["miss"]
+        del slots[found["__out"]]
+        slots[found["__in"]] = list(found["v"])
+    return spark.createDataFrame([(k,) for k in slots], f"{row_id} {schema[row_id].dataType.simpleString()}"), first, best
+
+
+def explorer_draws(members: DataFrame, weights: DataFrame, cluster: str, rank: str, n: int, seed: int = 0) -> DataFrame:
+    """The first ``n`` draws of clusters by their ``weights`` (cluster, w), each taking the cluster's next ranked member until it has none left.
+
+    Draws of a cluster are a Poisson process of its weight's rate, so its j-th draw comes at a sum
+    of j exponential waits; the earliest n draws of all clusters are what drawing one after the
+    other and drawing again for an exhausted cluster gives. ``members`` has an integer ``cluster``
+    and ``rank`` from 1. Adds at, by which draws are ordered.
+    """
+    u = (hash_order(hash_order(F.col(cluster), seed) + F.col(rank) * 1000003) + 0.5) / float(MODULUS)
+    own = members.where(F.col(rank) <= n).join(F.broadcast(weights.where("w > 0").select(cluster, "w")), cluster)
+    at = F.sum(-F.log(u) / F.col("w")).over(Window.partitionBy(cluster).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("at", at).drop("w").orderBy("at", cluster).limit(n)
 
 
 def fairness_weight(preference: Column, fatigue: Column, alpha: float = 0.5, beta: float = 0.5) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .sampling import running_total
 
 
 def _ordered(keys: list[str], order: str | list[str]):
@@ -206,6 +207,26 @@ def contact_matrix(events: DataFrame, keys: list[str], step: str, kind: str, fra
     return forward_fill(spine, told, keys, step, "on").withColumn("on", F.coalesce("on", F.lit(0)))
 
 
+def contact_counts(events: DataFrame, keys: list[str], step: str, kind: str, frames: DataFrame) -> DataFrame:
+    """Per frame: how many contacts are on, and the number of pairs that ever have an event, without a row for each pair and frame.
+
+    An event that changes its pair's state adds or takes one from its step on; frames read the running total.
+    """
+    on = F.when(F.col(kind) == "+++", 1).otherwise(0)
+    change = on - F.coalesce(F.lag(on).over(_ordered(keys, step)), F.lit(0))
+    changes = events.select(F.col(step).alias("step"), change.alias("change"), F.lit(0).alias("asked"))
+    asked = frames.select(F.col(step).alias("step"), F.lit(0).alias("change"), F.lit(1).alias("asked")).distinct()
+    summed = running_total(changes.unionByName(asked), [F.asc("step"), F.asc("asked")], F.col("change"), "contacts").where("asked = 1")
+    pairs = F.broadcast(events.select(*keys).distinct().agg(F.count("*").alias("pairs")))
+    return summed.crossJoin(pairs).select(F.col("step").alias(step), "contacts", "pairs")
+
+
+def strided(rows: DataFrame, keys: list[str], order: str, stride: int, first: int = 0) -> DataFrame:
+    """Every ``stride``-th row of each key in order, from the one at place ``first`` (from 0) on."""
+    placed = rows.withColumn("__place", F.row_number().over(_ordered(keys, order)) - 1 - first)
+    return placed.where((F.col("__place") >= 0) & (F.col("__place") % stride == 0)).drop("__place")
+
+
 def index_windows(rows: DataFrame, index: str, size: int, slide: int) -> DataFrame:
     """Adds window (its number) for every sliding index window that holds the row; windows that run past the last index are left out."""
     top = rows.agg(F.max(index).alias("__top"))

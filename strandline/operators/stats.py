@@ -5,9 +5,13 @@ Confidence intervals are Z * sigma / sqrt(n) with Z = 1.645 and the population d
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import MODULUS, hash_order
+
 Z = 1.645
 
 
@@ -144,6 +148,81 @@ def resampled_shares(rows: DataFrame, row_id: str, label: str, samples: int = 20
     return whole.join(spread, label).withColumn("rel", (F.col("hi") - F.col("lo")) / F.col("p"))
 
 
+def poisson_edges(rate: float) -> list[float]:
+    """Cumulated probabilities of 0, 1, 2, ... draws at a mean of ``rate``, until the rest is under 2**-32."""
+    edges, term, at, k = [], math.exp(-rate), 0.0, 0
+    while 1 - at >= 2.0**-32 and k < 10 * rate + 60:
+        at += term
+        edges.append(at)
+        k += 1
+        term *= rate / k
+    return edges
+
+
+def draws(row_id: Column, sample: Column, rate: float, seed: int = 0) -> Column:
+    """How often a row is drawn for a sample: a Poisson number from the arithmetic hash of the row's and the sample's numbers."""
+    u = hash_order(hash_order(row_id, seed) + sample * 1000003) / float(MODULUS)
+    return sum((F.when(u >= e, 1).otherwise(0) for e in poisson_edges(rate)), F.lit(0))
+
+
+def resampled_means(rows: DataFrame, row_id: str, values: list[str], samples: int, size: int, n: int, seed: int = 0) -> DataFrame:
+    """(sample, and the mean of each of ``values``) over samples with replacement of about ``size`` of the ``n`` rows.
+
+    No sample is ever made: each task adds up, for each sample, its rows times the number of times
+    that they are drawn, and only these sums are shuffled, a row for each sample. A sample that
+    draws no row has null means.
+    """
+    wide = rows.select(F.col(row_id).cast("long").alias("id"), *(F.col(v).cast("double").alias(v) for v in values), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    drawn = wide.withColumn("times", draws(F.col("id"), F.col("sample"), size / n, seed))
+    sums = drawn.groupBy("sample").agg(*(F.try_divide(F.sum(F.col("times") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("times")))).alias(v) for v in values))
+    return sums.select("sample", *values)
+
+
+def _by_feature(wide: DataFrame, values: list[str]) -> DataFrame:
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(v).alias("feature"), F.col(v).alias("m")) for v in values))).alias("x")).select("x.feature", "x.m")
+
+
+def bootstrap_replacement(rows: DataFrame, row_id: str, values: list[str], share: float = 0.1, samples: int = 100, interval_size: float = 0.9, bounds: tuple[int, int] = (10_000, 25_000), seed: int = 0) -> DataFrame:
+    """feature, mean, lo, hi and err of the means of samples with replacement.
+
+    A sample has ``share`` of the rows, but neither less nor more than ``bounds``; lo and hi are
+    percentiles of the samples' deviations from the mean, err is their distance over the mean.
+    """
+    whole = rows.agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values)).first()
+    n, size = max(1, whole["n"]), max(bounds[0], min(round(whole["n"] * share), bounds[1]))
+    low = (1 - interval_size) / 2
+    means = _by_feature(resampled_means(rows, row_id, values, samples, size, n, seed), values)
+    mean = _by_feature(rows.agg(*(F.avg(v).alias(v) for v in values)), values).withColumnRenamed("m", "mean")
+    ranked = means.join(F.broadcast(mean), "feature").groupBy("feature", "mean").agg(F.sort_array(F.collect_list(F.col("m") - F.col("mean"))).alias("d"))
+    last = F.size("d") - 1
+    at = lambda x: F.get("d", F.least(x.cast("int"), last))
+    out = ranked.select("feature", "mean", at(F.round(F.size("d") * F.lit(low))).alias("lo"), at(F.floor(F.size("d") * F.lit(1 - low))).alias("hi"))
+    return out.withColumn("err", F.abs(F.try_divide(F.col("hi") - F.col("lo"), F.col("mean"))))
+
+
+def bootstrap_param(rows: DataFrame, row_id: str, values: list[str], samples: int = 10, seed: int = 0) -> DataFrame:
+    """feature, and the normal interval of the means of samples as large as the table, around the mean of all rows."""
+    n = max(1, rows.count())
+    own = bootstrap_std(_by_feature(resampled_means(rows, row_id, values, samples, n, n, seed), values), "m", "feature")
+    mean = _by_feature(rows.agg(*(F.avg(v).alias(v) for v in values)), values).withColumnRenamed("m", "all")
+    return own.join(F.broadcast(mean), "feature").select("feature", F.col("all").alias("mean"), "ci", "sigma", "err", F.abs(F.try_divide(F.col("ci"), F.col("all"))).alias("rel"))
+
+
+def bootstrap_mv(rows: DataFrame, row_id: str, values: list[str], samples: int = 10, most: int = 50_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Two tables: feature with the normal interval of the sample means around their own mean, and (a, b, c), the covariance of the features' sample means.
+
+    All features of a sample are drawn together, so the means vary as the features do. A sample has
+    ``most`` rows, or as many as the table.
+    """
+    n = max(1, rows.count())
+    means = resampled_means(rows, row_id, values, samples, min(most, n), n, seed)
+    own = bootstrap_std(_by_feature(means, values), "m", "feature").drop("n")
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k:]]
+    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("c")) for k, (a, b) in enumerate(pairs)))
+    cov = means.agg(*(F.covar_samp(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs))).select(F.explode(cells).alias("x")).select("x.a", "x.b", "x.c")
+    return own, cov
+
+
 def order_statistics(rows: DataFrame, value: str, low: float, high: float, *keys: str) -> DataFrame:
     """The values at ranks round(n * low) and floor(n * high) of each key's sorted values, and their mean."""
     placed = rows.select(*keys, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))

@@ -5,7 +5,7 @@ Supports are shares of the rows, over all dimensions, and sets may have any size
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
@@ -289,6 +289,27 @@ def knapsack_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.knapsack_fill(p.join(scores, "p_partkey"), "p_partkey", "score", "p_size", 2000.0).select("p_partkey", "score", "filled"))
 
 
+def knapsack_oscillation(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten parts whose sizes and prices add up to a goal, best first and then exchanged; what is missing before and after."""
+    p = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("v"))
+    goal = [300.0, 110.0]
+    first = sa.knapsack_scores(p, "p_partkey", "v", [g / 10 for g in goal]).orderBy(F.desc("score"), "p_partkey").limit(10)
+    found, before, after = sa.knapsack_oscillate(p, first, "p_partkey", "v", goal, 20)
+    return rounded(found.withColumns({"before": F.lit(before), "after": F.lit(after)}))
+
+
+def explorer_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty draws of labels by their members' mean total of absolute values, each taking the next member by the sum over the label's positive dimensions."""
+    f = frames(spark, sf)
+    centres = centroids(f, "label", "x").select(F.col("state").alias("label"), "c")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    key = total(F.zip_with("x", "c", lambda v, c: F.when(c > 0, F.abs(v)).otherwise(0.0)))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("key"), "vec_id"))
+    members = f.join(F.broadcast(centres), "label").withColumn("key", key).withColumn("rank", rank).select("label", "vec_id", "rank")
+    weights = f.groupBy("label").agg(F.avg(total(F.transform("x", F.abs))).alias("w"))
+    return rounded(sa.explorer_draws(members, weights, "label", "rank", 40).select("label", "vec_id", "rank"))
+
+
 def aged_queue(spark: SparkSession, sf: str) -> DataFrame:
     """The hundred best orders of two queues; the older queue's prices age by its dates."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("priority"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("double").alias("day"))
@@ -301,7 +322,7 @@ def top_unexecuted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.top_unexecuted(c, done, "c_custkey", "c_acctbal", 25))
 
 
-QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, aged_queue, top_unexecuted)}
+QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
 
 _ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE v > {CUT})"
 _S = "array_to_string(items, ',') AS items"
@@ -380,6 +401,10 @@ ORACLE_SQL = {
     "capped_clusters": f"SELECT label::BIGINT AS label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {_h('vec_id')}, vec_id) AS k FROM embeddings) WHERE k <= 15",
     "correlation_features": f"WITH {_ON}, p AS (SELECT a.item, b.item AS other, count(*) / (SELECT count(*) FROM embeddings)::DOUBLE AS s FROM o a JOIN o b ON a.tid = b.tid AND a.item <> b.item GROUP BY a.item, b.item) SELECT item, round(avg(s), 6) AS score FROM p GROUP BY item HAVING avg(s) BETWEEN 0.01 AND 0.2",
     "knapsack_greedy": "WITH s AS (SELECT p_partkey, p_size, least(p_size / 30.0::DOUBLE, 1) + least(p_retailprice / 1500.0::DOUBLE, 1) AS score FROM part), f AS (SELECT *, sum(p_size) OVER (ORDER BY score DESC, p_partkey)::BIGINT AS filled FROM s) SELECT p_partkey, round(score, 6) AS score, filled FROM f WHERE filled <= 2000",
+    "explorer_sample": f"""WITH {LONG}, c AS (SELECT label, i, avg(v) AS c FROM x GROUP BY ALL), w AS (SELECT label, sum(abs(v)) / count(DISTINCT vec_id) AS w FROM x GROUP BY 1),
+        m AS (SELECT x.label, vec_id, sum(CASE WHEN c > 0 THEN abs(v) ELSE 0 END) AS key FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key DESC, vec_id) AS rank FROM m),
+        a AS (SELECT r.label, vec_id, rank, sum(-ln(({_h(_h('r.label::BIGINT') + ' + rank * 1000003')} + 0.5::DOUBLE) / 2147483648.0::DOUBLE) / w) OVER (PARTITION BY r.label ORDER BY rank) AS waited FROM r JOIN w USING (label))
+        SELECT label::BIGINT AS label, vec_id, rank FROM a ORDER BY waited, label LIMIT 40""",
     "aged_queue": "WITH o AS (SELECT o_orderkey, o_totalprice AS p, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS day FROM orders), u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN p * day / 4000 ELSE p END AS priority, day FROM o) SELECT o_orderkey, round(priority, 4) AS priority, day FROM u ORDER BY priority DESC, day DESC LIMIT 100",
     "top_unexecuted": "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0) ORDER BY c_acctbal DESC, c_custkey LIMIT 25",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vec
 from ..operators import relational as op
+from ..operators.sampling import running_total
 from ..sources import catalog, logs
 from .tables import events, frames, rounded, table
 
@@ -157,9 +158,7 @@ def key_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.when(F.col("s_suppkey") % 2 == 0, "even_").otherwise("odd_"), F.col("s_suppkey").cast("string")).alias("name"))
-    from pyspark.sql import Window
-
-    return rounded(s.select("s_suppkey", F.row_number().over(Window.orderBy(text.natural_key(F.col("name")))).alias("place")))
+    return rounded(running_total(s, [text.natural_key(F.col("name")), F.col("s_suppkey")], F.lit(1), "place").select("s_suppkey", "place"))
 
 
 def json_extract(spark: SparkSession, sf: str) -> DataFrame:

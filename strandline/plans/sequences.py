@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..lineage import shared_root
 from ..operators import sequence as op
 from ..operators import stats
+from ..sources import trajectories
 from .tables import events, frames, rounded, table
 
 KEYS, ORDER = ["user_id"], "event_id"
@@ -120,19 +124,38 @@ def asof_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contact_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Contact state of each user at every 500th event: formed by a signup, broken by an error."""
+    """At every event: how many users' contacts are on, formed by a signup and broken by an error."""
     e = events(spark, sf)
     told = e.where("event_type in ('signup', 'error')").select("user_id", F.col("event_id").alias("step"), F.when(F.col("event_type") == "signup", "+++").otherwise("---").alias("kind"))
-    steps = e.where("event_id % 500 = 0").select(F.col("event_id").alias("step"))
-    return rounded(op.contact_matrix(told, KEYS, "step", "kind", steps).groupBy("step").agg(F.sum("on").alias("contacts"), F.count("*").alias("pairs")))
+    return rounded(op.contact_counts(told, KEYS, "step", "kind", e.select(F.col("event_id").alias("step"))))
 
 
 def windowed_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(op.windowed_variance(frames(spark, sf).select("vec_id", F.slice("x", 1, 4).alias("x")), "vec_id", "x", 100, 50))
+    return rounded(op.windowed_variance(frames(spark, sf), "vec_id", "x", 100, 50))
 
 
 def windowed_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(op.windowed_covariance(frames(spark, sf).select("vec_id", F.slice("x", 1, 3).alias("x")), "vec_id", "x", 100, 50))
+    return rounded(op.windowed_covariance(frames(spark, sf), "vec_id", "x", 100, 50))
+
+
+def strided_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth event of each user, from the third on."""
+    return op.strided(events(spark, sf), KEYS, ORDER, 10, 2).select("user_id", "event_id")
+
+
+_NAMES, _RESIDUE = ("N", "CA", "C", "O", "CB"), ("ALA", "GLY", "SER", "VAL", "HOH")
+
+
+def trajectory_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors as frames of 21 atoms, written as PDB text; the backbone of every third frame, read back."""
+    at = f"{shared_root(spark)}/strandline/pdb-{uuid.uuid4().hex}"
+    v = F.col("x")
+    atoms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda a: F.struct((a + 1).alias("serial"), *(F.get(v, a * 3 + k).alias(c) for k, c in enumerate("xyz"))))
+    rows = frames(spark, sf).select((F.col("vec_id") + 1).alias("frame"), F.get(v, 63).alias("b"), F.explode(atoms).alias("a")).select("frame", "b", "a.*")
+    turn = (F.col("serial") - 1).cast("int")
+    rows = rows.withColumns({"name": F.element_at(F.array(*map(F.lit, _NAMES)), turn % 5 + 1), "resid": F.floor(turn / 5).cast("int"), "residue": F.element_at(F.array(*map(F.lit, _RESIDUE)), F.floor(turn / 5).cast("int") + 1)})
+    trajectories.write_pdb(rows, at)
+    return trajectories.read_pdb(spark, at, first=1, stride=3, select="backbone").select("frame", "serial", "name", "residue", *(F.round(c, 3).alias(c) for c in "xyz"), F.round("b", 2).alias("b"))
 
 
 def job_sequence_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +172,7 @@ def drift_segments(spark: SparkSession, sf: str) -> DataFrame:
     return op.drift_segments(rows, KEYS, ORDER, "x", 150.0, 2)
 
 
-QUERIES = {f.__name__: f for f in (noise_filter_centered, rms_delta, transition_pairs, transition_matrix, transition_matrix_cumulative, dwell_segments, segment_links, segment_stats, segment_label10, segment_label25, chunk_activity, gap_compressed_timeline, progress_thresholds, settled_states, burn_in_cap, fluctuation_features, element_fluctuation, theta_crossover, range_join_job_obs, srcbin_contingency, asof_forward_fill, contact_states, windowed_variance, windowed_covariance, job_sequence_numbers, running_mean_segments, drift_segments)}
+QUERIES = {f.__name__: f for f in (noise_filter_centered, rms_delta, transition_pairs, transition_matrix, transition_matrix_cumulative, dwell_segments, segment_links, segment_stats, segment_label10, segment_label25, chunk_activity, gap_compressed_timeline, progress_thresholds, settled_states, burn_in_cap, fluctuation_features, element_fluctuation, theta_crossover, range_join_job_obs, srcbin_contingency, asof_forward_fill, contact_states, windowed_variance, windowed_covariance, strided_events, trajectory_scan, job_sequence_numbers, running_mean_segments, drift_segments)}
 
 _W = "(PARTITION BY user_id ORDER BY event_id)"
 _PAIRS = f"t AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER {_W} AS b FROM events), p AS (SELECT * FROM t WHERE a <> b)"
@@ -200,10 +223,14 @@ ORACLE_SQL = {
     "srcbin_contingency": f"WITH {_JOBS} SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS c_{t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM i GROUP BY 1",
     "asof_forward_fill": "SELECT e.user_id, e.event_id, round(p.value, 6) AS value FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id",
     "contact_states": """WITH t AS (SELECT user_id, event_id AS step, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS o FROM events WHERE event_type IN ('signup', 'error')),
-        sp AS (SELECT user_id, step FROM (SELECT DISTINCT user_id FROM t), (SELECT DISTINCT event_id AS step FROM events WHERE event_id % 500 = 0))
-        SELECT sp.step, sum(coalesce(t.o, 0))::BIGINT AS contacts, count(*) AS pairs FROM sp ASOF LEFT JOIN t ON sp.user_id = t.user_id AND sp.step >= t.step GROUP BY sp.step""",
-    "windowed_variance": f'WITH {_LONG}, {_WINDOWS} SELECT win AS "window", i, round(var_samp(v), 6) AS variance FROM w WHERE i < 4 GROUP BY ALL',
-    "windowed_covariance": f'WITH {_LONG}, {_WINDOWS} SELECT a.win AS "window", a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) AS covariance FROM w a JOIN w b ON a.win = b.win AND a.vec_id = b.vec_id AND a.i <= b.i WHERE b.i < 3 GROUP BY ALL',
+        d AS (SELECT step, o - coalesce(lag(o) OVER (PARTITION BY user_id ORDER BY step), 0) AS d FROM t)
+        SELECT event_id AS step, coalesce(sum(d) OVER (ORDER BY event_id), 0)::BIGINT AS contacts, (SELECT count(DISTINCT user_id) FROM t) AS pairs FROM events LEFT JOIN d ON d.step = event_id""",
+    "windowed_variance": f'WITH {_LONG}, {_WINDOWS} SELECT win AS "window", i, round(var_samp(v), 6) AS variance FROM w GROUP BY ALL',
+    "windowed_covariance": f'WITH {_LONG}, {_WINDOWS} SELECT a.win AS "window", a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) AS covariance FROM w a JOIN w b ON a.win = b.win AND a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL',
+    "strided_events": f"WITH s AS ({_SEQ}) SELECT user_id, event_id FROM s WHERE rn >= 2 AND (rn - 2) % 10 = 0",
+    "trajectory_scan": f"""WITH {_LONG}, a AS (SELECT vec_id + 1 AS frame, i // 3 + 1 AS serial, i % 3 AS axis, v FROM x WHERE i < 63), m AS (SELECT vec_id + 1 AS frame, v AS b FROM x WHERE i = 63),
+        p AS (SELECT frame, serial, {list(_NAMES)}[(serial - 1) % 5 + 1] AS name, {list(_RESIDUE)}[(serial - 1) // 5 + 1] AS residue, max(v) FILTER (axis = 0) AS x, max(v) FILTER (axis = 1) AS y, max(v) FILTER (axis = 2) AS z FROM a GROUP BY ALL)
+        SELECT frame, serial, name, residue, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(b, 2) AS b FROM p JOIN m USING (frame) WHERE (frame - 1) % 3 = 0 AND name <> 'CB'""",
     "job_sequence_numbers": "SELECT o_orderkey, 100 * (o_orderkey % 7) + o_orderkey % 100 AS seq FROM orders",
     "running_mean_segments": f"""WITH r AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM events),
         j AS (SELECT *, CASE WHEN abs(m - lag(m) OVER {_W}) > 40 THEN 1 ELSE 0 END AS j FROM r), s AS (SELECT *, (sum(j) OVER {_W})::BIGINT AS seg FROM j)

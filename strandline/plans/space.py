@@ -133,7 +133,7 @@ def common_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def covariance_cells(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf).select("vec_id", F.slice("x", 1, 8).alias("x"))
+    f = frames(spark, sf)
     both = learning.merge_moments(learning.moments(f.where("vec_id % 2 = 0"), "x"), learning.moments(f.where("vec_id % 2 = 1"), "x"))
     return rounded(learning.covariance(both))
 
@@ -156,6 +156,19 @@ def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.groupBy("cluster", "label").agg(F.count("*").alias("n")))
 
 
+def gap_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Gap statistic of the vectors for up to twelve clusters, against four uniform tables, and the number chosen."""
+    out, best = learning.gap_statistic(frames(spark, sf), "x", 12, 4, rounds=5)
+    return rounded(out.withColumn("best", F.lit(best)), 4)
+
+
+def kernel_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """Two components of all vectors by a kernel PCA on landmarks."""
+    f = frames(spark, sf)
+    model = learning.kernel_pca(f, "vec_id", "x", 2, gamma=1.0)
+    return rounded(learning.project_kernel(f, "x", model).select("vec_id", F.get("kpc", 0).alias("k0"), F.get("kpc", 1).alias("k1")), 4)
+
+
 def gmm_weights(spark: SparkSession, sf: str) -> DataFrame:
     out, _ = learning.mixture(frames(spark, sf), "x", 3)
     return rounded(out.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.array_max("probability")).alias("certainty")), 4)
@@ -176,7 +189,7 @@ def norms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(f.select("vec_id", vec.norm(F.col("x")).alias("norm"), F.array_max("x").alias("top"), (F.array_position("x", F.array_max("x")) - 1).alias("argmax")))
 
 
-QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_subtree, kd_insert, kd_insert_splits, sparse_kd_tree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
+QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_subtree, kd_insert, kd_insert_splits, sparse_kd_tree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gap_statistic, kernel_pca, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
 
 
 def _levels(mid: str, source: str = "p") -> str:
@@ -261,7 +274,7 @@ ORACLE_SQL = {
     "multiway_subspace_join": f"""WITH {_P}, v AS (SELECT vec_id, """ + ", ".join(f"({_cell((2 * k, 2 * k + 1))})::VARCHAR AS c{k}" for k in range(4)) + """ FROM p), l AS (SELECT vec_id, c0 || '/' || c1 AS l, c2 || '/' || c3 AS r FROM v),
         f AS (SELECT * FROM l WHERE l IN (SELECT l FROM l GROUP BY l HAVING count(*) >= 3) AND r IN (SELECT r FROM l GROUP BY r HAVING count(*) >= 3)) SELECT l || '/' || r AS cell, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 3""",
     "common_cells": f"WITH {LONG}, o AS (SELECT vec_id, i FROM x WHERE v > 0.2) SELECT a.i AS a, b.i AS b, count(*) AS n FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL HAVING count(*) >= 5",
-    "covariance_cells": f"WITH {LONG} SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i WHERE b.i < 8 GROUP BY ALL",
+    "covariance_cells": f"WITH {LONG} SELECT a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL",
     "fixed_projection": f"WITH {LONG} SELECT vec_id, round(sum(CASE WHEN i % 2 = 0 THEN v ELSE -v END), 6) AS p0, round(sum(v * i / 64.0::DOUBLE), 6) AS p1 FROM x GROUP BY 1",
     "norms": f"WITH {LONG} SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm, round(max(v), 6) AS top, arg_max(i, v) AS argmax FROM x GROUP BY 1",
 }

@@ -106,14 +106,63 @@ def resampled_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(op.resampled_shares(events(spark, sf), "event_id", "event_type", 100))
 
 
-QUERIES = {f.__name__: f for f in (posterior_local_global, incremental_posterior, bootstrap_std, bootstrap_block, bootstrap_iter, convergence_series, well_tran_rollup, pearson_skew, histogram20, vector_histogram, l2_normalised_matrix, pdf_of_pdfs, order_statistics, feature_bootstrap, cluster_variance, cost_elasticity, run_totals, flag_census, resampled_shares)}
+_FEATURES = ["value", "hour", "k"]
+
+
+def _measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with three numbers each: value, hour of the day, and k of the properties."""
+    return events(spark, sf).select("event_id", "value", F.hour("ts").cast("double").alias("hour"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+def bootstrap_replacement(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(op.bootstrap_replacement(_measured(spark, sf), "event_id", _FEATURES, samples=40))
+
+
+def bootstrap_param(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(op.bootstrap_param(_measured(spark, sf), "event_id", _FEATURES, samples=20))
+
+
+def bootstrap_mv(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(op.bootstrap_mv(_measured(spark, sf), "event_id", _FEATURES, samples=20)[0])
+
+
+def bootstrap_mv_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(op.bootstrap_mv(_measured(spark, sf), "event_id", _FEATURES, samples=20)[1])
+
+
+QUERIES = {f.__name__: f for f in (posterior_local_global, incremental_posterior, bootstrap_std, bootstrap_block, bootstrap_iter, convergence_series, well_tran_rollup, pearson_skew, histogram20, vector_histogram, l2_normalised_matrix, pdf_of_pdfs, order_statistics, feature_bootstrap, cluster_variance, cost_elasticity, run_totals, flag_census, resampled_shares, bootstrap_replacement, bootstrap_param, bootstrap_mv, bootstrap_mv_covariance)}
 
 _W = "(PARTITION BY user_id ORDER BY event_id)"
 _CI = "round(avg({v}), 6) AS mean, round(1.645 * stddev_pop({v}) / sqrt(count({v})), 6) AS ci, round(stddev_pop({v}), 6) AS sigma"
 _SERIES = """q AS (SELECT *, count(*) OVER w AS k, avg(value) OVER w AS mean, 1.645 * stddev_pop(value) OVER w / sqrt(count(*) OVER w) AS ci FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), c AS (SELECT *, least(CASE WHEN mean = 0 THEN 1 ELSE coalesce(ci / mean, 1) END, 1) AS conv FROM q)"""
 _SHARES = "t AS (SELECT {k} AS step, count(*) AS total FROM events GROUP BY 1), l AS (SELECT DISTINCT event_type FROM events), n AS (SELECT {k} AS step, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT step, event_type, coalesce(n, 0) / total::DOUBLE AS share FROM t CROSS JOIN l LEFT JOIN n USING (step, event_type))"
+
+
+def _hash(c: str) -> str:
+    one = f"(((({c}) % 2147483648) * 1103515245 + 12345) % 2147483648)"
+    return f"((xor({one}, {one} >> 15) * 1103515245 + 12345) % 2147483648)"
+
+
+def _samples(n: int, size: str) -> str:
+    """mu: means of all events; b: means of the samples, by feature."""
+    names = ("value", "hour", "k")
+    return f"""WITH v AS (SELECT event_id, value, hour(ts)::DOUBLE AS hour, CAST(props->>'k' AS DOUBLE) AS k FROM events), c AS (SELECT count(*) AS n FROM v), r AS (SELECT ({size})::DOUBLE / n AS rate FROM c),
+    e AS (SELECT sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (ORDER BY i) AS edge FROM r, range(0, 90) t(i)),
+    q AS (SELECT list(edge) AS edges FROM e WHERE edge < 1 - 1e-12),
+    h AS (SELECT v.*, s, {_hash(_hash('event_id') + ' + s * 1000003')} / 2147483648.0::DOUBLE AS u FROM v, range(0, {n}) t(s)),
+    d AS (SELECT h.*, len(list_filter(q.edges, lambda x: u >= x)) AS t FROM h, q),
+    w AS (SELECT s, {', '.join(f'sum(t * {c}) / sum(t) AS {c}' for c in names)} FROM d GROUP BY s),
+    b AS ({' UNION ALL '.join(f"SELECT s, '{c}' AS feature, {c} AS m FROM w" for c in names)}),
+    mu AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, avg({c}) AS mean FROM v" for c in names)})"""
+
+
 ORACLE_SQL = {
+    "bootstrap_replacement": f"""{_samples(40, 'greatest(10000, least(round(n * 0.1), 25000))')}, l AS (SELECT feature, mean, list(m - mean ORDER BY m) AS d FROM b JOIN mu USING (feature) GROUP BY ALL),
+        o AS (SELECT feature, mean, d[3] AS lo, d[39] AS hi FROM l) SELECT feature, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(abs((hi - lo) / mean), 6) AS err FROM o""",
+    "bootstrap_param": f"{_samples(20, 'n')} SELECT feature, round(any_value(mean), 6) AS mean, round(1.645 * stddev_pop(m) / sqrt(20), 6) AS ci, round(stddev_pop(m), 6) AS sigma, round(stddev_pop(m) / sqrt(20), 6) AS err, round(abs(1.645 * stddev_pop(m) / sqrt(20) / any_value(mean)), 6) AS rel FROM b JOIN mu USING (feature) GROUP BY feature",
+    "bootstrap_mv": f"{_samples(20, 'least(50000, n)')} SELECT feature, round(avg(m), 6) AS mean, round(1.645 * stddev_pop(m) / sqrt(20), 6) AS ci, round(stddev_pop(m), 6) AS sigma, round(stddev_pop(m) / sqrt(20), 6) AS err, round(abs(1.645 * stddev_pop(m) / sqrt(20) / avg(m)), 6) AS rel FROM b GROUP BY feature",
+    "bootstrap_mv_covariance": f"{_samples(20, 'least(50000, n)')} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 6) AS c FROM w" for a, b in (("value", "value"), ("value", "hour"), ("value", "k"), ("hour", "hour"), ("hour", "k"), ("k", "k"))),
     "posterior_local_global": "SELECT event_type, count(*) FILTER (event_id % 10 = 0) AS n_local, count(*) AS n_all, round(count(*) FILTER (event_id % 10 = 0) / (sum(count(*) FILTER (event_id % 10 = 0)) OVER ())::DOUBLE, 6) AS p_local, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS p_all FROM events GROUP BY 1",
     "incremental_posterior": "SELECT event_type, count(*) AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS p FROM events GROUP BY 1",
     "bootstrap_std": f"SELECT event_type, {_CI.format(v='value')}, round(stddev_pop(value) / sqrt(count(value)), 6) AS err, round(abs(1.645 * stddev_pop(value) / sqrt(count(value)) / avg(value)), 6) AS rel, count(value) AS n FROM events GROUP BY 1",
