@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 from strandline.llm._scratch import Scratch
-from strandline.llm.queries import URL_RULES
+from strandline.llm.queries import URL_RULES, op6_url_filters
 from strandline.llm.url_filters import filter_urls, mine_rules
 
 
@@ -103,3 +103,21 @@ def test_mined_rules(spark):
     got = {r.page_id: (r.verdict, r.mined) for r in filter_urls(pages, URL_RULES, labels).collect()}
     assert all(got[k][0] == ("block" if k < 40 else "allow") for k in range(80) if k % 2 == 0)
     assert got[0][1] == "path:casino-win"
+
+
+def test_query_learns_from_labels_that_have_a_pattern(spark, tmp_path):
+    """The registered query, on tables whose toxic labels follow the URLs: held-out pages are judged by mined rules."""
+    rng = random.Random(2)
+    pages, labels = [], []
+    for k in range(600):
+        bad = rng.random() < 0.3
+        host = f"{'casino' if bad else rng.choice(['news', 'wiki'])}-{rng.choice(['one', 'two'])}{k % 17}.example.org"
+        pages.append((k, f"https://{host}/{rng.choice(['en', 'de'])}/{k}.html", ""))
+        if k % 4:
+            labels.append((k, 1, int(bad)))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in op6_url_filters(spark, str(tmp_path)).collect()}
+    held = [(got[k].verdict == "block", "casino" in url) for k, url, _ in pages if k % 4 == 0]
+    assert any(r.mined for r in got.values())
+    assert all(a == b for a, b in held) and sum(b for _, b in held) > 20
