@@ -168,7 +168,7 @@ def reduce_features(transactions: DataFrame, n_rows: int, theta: float, most: in
     """
     distinct = transactions.select("tid", "item").distinct()
     ones = distinct.groupBy("item").agg(F.count("*").alias("ones")).where((F.col("ones") >= theta * n_rows) & (F.col("ones") <= n_rows - theta * n_rows))
-    kept = distinct.join(F.broadcast(ones.select("item")), "item", "left_semi")
+    kept = distinct.join(ones.select("item"), "item", "left_semi")
     both = kept.alias("a").join(kept.alias("b"), F.expr("a.tid = b.tid and a.item < b.item")).groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b")).agg(F.count("*").alias("common"))
     pairs = both.join(ones.select(F.col("item").alias("a"), F.col("ones").alias("na")), "a").join(ones.select(F.col("item").alias("b"), F.col("ones").alias("nb")), "b")
     same = pairs.where(F.col("na") + F.col("nb") - 2 * F.col("common") < 2 * theta * n_rows).select(F.col("a").alias("item")).distinct()
@@ -189,6 +189,16 @@ def cover_pairs(pairs: DataFrame, a: str, b: str) -> list[tuple]:
     return picked
 
 
+def meet(a: Column, b: Column) -> Column:
+    """The items of both keys, sorted."""
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def join(a: Column, b: Column) -> Column:
+    """The items of either key, sorted."""
+    return F.array_sort(F.array_union(a, b))
+
+
 def contains_all(features: Column, key: list) -> Column:
     """Whether an array holds every element of key."""
     return F.size(F.array_except(F.array(*map(F.lit, key)), features)) == 0

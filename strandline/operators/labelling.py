@@ -85,6 +85,15 @@ def landscape(distances: Column, states: int = 5, near: float = 10.0) -> Column:
     return F.concat(hot, close, F.array(*pairs))
 
 
+def landscape_frames(distances: Column, states: int = 5, near: float = 10.0, far: float = 20.0) -> Column:
+    """The landscape of a single frame: one-hot of the nearest (0 or 10), proximities that fall from 10 at ``near`` to 0 at ``far``, and pairwise preferences that favour the nearer state."""
+    least = F.array_position(distances, F.array_min(distances)) - 1
+    hot = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.when(k == least, F.lit(10.0)).otherwise(0.0))
+    close = F.transform(F.slice(distances, 1, states), lambda d: 10.0 * F.greatest(F.lit(far) - F.greatest(d, F.lit(near)), F.lit(0.0)) / (far - near))
+    pairs = [vec.logistic(F.get(distances, a) - F.get(distances, b), 10.0, -3.0) for a in range(states) for b in range(a + 1, states)]
+    return F.concat(hot, close, F.array(*pairs))
+
+
 def landscape_states(pairwise: Column, states: int = 5) -> Column:
     """For each state, whether it wins all its pairs: a pair's value under 5 favours its first state, over 5 its second."""
     index, k = {}, 0

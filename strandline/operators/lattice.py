@@ -109,7 +109,7 @@ def hierarchical_merge(summary: DataFrame, target: int, small: float = 0.0001) -
 
 def merged_summaries(summary: DataFrame, mapping: DataFrame) -> DataFrame:
     """Summaries of the final clusters, with centroid and variance (the summed sample variances of the dimensions)."""
-    parts = summary.join(F.broadcast(mapping), "cluster").select("final", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "c"))
+    parts = summary.join(mapping, "cluster").select("final", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "c"))
     sums = parts.groupBy("final", "i").agg(F.sum("n").alias("n"), F.sum("c.s").alias("s"), F.sum("c.q").alias("q"))
     variance = F.when(F.col("n") > 1, (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).otherwise(0.0)
     cells = F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("m"))))
@@ -128,7 +128,7 @@ def cluster_scores(clusters: DataFrame, clusters_wanted: int) -> DataFrame:
 def ranked_members(rows: DataFrame, cluster: str, name: str, vector: str, centres: DataFrame) -> DataFrame:
     """Adds d (distance to the cluster's centroid) and rank in the cluster, nearest first."""
     d = vec.distance(F.col(vector), F.col("centroid"))
-    out = rows.join(F.broadcast(centres.select(F.col("final").alias(cluster), "centroid")), cluster).withColumn("d", d).drop("centroid")
+    out = rows.join(centres.select(F.col("final").alias(cluster), "centroid"), cluster).withColumn("d", d).drop("centroid")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(cluster).orderBy("d", name)))
 
 
@@ -170,6 +170,15 @@ def paths(edges: DataFrame, roots: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def traces(edges: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
+    """(items, trace): each node and, one after the other, the best parents above it up to a root, for lattices of ``levels`` sizes."""
+    up = best_parent(edges).select(F.col("child").alias("top"), "parent")
+    now = nodes.select("items", F.col("items").alias("top"), F.array("items").alias("trace"))
+    for _ in range(levels - 1):
+        now = now.join(up, "top", "left").select("items", F.coalesce("parent", "top").alias("top"), F.when(F.col("parent").isNull(), F.col("trace")).otherwise(F.concat("trace", F.array("parent"))).alias("trace"))
+    return now.select("items", "trace")
+
+
 def markov_clusters(edges: DataFrame, power: int = 2, inflation: float = 2.0, rounds: int = 5, least: float = 1e-6) -> DataFrame:
     """Markov clustering of a weighted graph (i, j, v): expansion, inflation and column normalisation, as matrix joins; (j, cluster).
 

@@ -283,6 +283,44 @@ def drift_segments(rows: DataFrame, keys: list[str], order: str, vector: str, th
     return dealt.mapInPandas(scan, schema)
 
 
+def pairwise_segments(rows: DataFrame, keys: list[str], order: str, vector: str, theta: float) -> DataFrame:
+    """Segments by the distances of a frame to all frames of its segment: keys, seg, start, end, length.
+
+    A frame opens a segment if its root mean square distances to the segment's frames, without the
+    last two, add up to over theta more than those of the frame two before it. The scan is
+    sequential inside one trajectory and quadratic in a segment's length; trajectories are
+    independent groups, of which a task holds one segment.
+    """
+    ship(rows.sparkSession)
+    schema = rows.select(*keys, F.lit(0).cast("long").alias("seg"), F.col(order).alias("start"), F.col(order).alias("end"), F.lit(0).cast("long").alias("length")).schema
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, number, first, last, held, before = None, 0, None, None, [], [np.zeros(0), np.zeros(0)]
+        done = []
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                key, at, x = tuple(getattr(row, k) for k in keys), getattr(row, order), np.asarray(getattr(row, vector), float)
+                far = np.sqrt(((np.array(held) - x) ** 2).mean(axis=1)) if held else np.zeros(0)
+                ends = key != now or far[: max(0, len(held) - 2)].sum() - before[1].sum() > theta
+                if ends:
+                    if held:
+                        done.append((*now, number, first, last, len(held)))
+                    number = number + 1 if key == now else 0
+                    now, first, held, far, before = key, at, [], np.zeros(0), [np.zeros(0), np.zeros(0)]
+                held.append(x)
+                last, before = at, [far, before[0]]
+            if len(done) > 1000:
+                yield pd.DataFrame(done, columns=schema.names)
+                done = []
+        if held:
+            done.append((*now, number, first, last, len(held)))
+        if done:
+            yield pd.DataFrame(done, columns=schema.names)
+
+    dealt = rows.select(*keys, order, vector).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInPandas(scan, schema)
+
+
 def running_mean_segments(rows: DataFrame, keys: list[str], order: str, value: str, width: int, theta: float) -> DataFrame:
     """Adds seg: a new segment starts where the running mean of the last ``width`` values moves by more than theta from row to row."""
     w = _ordered(keys, order)

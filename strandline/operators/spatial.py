@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..lineage import cut
 
+#: Queries that are broadcast at once.
+QUERY_BYTES = 64 << 20
+
 METHODS = ("median", "mean", "middle", "max_gap")
 
 
@@ -58,6 +61,17 @@ def kd_probe(points: DataFrame, splits: DataFrame, axes: list[str], max_depth: i
     return now
 
 
+def kd_encode(splits: DataFrame) -> DataFrame:
+    """Splits as (key, node): a path and its axis, plane and size as JSON, which any store of strings holds."""
+    return splits.select(F.col("path").alias("key"), F.to_json(F.struct("axis", "mid", "n")).alias("node"))
+
+
+def kd_rebuild(nodes: DataFrame) -> DataFrame:
+    """The splits that ``kd_encode`` wrote; nodes that cannot be read are left out."""
+    node = F.from_json("node", "axis string, mid double, n long")
+    return nodes.select(F.col("key").alias("path"), node.alias("s")).where("s.mid is not null").select("path", "s.*")
+
+
 def _axis_value(axes: list[str]) -> Column:
     """The value on the axis that a point's node is split on: axes take turns with the depth."""
     return F.element_at(F.array(*axes), (F.length("path") % len(axes) + 1).cast("int"))
@@ -173,10 +187,17 @@ def pairwise(rows: DataFrame, name: str, vector: str, within: str | None = None)
 def nearest_rows(rows: DataFrame, queries: DataFrame, name: str, vector: str, k: int) -> DataFrame:
     """The k nearest rows of each query (query, name, d, rank), exactly, nearest first and lower names first among equals.
 
-    Queries are a bounded set, broadcast against all rows; each task keeps its own best k of a
-    query before anything is shuffled.
+    Queries are counted, and broadcast against all rows as long as they fit; more of them are dealt
+    to blocks that do, each of which meets all rows. Each task keeps its own best k of a query
+    before anything is shuffled.
     """
-    asked = F.broadcast(queries.select(F.col(name).alias("query"), F.col(vector).alias("q")))
+    asked = queries.select(F.col(name).alias("query"), F.col(vector).alias("q"))
+    n, size = asked.agg(F.count("*"), F.max(F.size("q"))).first()
+    blocks = -(-n * (64 + 8 * (size or 0)) // QUERY_BYTES)
+    if blocks > 1:
+        parts = [nearest_rows(rows, queries.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b), name, vector, k) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    asked = F.broadcast(asked)
     found = rows.crossJoin(asked).where(F.col(name) != F.col("query")).select("query", name, vec.distance(F.col(vector), F.col("q")).alias("d"))
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", name)))
     return best.where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import labelling as op
+from ..operators import learning
 from .tables import CENTRES, LONG, frames, rounded, table
 
 THETA = 0.05
@@ -61,6 +62,24 @@ def feature_landscape_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(op.mean_profile(_near(spark, sf).select(op.landscape(d).alias("f")), "f").select("i", "mean", "deviation", "n"))
 
 
+def feature_landscape_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean frame landscape of the distances (times 10) to the first five centroids."""
+    d = F.transform(F.slice(F.array_sort(F.transform("near", lambda e: F.struct(e["state"].alias("s"), (e["d"] * 10).alias("d")))), 1, 5), lambda e: e["d"])
+    return rounded(op.mean_profile(_near(spark, sf).select(op.landscape_frames(d).alias("f")), "f").select("i", "mean", "deviation", "n"))
+
+
+def classify_score(spark: SparkSession, sf: str) -> DataFrame:
+    """How clearly each vector belongs to its nearest centroid: the mean of the other distances over the least."""
+    return rounded(learning.classify_scores(_near(spark, sf), "near", 10).select("vec_id", "score"))
+
+
+def adaptive_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels' centroids after two rounds of reassigning all vectors to the nearest."""
+    f = frames(spark, sf)
+    found = op.adaptive_centroids(f, "x", op.centroids(f, "label", "x"), rounds=2)
+    return rounded(found.select(F.col("state").cast("long").alias("state"), F.posexplode("c").alias("i", "x")), 5)
+
+
 def desired_landscape(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of each label's mean profile from ten minus the overall mean."""
     f = frames(spark, sf)
@@ -91,13 +110,26 @@ def contact_distance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(f.groupBy("label").agg(F.avg(vec.contact(F.col("d"), 0.75)).alias("contact"), F.count("*").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (label_top2_posterior, label_confusion, label_confusion_prior, label_accuracy, weighted_centroid_distance, label_centroids, merged_centroids, feature_landscape_mean, desired_landscape, rmsd_variants, feature_classes, contact_distance)}
+QUERIES = {f.__name__: f for f in (label_top2_posterior, label_confusion, label_confusion_prior, label_accuracy, weighted_centroid_distance, label_centroids, merged_centroids, feature_landscape_mean, feature_landscape_frames, classify_score, adaptive_centroids, desired_landscape, rmsd_variants, feature_classes, contact_distance)}
 
 _NEAREST = CENTRES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, state) AS k FROM d)"
 _FIVE = CENTRES + ", e AS (SELECT vec_id, list(d * 10 ORDER BY state) AS d FROM d WHERE state < 5 GROUP BY 1)"
 _PAIRS = "[" + ", ".join(f"10 / (1 + exp(-3 * (d[{a + 1}] - d[{b + 1}])))" for a in range(5) for b in range(a + 1, 5)) + "]"
 _LAND = f"""list_concat(list_concat(list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN k = list_position(d, list_min(d)) THEN 10.0 ELSE 0.0 END::DOUBLE),
     list_transform(d, lambda q: greatest(10 - q, 0))), {_PAIRS})"""
+_FRAME = f"""list_concat(list_concat(list_transform([1, 2, 3, 4, 5], lambda k: CASE WHEN k = list_position(d, list_min(d)) THEN 10.0 ELSE 0.0 END::DOUBLE),
+    list_transform(d, lambda q: 10.0 * greatest(20 - greatest(q, 10), 0) / 10)), {_PAIRS.replace("exp(-3", "exp(3")})"""
+
+
+def _moved(rounds: int) -> str:
+    """c<k>: centroids after k rounds of reassigning the vectors of x."""
+    out = [f"{LONG}, c0 AS (SELECT label AS state, i, avg(v) AS v FROM x GROUP BY ALL)"]
+    for k in range(rounds):
+        out.append(f"d{k} AS (SELECT x.vec_id, c.state, sqrt(sum((x.v - c.v) * (x.v - c.v))) AS d FROM x JOIN c{k} c USING (i) GROUP BY x.vec_id, c.state), b{k} AS (SELECT vec_id, arg_min(state, (d, state)) AS state FROM d{k} GROUP BY 1)")
+        out.append(f"c{k + 1} AS (SELECT b.state, i, avg(v) AS v FROM x JOIN b{k} b USING (vec_id) GROUP BY b.state, i)")
+    return ", ".join(out)
+
+
 _INDEX = {(a, b): k for k, (a, b) in enumerate((a, b) for a in range(5) for b in range(a + 1, 5))}
 _WINS = [" AND ".join([f"p[{_INDEX[s, b] + 1}] < 5" for b in range(s + 1, 5)] + [f"p[{_INDEX[a, s] + 1}] > 5" for a in range(s)]) for s in range(5)]
 ORACLE_SQL = {
@@ -118,6 +150,10 @@ ORACLE_SQL = {
     "merged_centroids": f"WITH {LONG} SELECT label::BIGINT AS state, i::BIGINT AS i, round(avg(v), 6) AS x, count(*) AS n FROM x GROUP BY label, i",
     "feature_landscape_mean": f"""WITH {_FIVE}, f AS (SELECT {_LAND} AS f FROM e), u AS (SELECT generate_subscripts(f, 1) - 1 AS i, unnest(f) AS v FROM f)
         SELECT i::BIGINT AS i, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, count(*) AS n FROM u GROUP BY i""",
+    "feature_landscape_frames": f"""WITH {_FIVE}, f AS (SELECT {_FRAME} AS f FROM e), u AS (SELECT generate_subscripts(f, 1) - 1 AS i, unnest(f) AS v FROM f)
+        SELECT i::BIGINT AS i, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, count(*) AS n FROM u GROUP BY i""",
+    "classify_score": f"WITH {CENTRES} SELECT vec_id, round(least((sum(d) - min(d)) / (count(*) - 1) / min(d), 10), 6) AS score FROM d GROUP BY vec_id",
+    "adaptive_centroids": f"WITH {_moved(2)} SELECT state::BIGINT AS state, i::BIGINT AS i, round(v, 5) AS x FROM c2",
     "desired_landscape": f"""WITH {LONG}, g AS (SELECT i, 10 - avg(v) AS goal FROM x GROUP BY i), m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL)
         SELECT label::BIGINT AS label, round(sqrt(sum((m - goal) * (m - goal))), 6) AS d FROM m JOIN g USING (i) GROUP BY label""",
     "rmsd_variants": f"""WITH {LONG}, p AS (SELECT a.vec_id, a.i // 2 AS pt, sum((a.v - b.v) * (a.v - b.v)) AS q FROM x a JOIN x b ON a.i = b.i AND b.vec_id = 0 GROUP BY ALL)

@@ -138,6 +138,34 @@ def lattice_paths(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(op.paths(edges, roots, it.longest(nodes)).groupBy("root", F.size("path").alias("steps")).agg(F.count("*").alias("n")).select(_key("root"), "steps", "n"))
 
 
+def lattice_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Length and end of each node's way up by best parents."""
+    _, nodes, edges = _weighted(spark, sf)
+    found = op.traces(edges, nodes, it.longest(nodes))
+    return rounded(found.select(_key(), F.size("trace").alias("steps"), F.array_join(F.element_at("trace", -1), ",").alias("top")))
+
+
+def key_meet_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the meet and the join of each vector's key with the next one's, and whether it holds the items 0 and 1."""
+    keys = _on(spark, sf).groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    after = keys.select((F.col("tid") - 1).alias("tid"), F.col("items").alias("other"))
+    return rounded(keys.join(after, "tid").select("tid", F.size(it.meet("items", "other")).alias("common"), F.size(it.join("items", "other")).alias("either"), it.contains_all("items", [0, 1]).alias("both")))
+
+
+def label_cluster_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the labels from the scores of seven clusters, by the labels' shares in each."""
+    f = frames(spark, sf).withColumn("cluster", F.col("vec_id") % 7)
+    scores = f.select("cluster").distinct().select(F.col("cluster").alias("final"), (F.col("cluster") / 7).alias("score"))
+    return rounded(op.label_scores(f, "cluster", "label", scores))
+
+
+def fairness(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of the event types: how common they are, and how long ago they came last."""
+    e = events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    w = Window.partitionBy()
+    return rounded(e.select("event_type", sa.fairness_weight(F.col("n") / F.max("n").over(w), F.col("last") / (F.max("last").over(w) + 1), 0.7, 0.3).alias("weight")))
+
+
 def merged_supports(spark: SparkSession, sf: str) -> DataFrame:
     """Supports of two halves of the rows, mined on their own and merged: the same as of all rows."""
     on = _on(spark, sf)
@@ -322,7 +350,7 @@ def top_unexecuted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.top_unexecuted(c, done, "c_custkey", "c_acctbal", 25))
 
 
-QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
+QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, lattice_traces, key_meet_join, label_cluster_scores, fairness, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
 
 _ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE v > {CUT})"
 _S = "array_to_string(items, ',') AS items"
@@ -380,6 +408,12 @@ ORACLE_SQL = {
         SELECT array_to_string(mb.items, ',') AS items, count(*) AS n, count(*) FILTER (cv.tid IS NULL) AS own FROM mb LEFT JOIN cv ON mb.items = cv.items AND mb.tid = cv.tid GROUP BY mb.items""",
     "lattice_paths": f"""WITH RECURSIVE {_EDGES}, pa AS (SELECT items AS root, items AS node, 1 AS steps FROM nd WHERE items NOT IN (SELECT child FROM e) UNION ALL SELECT root, e.child, steps + 1 FROM pa JOIN e ON e.parent = pa.node)
         SELECT array_to_string(root, ',') AS root, steps::BIGINT AS steps, count(*) AS n FROM pa GROUP BY pa.root, steps""",
+    "lattice_traces": f"""WITH RECURSIVE {_EMD}, b AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY emd, parent) AS r FROM w), up AS (SELECT child, parent FROM b WHERE r = 1),
+        g AS (SELECT items, items AS top, 1 AS steps FROM nd UNION ALL SELECT g.items, up.parent, steps + 1 FROM g JOIN up ON up.child = g.top), t AS (SELECT items, max(steps) AS steps, max_by(top, steps) AS top FROM g GROUP BY items)
+        SELECT {_S}, steps::BIGINT AS steps, array_to_string(top, ',') AS top FROM t""",
+    "key_meet_join": f"WITH {_ON}, k AS (SELECT tid, list(item) AS items FROM o GROUP BY 1) SELECT a.tid, len(list_intersect(a.items, b.items)) AS common, len(list_distinct(list_concat(a.items, b.items))) AS either, list_has_all(a.items, [0, 1]) AS both FROM k a JOIN k b ON b.tid = a.tid + 1",
+    "label_cluster_scores": "WITH c AS (SELECT vec_id % 7 AS cluster, label, count(*) AS c FROM embeddings GROUP BY ALL), s AS (SELECT *, c / (sum(c) OVER (PARTITION BY cluster))::DOUBLE AS share FROM c) SELECT label::BIGINT AS label, round(sum(share * cluster / 7.0::DOUBLE), 6) AS score FROM s GROUP BY label",
+    "fairness": "WITH e AS (SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1) SELECT event_type, round(0.7::DOUBLE * n / max(n) OVER () + 0.3::DOUBLE * (1 - last / (max(last) OVER () + 1)::DOUBLE), 6) AS weight FROM e",
     "merged_supports": f"WITH RECURSIVE {_sets(SHARE)} SELECT {_S}, len(tids) AS support FROM f WHERE len(items) <= 2",
     "lattice_merge": f"WITH RECURSIVE {_sets(SHARE, tid='tid // 2 + (tid % 2) * (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0)')} SELECT {_S}, len(tids) AS n, list_sum(tids)::BIGINT AS tids FROM f",
     "lattice_merge_edges": f"WITH RECURSIVE {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, vec
+from ..functions import maps, text, vec
 from ..operators import relational as op
 from ..operators.sampling import running_total
 from ..sources import catalog, logs
@@ -48,6 +48,41 @@ def back_projection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sample.join(o, sample.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", "l_quantity", "o_custkey"))
 
 
+def back_projection_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What all lines ask of the orders, by file of a thousand: distinct orders, and the first and last of them."""
+    asked = catalog.by_file(table(spark, sf, "lineitem").select("l_orderkey"), "l_orderkey", 1000)
+    return rounded(asked.select("file_idx", "n", F.size("frames").alias("frames"), F.array_min("frames").alias("first"), F.array_max("frames").alias("last")))
+
+
+def array_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as 4 by 4 by 4 arrays: the diagonal of each."""
+    packed = catalog.packed(F.col("x"), 4, 4, 4)
+    return rounded(frames(spark, sf).withColumn("a", packed).select("vec_id", *(catalog.cell(F.col("a"), k, k, k).alias(f"d{k}") for k in range(4))))
+
+
+def map_tallies(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types of each user as maps, of even and odd events, merged: the number of each, and the commonest."""
+    e = events(spark, sf)
+    halves = [e.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(maps.tally(F.collect_list("event_type")).alias(f"m{k}")) for k in (0, 1)]
+    merged = halves[0].join(halves[1], "user_id", "full").select("user_id", maps.merge(F.col("m0"), F.col("m1")).alias("m"))
+    return rounded(merged.select("user_id", maps.top_key(F.col("m")).alias("top"), maps.lookup(F.col("m"), F.lit("click"), F.lit(0)).alias("clicks"), F.explode("m").alias("event_type", "n")))
+
+
+def log_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events as the lines of their logs: how many lines of each type follow each signup."""
+    lines = events(spark, sf).select(F.col("user_id").alias("file"), "event_id", F.concat("event_type", F.lit(" "), "event_id").alias("line"))
+    return rounded(logs.sections(lines, "event_id", r"^signup \d+$").groupBy("file", "section").agg(F.count("*").alias("n")))
+
+
+def job_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' names as logs of ``key: value`` lines, joined by number to the account balances."""
+    c = table(spark, sf, "customer")
+    texts = F.array(F.concat(F.lit("job: "), "c_custkey"), F.concat(F.lit("segment: "), "c_mktsegment"), F.lit("no pair"), F.concat(F.lit("job : "), F.col("c_custkey") + 1))
+    lines = c.select(F.col("c_name").alias("file"), F.posexplode(texts).alias("at", "line"))
+    accounts = c.select(F.col("c_custkey").alias("job"), "c_acctbal")
+    return rounded(logs.job_rows(lines, "at", "job", accounts).select("file", "job", F.try_element_at("values", F.lit("segment")).alias("segment"), "c_acctbal"), 2)
+
+
 def grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     out = li.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus")
@@ -190,7 +225,7 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("scheme", "top").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (exp_join_rollup, nested_agg_stdev, like_in_filter, distinct_sorted, topk_orders, pricing_summary, back_projection, grouping_sets, cube_counts, set_ops, semi_anti, outer_join, rank_functions, pivot_status, count_distinct, grouped_lists, upsert_rows, list_delta, removed_positions, head_slice, matrix_merge, frame_reference, symmetric_matrix, inferred_types, duration_parse, date_differences, key_strip, natural_sort, json_extract, json_round_trip, log_lines, document_words, url_parts)}
+QUERIES = {f.__name__: f for f in (exp_join_rollup, nested_agg_stdev, like_in_filter, distinct_sorted, topk_orders, pricing_summary, back_projection, back_projection_files, array_cells, map_tallies, log_sections, job_accounts, grouping_sets, cube_counts, set_ops, semi_anti, outer_join, rank_functions, pivot_status, count_distinct, grouped_lists, upsert_rows, list_delta, removed_positions, head_slice, matrix_merge, frame_reference, symmetric_matrix, inferred_types, duration_parse, date_differences, key_strip, natural_sort, json_extract, json_round_trip, log_lines, document_words, url_parts)}
 
 ORACLE_SQL = {
     "exp_join_rollup": "SELECT r_name, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 2) AS mean, round(max(o_totalprice), 2) AS most, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
@@ -200,6 +235,11 @@ ORACLE_SQL = {
     "topk_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 2) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "back_projection": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "back_projection_files": "SELECT l_orderkey // 1000 AS file_idx, count(*) AS n, count(DISTINCT l_orderkey) AS frames, min(l_orderkey % 1000) AS first, max(l_orderkey % 1000) AS last FROM lineitem GROUP BY 1",
+    "array_cells": "SELECT vec_id, " + ", ".join(f"round(embedding[{21 * k + 1}]::DOUBLE, 6) AS d{k}" for k in range(4)) + " FROM embeddings",
+    "map_tallies": "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, arg_min(event_type, (-n, event_type)) AS top, coalesce(max(n) FILTER (event_type = 'click'), 0) AS clicks FROM n GROUP BY 1) SELECT user_id, top, clicks, event_type, n FROM n JOIN t USING (user_id)",
+    "log_sections": "WITH s AS (SELECT user_id AS file, 'signup ' || max(event_id) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS section FROM events) SELECT file, section, count(*) AS n FROM s GROUP BY ALL",
+    "job_accounts": "SELECT a.c_name AS file, a.c_custkey + 1 AS job, a.c_mktsegment AS segment, round(b.c_acctbal, 2) AS c_acctbal FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "cube_counts": "SELECT c_mktsegment, c_nationkey::BIGINT AS c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
     "set_ops": "(SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",

@@ -149,13 +149,32 @@ _NAMES, _RESIDUE = ("N", "CA", "C", "O", "CB"), ("ALA", "GLY", "SER", "VAL", "HO
 def trajectory_scan(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors as frames of 21 atoms, written as PDB text; the backbone of every third frame, read back."""
     at = f"{shared_root(spark)}/strandline/pdb-{uuid.uuid4().hex}"
+    trajectories.write_pdb(_atoms(spark, sf), at)
+    return trajectories.read_pdb(spark, at, first=1, stride=3, select="backbone").select("frame", "serial", "name", "residue", *(F.round(c, 3).alias(c) for c in "xyz"), F.round("b", 2).alias("b"))
+
+
+def _atoms(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("x")
     atoms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda a: F.struct((a + 1).alias("serial"), *(F.get(v, a * 3 + k).alias(c) for k, c in enumerate("xyz"))))
     rows = frames(spark, sf).select((F.col("vec_id") + 1).alias("frame"), F.get(v, 63).alias("b"), F.explode(atoms).alias("a")).select("frame", "b", "a.*")
     turn = (F.col("serial") - 1).cast("int")
-    rows = rows.withColumns({"name": F.element_at(F.array(*map(F.lit, _NAMES)), turn % 5 + 1), "resid": F.floor(turn / 5).cast("int"), "residue": F.element_at(F.array(*map(F.lit, _RESIDUE)), F.floor(turn / 5).cast("int") + 1)})
-    trajectories.write_pdb(rows, at)
-    return trajectories.read_pdb(spark, at, first=1, stride=3, select="backbone").select("frame", "serial", "name", "residue", *(F.round(c, 3).alias(c) for c in "xyz"), F.round("b", 2).alias("b"))
+    return rows.withColumns({"name": F.element_at(F.array(*map(F.lit, _NAMES)), turn % 5 + 1), "resid": F.floor(turn / 5).cast("int"), "residue": F.element_at(F.array(*map(F.lit, _RESIDUE)), F.floor(turn / 5).cast("int") + 1)})
+
+
+def side_chain_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean distance over all frames of each pair of side-chain atoms."""
+    atoms = _atoms(spark, sf)
+    place = atoms.select("frame", "serial", "x", "y", "z")
+    a, b = (place.withColumnsRenamed({"serial": k, "x": f"{k}x", "y": f"{k}y", "z": f"{k}z"}) for k in "ab")
+    both = a.join(F.broadcast(trajectories.side_chain_pairs(atoms)), "a").join(b, ["frame", "b"])
+    d = F.sqrt(sum((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"))
+    return rounded(both.groupBy("a", "b").agg(F.avg(d).alias("d"), F.count("*").alias("n")))
+
+
+def pairwise_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of each user's values by the distances to all of a segment."""
+    rows = events(spark, sf).select("user_id", "event_id", F.array("value").alias("x"))
+    return op.pairwise_segments(rows, KEYS, ORDER, "x", 300.0)
 
 
 def job_sequence_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +191,7 @@ def drift_segments(spark: SparkSession, sf: str) -> DataFrame:
     return op.drift_segments(rows, KEYS, ORDER, "x", 150.0, 2)
 
 
-QUERIES = {f.__name__: f for f in (noise_filter_centered, rms_delta, transition_pairs, transition_matrix, transition_matrix_cumulative, dwell_segments, segment_links, segment_stats, segment_label10, segment_label25, chunk_activity, gap_compressed_timeline, progress_thresholds, settled_states, burn_in_cap, fluctuation_features, element_fluctuation, theta_crossover, range_join_job_obs, srcbin_contingency, asof_forward_fill, contact_states, windowed_variance, windowed_covariance, strided_events, trajectory_scan, job_sequence_numbers, running_mean_segments, drift_segments)}
+QUERIES = {f.__name__: f for f in (noise_filter_centered, rms_delta, transition_pairs, transition_matrix, transition_matrix_cumulative, dwell_segments, segment_links, segment_stats, segment_label10, segment_label25, chunk_activity, gap_compressed_timeline, progress_thresholds, settled_states, burn_in_cap, fluctuation_features, element_fluctuation, theta_crossover, range_join_job_obs, srcbin_contingency, asof_forward_fill, contact_states, windowed_variance, windowed_covariance, strided_events, trajectory_scan, side_chain_distances, pairwise_segments, job_sequence_numbers, running_mean_segments, drift_segments)}
 
 _W = "(PARTITION BY user_id ORDER BY event_id)"
 _PAIRS = f"t AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER {_W} AS b FROM events), p AS (SELECT * FROM t WHERE a <> b)"
@@ -228,6 +247,9 @@ ORACLE_SQL = {
     "windowed_variance": f'WITH {_LONG}, {_WINDOWS} SELECT win AS "window", i, round(var_samp(v), 6) AS variance FROM w GROUP BY ALL',
     "windowed_covariance": f'WITH {_LONG}, {_WINDOWS} SELECT a.win AS "window", a.i, b.i AS j, round(covar_samp(a.v, b.v), 6) AS covariance FROM w a JOIN w b ON a.win = b.win AND a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL',
     "strided_events": f"WITH s AS ({_SEQ}) SELECT user_id, event_id FROM s WHERE rn >= 2 AND (rn - 2) % 10 = 0",
+    "side_chain_distances": f"""WITH {_LONG}, a AS (SELECT vec_id, i // 3 + 1 AS serial, i % 3 AS axis, v FROM x WHERE i < 63 AND i // 3 + 1 IN (2, 7, 15, 20)),
+        d AS (SELECT p.serial AS a, q.serial AS b, p.vec_id, sqrt(sum((p.v - q.v) * (p.v - q.v))) AS d FROM a p JOIN a q ON p.vec_id = q.vec_id AND p.axis = q.axis AND p.serial < q.serial GROUP BY ALL)
+        SELECT a, b, round(avg(d), 6) AS d, count(*) AS n FROM d GROUP BY a, b""",
     "trajectory_scan": f"""WITH {_LONG}, a AS (SELECT vec_id + 1 AS frame, i // 3 + 1 AS serial, i % 3 AS axis, v FROM x WHERE i < 63), m AS (SELECT vec_id + 1 AS frame, v AS b FROM x WHERE i = 63),
         p AS (SELECT frame, serial, {list(_NAMES)}[(serial - 1) % 5 + 1] AS name, {list(_RESIDUE)}[(serial - 1) // 5 + 1] AS residue, max(v) FILTER (axis = 0) AS x, max(v) FILTER (axis = 1) AS y, max(v) FILTER (axis = 2) AS z FROM a GROUP BY ALL)
         SELECT frame, serial, name, residue, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(b, 2) AS b FROM p JOIN m USING (frame) WHERE (frame - 1) % 3 = 0 AND name <> 'CB'""",

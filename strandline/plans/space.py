@@ -42,6 +42,13 @@ def kd_probe(spark: SparkSession, sf: str) -> DataFrame:
     return op.kd_probe(points.where("vec_id % 2 = 1"), splits, AXES, DEPTH).select("vec_id", "path")
 
 
+def kd_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of odd ids in the leaves of a tree that was written as strings and built again."""
+    points = axes(frames(spark, sf), 3)
+    _, splits = op.kd_tree(points.where("vec_id % 2 = 0"), AXES, "middle", DEPTH)
+    return op.kd_probe(points.where("vec_id % 2 = 1"), op.kd_rebuild(op.kd_encode(splits)), AXES, DEPTH).select("vec_id", "path")
+
+
 def kd_subtree(spark: SparkSession, sf: str) -> DataFrame:
     points, _ = op.kd_tree(axes(frames(spark, sf), 3), AXES, "middle", DEPTH)
     return op.under(points, "01").select("vec_id", "path")
@@ -189,7 +196,7 @@ def norms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(f.select("vec_id", vec.norm(F.col("x")).alias("norm"), F.array_max("x").alias("top"), (F.array_position("x", F.array_max("x")) - 1).alias("argmax")))
 
 
-QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_subtree, kd_insert, kd_insert_splits, sparse_kd_tree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gap_statistic, kernel_pca, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
+QUERIES = {f.__name__: f for f in (kd_tree_leaves_median, kd_tree_leaves_mean, kd_tree_leaves_middle, kd_tree_leaves_max_gap, kd_probe, kd_rebuild, kd_subtree, kd_insert, kd_insert_splits, sparse_kd_tree, kd_grid_cells, kd_region_count, cell_overlap, reweight_edges, explore_exploit_pdf, pairwise_distance_matrix, knn_exact_top5, multiway_subspace_join, common_cells, covariance_cells, fixed_projection, pca_project, kmeans_clusters, gap_statistic, kernel_pca, gmm_weights, lsh_votes, sign_hash_buckets, norms)}
 
 
 def _levels(mid: str, source: str = "p") -> str:
@@ -278,3 +285,4 @@ ORACLE_SQL = {
     "fixed_projection": f"WITH {LONG} SELECT vec_id, round(sum(CASE WHEN i % 2 = 0 THEN v ELSE -v END), 6) AS p0, round(sum(v * i / 64.0::DOUBLE), 6) AS p1 FROM x GROUP BY 1",
     "norms": f"WITH {LONG} SELECT vec_id, round(sqrt(sum(v * v)), 6) AS norm, round(max(v), 6) AS top, arg_max(i, v) AS argmax FROM x GROUP BY 1",
 }
+ORACLE_SQL["kd_rebuild"] = ORACLE_SQL["kd_probe"]

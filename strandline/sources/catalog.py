@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,31 @@ def head(rows: DataFrame, order: str, n: int) -> tuple[DataFrame, DataFrame]:
     return first, rows.join(first.select(order), order, "left_anti")
 
 
+def packed(values: Column, *shape: int) -> Column:
+    """An n-dimensional array as one value: its elements in row order and its shape, which must fit; null elements are kept."""
+    size = 1
+    for n in shape:
+        size *= n
+    fits = F.when(F.size(values) == size, values)
+    return F.when(fits.isNotNull(), F.struct(fits.alias("data"), F.array(*(F.lit(n) for n in shape)).alias("shape")))
+
+
+def cell(array: Column, *index: Column | int) -> Column:
+    """The element of a packed array at an index, one number for each dimension; null outside."""
+    place, inside = F.lit(0), F.size(array["shape"]) == len(index)
+    for k, i in enumerate(index):
+        i = i if isinstance(i, Column) else F.lit(i)
+        n = F.get(array["shape"], k)
+        place, inside = place * n + i, inside & (i >= 0) & (i < n)
+    return F.when(inside, F.get(array["data"], place.cast("int")))
+
+
+def by_file(sample: DataFrame, index: str, per_file: int = 100_000) -> DataFrame:
+    """(file_idx, frames, n): the frames that a sample of global indexes asks of each file, sorted and once each, so that a file is opened once."""
+    placed = frame_reference(sample.where(F.col(index) >= 0), index, per_file)
+    return placed.groupBy("file_idx").agg(F.array_sort(F.collect_set("frame")).alias("frames"), F.count("*").alias("n"))
+
+
 def without_positions(rows: DataFrame, positions: DataFrame, on: str) -> DataFrame:
     return rows.join(positions.select(on), on, "left_anti")
 
@@ -62,6 +87,6 @@ def square(triangle: DataFrame) -> DataFrame:
     return triangle.select("i", "j", "v").unionByName(triangle.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
-def infer_value(text: F.Column) -> F.Column:
+def infer_value(text: Column) -> Column:
     """Kind of a text value: int (digits only), float or str."""
     return F.when(text.rlike("^[0-9]+$"), "int").when(text.try_cast("double").isNotNull(), "float").otherwise("str")

@@ -55,14 +55,23 @@ def sections(lines: DataFrame, order: str, heading: str) -> DataFrame:
     return lines.withColumn("section", F.last(head, ignorenulls=True).over(w))
 
 
-def key_values(lines: DataFrame, separator: str = ":") -> DataFrame:
-    """(file, values): a map of the ``key: value`` lines of each file; the last value of a key counts."""
+def key_values(lines: DataFrame, order: str, separator: str = ":") -> DataFrame:
+    """(file, values): a map of the ``key: value`` lines of each file; the last value of a key by ``order`` counts."""
     at = F.locate(separator, F.col("line"))
-    pairs = lines.where(at > 1).select("file", F.trim(F.expr("left(line, locate('" + separator + "', line) - 1)")).alias("k"), F.trim(F.expr("substring(line, locate('" + separator + "', line) + 1)")).alias("v"))
-    last = pairs.groupBy("file", "k").agg(F.max("v").alias("v"))
+    pairs = lines.where(at > 1).select("file", F.col(order).alias("at"), F.trim(F.expr("left(line, locate('" + separator + "', line) - 1)")).alias("k"), F.trim(F.expr("substring(line, locate('" + separator + "', line) + 1)")).alias("v"))
+    last = pairs.groupBy("file", "k").agg(F.max_by("v", F.struct("at", "v")).alias("v"))
     return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("values"))
 
 
+def job_rows(lines: DataFrame, order: str, job: str, accounting: DataFrame, separator: str = ":") -> DataFrame:
+    """A row for each job's log with what the scheduler recorded of it: (file, values, and the columns of ``accounting``).
+
+    ``job`` is the key under which a log names its job; ``accounting`` has it as a column. Jobs that were not accounted for have nulls.
+    """
+    logged = key_values(lines, order, separator).withColumn(job, F.try_element_at("values", F.lit(job)).try_cast(accounting.schema[job].dataType))
+    return logged.join(accounting, job, "left")
+
+
 def read_segment_bounds(spark: SparkSession, path: str) -> DataFrame:
     return segment_bounds(_lines(spark, path))
 

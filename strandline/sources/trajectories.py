@@ -17,6 +17,9 @@ BACKBONE = ["N", "CA", "C", "O"]
 MINIMAL = ["N", "CA", "CB", "C", "O"]
 RESIDUES = ["ALA", "ARG", "ASN", "ASP", "CYS", "GLN", "GLU", "GLY", "HIS", "ILE", "LEU", "LYS", "MET", "PHE", "PRO", "SER", "THR", "TRP", "TYR", "VAL"]
 
+# The atom that stands for a residue's side chain.
+SIDE_CHAIN = {"ALA": "CA", "ARG": "CZ", "ASN": "CG", "ASP": "CG", "CYS": "CB", "GLN": "CD", "GLU": "CD", "GLY": "CA", "HSD": "CE1", "HSE": "CE1", "HSP": "CE1", "ILE": "CG1", "LEU": "CD1", "LYS": "CE", "MET": "SD", "PHE": "CE1", "PRO": "CD", "SER": "CB", "THR": "CB", "TRP": "CE3", "TYR": "CZ", "VAL": "CB"}
+
 BLOCK = 1000
 
 
@@ -32,6 +35,20 @@ def selected(select: str | list[str] | None) -> Column:
     return F.col("name").rlike("[CNO]") if select == "heavy" else F.col("residue").isin(RESIDUES) if select == "protein" else F.col("name").isin(names[select])
 
 
+def side_chain_atoms(atoms: DataFrame) -> DataFrame:
+    """(resid, serial): of each residue, the first atom that stands for its side chain; residues without one are left out."""
+    known = F.create_map(*(F.lit(x) for pair in SIDE_CHAIN.items() for x in pair))
+    found = atoms.select("resid", "residue", "name", "serial").distinct().where(F.col("name") == F.try_element_at(known, F.col("residue")))
+    return found.groupBy("resid").agg(F.min("serial").alias("serial"))
+
+
+def side_chain_pairs(atoms: DataFrame) -> DataFrame:
+    """(a, b): the serials of all pairs of side-chain atoms, the lower residue first. A molecule's residues are few."""
+    chosen = side_chain_atoms(atoms)
+    a, b = chosen.select(F.col("resid").alias("ra"), F.col("serial").alias("a")), chosen.select(F.col("resid").alias("rb"), F.col("serial").alias("b"))
+    return a.join(F.broadcast(b), F.col("ra") < F.col("rb")).select("a", "b")
+
+
 def _asked(first: int | None, last: int | None, stride: int) -> Column:
     """Whether a frame is asked for: every ``stride``-th from ``first`` (from 0 on if none is given) up to ``last``."""
     if stride < 1:

@@ -2,9 +2,9 @@
 
 import pytest
 from pyspark.sql import functions as F
-from strandline.functions import text, vec
+from strandline.functions import maps, text, vec
 from strandline.operators import itemsets, labelling, lattice, sampling, sequence, spatial, stats
-from strandline.sources import catalog, logs
+from strandline.sources import catalog, logs, trajectories
 
 
 def series(spark, values, key="a"):
@@ -204,3 +204,64 @@ def test_sparse_tree_shares_its_first_planes(spark):
     assert more.count() == 90 and {len(r["path"]) for r in more.collect()} == {5}
     wrong = more.where((F.substring("path", 1, 1) == "1") != (F.col("x") > whole["x"])).count() + more.where((F.substring("path", 2, 1) == "1") != (F.col("y") > whole["y"])).count()
     assert wrong == 0
+
+
+def plain_windows(values, theta):
+    """(start, end) by the distances of each frame to all frames of its window."""
+    start, out = 0, []
+    for t in range(2, len(values)):
+        score = sum(abs(values[i] - values[t]) for i in range(start, t - 2)) - sum(abs(values[i] - values[t - 2]) for i in range(start, t - 2))
+        if score > theta:
+            out.append((start, t - 1))
+            start = t
+    return [*out, (start, len(values) - 1)]
+
+
+@pytest.mark.parametrize("theta", [3.0, 12.0, 1000.0])
+def test_pairwise_segments_equal_plain(spark, theta):
+    data = {k: [float((i * i * (3 + k)) % 17 + (i // 20) * 5) for i in range(90)] for k in range(3)}
+    rows = spark.createDataFrame([(k, i, [v, v]) for k, values in data.items() for i, v in enumerate(values)], "key int, i int, x array<double>")
+    got = {}
+    for r in sequence.pairwise_segments(rows, ["key"], "i", "x", theta).orderBy("key", "seg").collect():
+        got.setdefault(r["key"], []).append((r["start"], r["end"]))
+        assert r["length"] == r["end"] - r["start"] + 1
+    assert got == {k: plain_windows(v, theta) for k, v in data.items()}
+
+
+def test_maps(spark):
+    rows = spark.createDataFrame([(["b", "a", "b", "c", "c"], {"b": 1, "z": 5}), ([], None)], "k array<string>, m map<string,long>")
+    out = rows.select(maps.tally(F.col("k")).alias("t"), maps.merge(maps.tally(F.col("k")), F.col("m")).alias("u"), maps.top_key(maps.tally(F.col("k"))).alias("top"), maps.lookup(F.col("m"), F.lit("q"), F.lit(7)).alias("q")).collect()
+    assert out[0]["t"] == {"a": 1, "b": 2, "c": 2} and out[0]["u"] == {"a": 1, "b": 3, "c": 2, "z": 5} and out[0]["top"] == "b" and out[0]["q"] == 7
+    assert out[1]["t"] == {} == out[1]["u"] and out[1]["top"] is None
+
+
+def test_packed_arrays(spark):
+    a = catalog.packed(F.col("v"), 2, 3)
+    row = spark.createDataFrame([([1, 2, 3, 4, 5, 6],)], "v array<int>").withColumn("a", a).select("a", catalog.cell(F.col("a"), 1, 2).alias("x"), catalog.cell(F.col("a"), 2, 0).alias("y"), catalog.cell(F.col("a"), 0).alias("z")).first()
+    assert list(row["a"]["shape"]) == [2, 3] and (row["x"], row["y"], row["z"]) == (6, None, None)
+    assert spark.createDataFrame([([1, 2],)], "v array<int>").select(a.alias("a")).first()["a"] is None
+
+
+def test_many_queries_are_dealt_to_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k * 37 % 101), float(k * 53 % 97)]) for k in range(60)], "id long, x array<double>")
+    whole = sorted(map(tuple, spatial.nearest_rows(rows, rows, "id", "x", 2).collect()))
+    monkeypatch.setattr(spatial, "QUERY_BYTES", 1000)
+    assert sorted(map(tuple, spatial.nearest_rows(rows, rows, "id", "x", 2).collect())) == whole and len(whole) == 120
+
+
+def test_key_values_and_jobs(spark):
+    lines = spark.createDataFrame([("f", 1, "job: 7"), ("f", 3, "state: done"), ("f", 2, "state: run"), ("g", 1, "job: x"), ("g", 2, ": none"), ("g", 3, "a:b:c")], "file string, n int, line string")
+    got = {r["file"]: r for r in logs.job_rows(lines, "n", "job", spark.createDataFrame([(7, 1.5)], "job long, cpu double")).collect()}
+    assert got["f"]["values"] == {"job": "7", "state": "done"} and got["f"]["cpu"] == 1.5
+    assert got["g"]["values"] == {"job": "x", "a": "b:c"} and got["g"]["cpu"] is None
+
+
+def test_side_chains(spark):
+    atoms = spark.createDataFrame([(1, "ALA", "N", 1), (1, "ALA", "CA", 2), (2, "SER", "CA", 3), (2, "SER", "CB", 4), (3, "HOH", "O", 5), (4, "TYR", "CZ", 6)] * 2, "resid int, residue string, name string, serial long")
+    assert sorted(map(tuple, trajectories.side_chain_pairs(atoms).collect())) == [(2, 4), (2, 6), (4, 6)]
+
+
+def test_cover_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 4)], "a int, b int")
+    picked = itemsets.cover_pairs(pairs, "a", "b")
+    assert {x for p in picked for x in p} == {1, 2, 3, 4} and picked[0] == (1, 2)
