@@ -176,17 +176,19 @@ def reduce_features(transactions: DataFrame, n_rows: int, theta: float, most: in
     return out.orderBy("ones", "item").limit(most) if most else out
 
 
-def cover_pairs(pairs: DataFrame, a: str, b: str) -> list[tuple]:
-    """Greedy cover of residues by pairs, the pair with the lowest summed degree first. The pair table is small by nature (residue pairs)."""
-    ends = pairs.select(F.col(a).alias("r")).union(pairs.select(b))
+def cover_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs (a, b) that a greedy cover of the residues picks: pairs in order of summed degree, then of their residues, each if a residue of it is not covered yet.
+
+    A pair is picked just if it is the first one of one of its residues: such a residue cannot have
+    been covered before, and a residue whose first pair came earlier has been. So one minimum for
+    each residue gives the cover.
+    """
+    once = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    ends = once.select("a", "b", F.explode(F.array("a", "b")).alias("r"))
     degree = ends.groupBy("r").agg(F.count("*").alias("degree"))
-    ranked = pairs.join(degree.withColumnsRenamed({"r": a, "degree": "da"}), a).join(degree.withColumnsRenamed({"r": b, "degree": "db"}), b)
-    picked, seen = [], set()
-    for row in ranked.select(a, b).distinct().join(ranked.select(a, b, (F.col("da") + F.col("db")).alias("d")).distinct(), [a, b]).orderBy("d", a, b).toLocalIterator():
-        if row[a] not in seen or row[b] not in seen:
-            picked.append((row[a], row[b]))
-            seen |= {row[a], row[b]}
-    return picked
+    known = ends.join(degree, "r").groupBy("a", "b").agg(F.sum("degree").alias("d"))
+    first = known.select(F.explode(F.array("a", "b")).alias("r"), F.struct("d", "a", "b").alias("p")).groupBy("r").agg(F.min("p").alias("p"))
+    return first.select(F.col("p.a").alias(a), F.col("p.b").alias(b)).distinct()
 
 
 def meet(a: Column, b: Column) -> Column:

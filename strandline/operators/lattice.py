@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..lineage import cut
 from .itemsets import members
+from .spatial import nearest_rows
 
 
 def collapse(edges: DataFrame, nodes: DataFrame, theta: float, longest: int) -> DataFrame:
@@ -60,20 +61,46 @@ def summaries(rows: DataFrame, cluster: str, vector: str) -> DataFrame:
     return parts.groupBy(F.col(cluster).alias("cluster")).agg(F.max("n").alias("n"), F.transform(cells, lambda c: c["s"]).alias("s"), F.transform(cells, lambda c: c["q"]).alias("q"))
 
 
-#: Clusters that the merge on the driver takes.
+#: Clusters that are merged pair by pair on the driver.
 MAX_SUMMARIES = 5_000
 
 
-def hierarchical_merge(summary: DataFrame, target: int, small: float = 0.0001) -> DataFrame:
+def _merged_pairs(summary: DataFrame, target: int) -> DataFrame:
+    """(keep, gone): clusters that are each other's nearest by their centroids, the closest first, as many as leave ``target`` clusters at least."""
+    centres = summary.select("cluster", F.transform("s", lambda x: x / F.col("n")).alias("centroid"))
+    near = cut(nearest_rows(centres, centres, "cluster", "centroid", 1).select("query", F.col("cluster").alias("nearest"), "d"))
+    back = near.select(F.col("nearest").alias("query"), F.col("query").alias("nearest"))
+    pairs = near.join(back, ["query", "nearest"]).where("query < nearest").select(F.col("query").alias("keep"), F.col("nearest").alias("gone"), "d")
+    return cut(pairs.orderBy("d", "keep").limit(max(0, summary.count() - target)).drop("d"))
+
+
+def _added_up(summary: DataFrame, step: DataFrame) -> DataFrame:
+    """Summaries after the merges (keep, gone) of a step."""
+    moved = summary.join(step.withColumnRenamed("gone", "cluster"), "cluster", "left").withColumn("cluster", F.coalesce("keep", "cluster"))
+    cells = moved.select("cluster", "n", F.posexplode(F.arrays_zip("s", "q")).alias("i", "c")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("c.s").alias("s"), F.sum("c.q").alias("q"))
+    both = F.array_sort(F.collect_list(F.struct("i", "s", "q")))
+    return cut(cells.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(both, lambda c: c["s"]).alias("s"), F.transform(both, lambda c: c["q"]).alias("q")))
+
+
+def hierarchical_merge(summary: DataFrame, target: int, small: float = 0.0001, most: int = MAX_SUMMARIES) -> DataFrame:
     """(cluster, final): merges the pair of clusters with the closest centroids until ``target`` are left.
 
-    Clusters under ``small`` of all rows go first, each into its nearest neighbour. Works on
-    summaries, at most MAX_SUMMARIES of them; the rows themselves stay in Spark. Ties go to the
-    lower clusters.
+    While there are more than ``most`` clusters, those that are each other's nearest are merged, all
+    in one round; the global closest pair is always among them. The rest is merged pair by pair on
+    the driver, from the summaries of at most ``most`` clusters. There, clusters under ``small`` of
+    all rows go first, each into its nearest neighbour. Ties go to the lower clusters.
     """
-    held = summary.select("cluster", "n", "s").orderBy("cluster").limit(MAX_SUMMARIES + 1).collect()
-    if len(held) > MAX_SUMMARIES:
-        raise ValueError(f"more than {MAX_SUMMARIES} clusters")
+    now, before = summary, summary.select("cluster", F.col("cluster").alias("final"))
+    while now.count() > max(most, target):
+        step = _merged_pairs(now, target)
+        now = _added_up(now, step)
+        before = cut(before.join(step.withColumnRenamed("gone", "final"), "final", "left").select("cluster", F.coalesce("keep", "final").alias("final")))
+    last = _merged_one_by_one(now, target, small)
+    return before.withColumnRenamed("final", "between").join(last.withColumnRenamed("cluster", "between"), "between").select("cluster", "final")
+
+
+def _merged_one_by_one(summary: DataFrame, target: int, small: float) -> DataFrame:
+    held = summary.select("cluster", "n", "s").orderBy("cluster").collect()
     live = {k: (r["n"], list(r["s"])) for k, r in enumerate(held)}
     final = {k: k for k in live}
     total = sum(n for n, _ in live.values())

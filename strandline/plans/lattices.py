@@ -138,6 +138,13 @@ def lattice_paths(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(op.paths(edges, roots, it.longest(nodes)).groupBy("root", F.size("path").alias("steps")).agg(F.count("*").alias("n")).select(_key("root"), "steps", "n"))
 
 
+def covering_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of dimensions, among those that are over 0.2 together in a vector, that cover all such dimensions."""
+    on = it.contacts(frames(spark, sf), "vec_id", "x", 0.2)
+    pairs = on.join(on.withColumnRenamed("item", "other"), "tid").where("item < other").select("item", "other")
+    return rounded(it.cover_pairs(pairs, "item", "other"))
+
+
 def lattice_traces(spark: SparkSession, sf: str) -> DataFrame:
     """Length and end of each node's way up by best parents."""
     _, nodes, edges = _weighted(spark, sf)
@@ -350,7 +357,7 @@ def top_unexecuted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.top_unexecuted(c, done, "c_custkey", "c_acctbal", 25))
 
 
-QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, lattice_traces, key_meet_join, label_cluster_scores, fairness, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
+QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, covering_pairs, lattice_traces, key_meet_join, label_cluster_scores, fairness, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
 
 _ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE v > {CUT})"
 _S = "array_to_string(items, ',') AS items"
@@ -408,6 +415,9 @@ ORACLE_SQL = {
         SELECT array_to_string(mb.items, ',') AS items, count(*) AS n, count(*) FILTER (cv.tid IS NULL) AS own FROM mb LEFT JOIN cv ON mb.items = cv.items AND mb.tid = cv.tid GROUP BY mb.items""",
     "lattice_paths": f"""WITH RECURSIVE {_EDGES}, pa AS (SELECT items AS root, items AS node, 1 AS steps FROM nd WHERE items NOT IN (SELECT child FROM e) UNION ALL SELECT root, e.child, steps + 1 FROM pa JOIN e ON e.parent = pa.node)
         SELECT array_to_string(root, ',') AS root, steps::BIGINT AS steps, count(*) AS n FROM pa GROUP BY pa.root, steps""",
+    "covering_pairs": f"""WITH {LONG}, o AS (SELECT vec_id, i FROM x WHERE v > 0.2), p AS (SELECT DISTINCT a.i AS item, b.i AS other FROM o a JOIN o b ON a.vec_id = b.vec_id AND a.i < b.i), e AS (SELECT item AS r FROM p UNION ALL SELECT other FROM p),
+        g AS (SELECT r, count(*) AS n FROM e GROUP BY 1), k AS (SELECT item, other, x.n + y.n AS d FROM p JOIN g x ON x.r = item JOIN g y ON y.r = other), u AS (SELECT item AS r, * FROM k UNION ALL SELECT other, * FROM k)
+        SELECT DISTINCT arg_min(item, (d, item, other)) AS item, arg_min(other, (d, item, other)) AS other FROM u GROUP BY r""",
     "lattice_traces": f"""WITH RECURSIVE {_EMD}, b AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY emd, parent) AS r FROM w), up AS (SELECT child, parent FROM b WHERE r = 1),
         g AS (SELECT items, items AS top, 1 AS steps FROM nd UNION ALL SELECT g.items, up.parent, steps + 1 FROM g JOIN up ON up.child = g.top), t AS (SELECT items, max(steps) AS steps, max_by(top, steps) AS top FROM g GROUP BY items)
         SELECT {_S}, steps::BIGINT AS steps, array_to_string(top, ',') AS top FROM t""",

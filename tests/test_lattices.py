@@ -160,3 +160,23 @@ def test_rows_go_to_their_largest_node(spark):
     nodes = spark.createDataFrame([([1],), ([1, 2],), ([2, 3],), ([3],)], "items array<int>")
     found = lattice.assign_rows(table(spark, rows), nodes, 1)
     assert {r["tid"]: (r["level"], tuple(r["items"])) for r in found.collect()} == {0: (1, (1, 2)), 1: (1, (1, 2)), 3: (1, (3,))}
+
+
+def test_rounds_of_nearest_pairs_end_where_single_merges_do(spark):
+    """Twelve clusters in three far groups with ties inside them; one cluster is tiny."""
+    rows = []
+    for k in range(12):
+        x, y = (k % 3) * 1000.0 + (k // 3) * 2.0, (k // 6) * 1.0
+        rows += [(k, [x + d, y]) for d in (-0.25, 0.25)] * (1 if k == 5 else 4)
+    table = spark.createDataFrame(rows, "cluster int, x array<double>")
+    summary = lattice.summaries(table, "cluster", "x")
+    groups = [{k for k in range(12) if k % 3 == g} for g in range(3)]
+    for most in (12, 5, 3):
+        got = {}
+        for r in lattice.hierarchical_merge(summary, 3, small=0.03, most=most).collect():
+            got.setdefault(r["final"], set()).add(r["cluster"])
+        assert sorted(got.values(), key=min) == groups and sorted(got) == [0, 1, 2], most
+    alone = lattice.hierarchical_merge(summary, 20, small=0.0, most=5)
+    assert all(r["cluster"] == r["final"] for r in alone.collect()) and alone.count() == 12
+    merged = lattice._added_up(summary, lattice._merged_pairs(summary, 1))
+    assert merged.agg(F.sum("n")).first()[0] == len(rows) and merged.count() < 12

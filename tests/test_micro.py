@@ -261,7 +261,16 @@ def test_side_chains(spark):
     assert sorted(map(tuple, trajectories.side_chain_pairs(atoms).collect())) == [(2, 4), (2, 6), (4, 6)]
 
 
-def test_cover_pairs(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 4)], "a int, b int")
-    picked = itemsets.cover_pairs(pairs, "a", "b")
-    assert {x for p in picked for x in p} == {1, 2, 3, 4} and picked[0] == (1, 2)
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_cover_pairs_equals_greedy(spark, seed):
+    data = sorted({(i * (7 + seed) % 13, (i * i + seed) % 17 + 13) for i in range(40)})
+    degree = {}
+    for p in data:
+        for r in p:
+            degree[r] = degree.get(r, 0) + 1
+    picked, seen = set(), set()
+    for p in sorted(data, key=lambda p: (degree[p[0]] + degree[p[1]], p)):
+        if not set(p) <= seen:
+            picked.add(p)
+            seen |= set(p)
+    assert set(map(tuple, itemsets.cover_pairs(spark.createDataFrame(data * 2, "x int, y int"), "x", "y").collect())) == picked
