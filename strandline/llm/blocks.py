@@ -199,6 +199,36 @@ def link(sets: list[np.ndarray], percent: int, known: list | None = None, ask: n
     return roots, central
 
 
+def link_small(sets: list[np.ndarray], blocks: np.ndarray, percent: int) -> np.ndarray:
+    """Roots of the components of the links inside many small blocks at once: all overlaps are counted, no lists are searched.
+
+    blocks: the block of each set, sets of a block side by side. The entries of all sets are sorted by
+    block and shingle, and entries of one shingle that are d places apart are pairs of its list, for
+    d = 1, 2, ... up to the largest block.
+    """
+    sizes = np.array([s.size for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    by = np.lexsort((flat, blocks[owner]))
+    owner, flat = owner[by], flat[by]
+    own = blocks[owner]
+    most = int(np.unique(blocks, return_counts=True)[1].max())
+    common = np.zeros((len(sets), most), np.int64)
+    for d in range(1, most):
+        same = np.flatnonzero((flat[d:] == flat[:-d]) & (own[d:] == own[:-d]))
+        if not same.size:
+            break
+        a, b = np.minimum(owner[same], owner[same + d]), np.maximum(owner[same], owner[same + d])
+        common += np.bincount(a * most + b - a, minlength=common.size).reshape(common.shape)
+    a, apart = np.nonzero(common)
+    b, n = a + apart, common[a, apart]
+    linked = (100 + percent) * n >= percent * (sizes[a] + sizes[b])
+    forest = Forest(range(len(sets)))
+    for i, j in zip(a[linked].tolist(), b[linked].tolist()):
+        forest.join(i, j)
+    return forest.roots()
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin, and the end."""
     return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
@@ -226,10 +256,11 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(rest)
 
 
-def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]], percent: int) -> Callable:
+def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]], percent: int, counted: int = 0) -> Callable:
     """A mapInArrow function over (block, part, id, known, asks, payload) sorted by block and part.
 
-    Groups are solved in runs of about RUN_BYTES of payload, so a task holds little more than its largest group.
+    Groups are solved in runs of about RUN_BYTES of payload, so a task holds little more than its largest group. Groups
+    of up to ``counted`` items of which nothing is known are solved together, by counting.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +277,7 @@ def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]],
                     last += 1
                 base = int(cuts[first])
                 sets, own = make_sets(payload.slice(base, int(cuts[last]) - base).combine_chunks())
-                parts = []
+                parts, small = [], []
                 for a, z in zip(cuts[first:last].tolist(), cuts[first + 1 : last + 1].tolist()):
                     order = a + np.lexsort((~asks[a:z], ids[a:z]))
                     order = order[own[order - base] == ids[order]]
@@ -254,11 +285,20 @@ def _solve(make_sets: Callable[[pa.Array], tuple[list[np.ndarray], np.ndarray]],
                         continue
                     order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
                     fresh = (known[order] < 0).all() and asks[order].all()
+                    if fresh and order.size <= counted:
+                        small.append(order)
+                        continue
                     root, central = link([sets[i] for i in order - base], percent, None if fresh else known[order].tolist(), None if fresh else asks[order])
                     hub = np.zeros(order.size, dtype=bool)
                     best = np.lexsort((-central, root))
                     hub[best[np.concatenate([[True], root[best][1:] != root[best][:-1]])]] = True
                     parts.append((order, ids[order[root]], hub, np.bincount(root, minlength=order.size)[root] == 1))
+                if small:
+                    order = np.concatenate(small)
+                    group = np.repeat(np.arange(len(small)), [o.size for o in small])
+                    root = link_small([sets[i] for i in order - base], group, percent)
+                    # Any item of a component may stand for it.
+                    parts.append((order, ids[order[root]], root == np.arange(order.size), np.bincount(root, minlength=order.size)[root] == 1))
                 if parts:
                     order, least, hub, alone = (np.concatenate(c) for c in zip(*parts))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[order, 0], keys[order, 1], ids[order], least, hub, alone)], ["block", "part", "a", "b", "hub", "alone"])
@@ -274,6 +314,7 @@ def resolve(
     percent: int,
     scratch: Scratch,
     max_items: int = MAX_ITEMS,
+    counted: int = 0,
 ) -> DataFrame:
     """Columns ``id`` and ``component`` of the items that are linked with another.
 
@@ -281,7 +322,8 @@ def resolve(
     column ``payload`` to rows with an ``id``, given their number. make_sets: sorted distinct
     uint64 arrays of payloads, and the ids of these payloads; rows with another id are passed over.
     A link is a Jaccard similarity of ``percent`` in a hundred at least. Items with an empty set
-    are linked with nothing.
+    are linked with nothing. Blocks of up to ``counted`` items are not searched, but all their
+    overlaps counted.
     """
     candidates = scratch.keep(candidates, "clusters")
     blocks = scratch.keep(components(candidates.select(F.col("id").alias("a"), F.col("head").alias("b")), scratch).withColumnRenamed("component", "block"), "blocks")
@@ -308,7 +350,7 @@ def resolve(
 
     def solve(rows: DataFrame) -> DataFrame:
         rows = rows.select("block", "part", "id", "known", "asks", "payload").repartition("block", "part").sortWithinPartitions("block", "part")
-        return rows.mapInArrow(_solve(make_sets, percent), schema)
+        return rows.mapInArrow(_solve(make_sets, percent, counted), schema)
 
     links = scratch.keep(solve(dealt), "links")
     if not n_wide:  # no item is in two blocks
