@@ -25,6 +25,8 @@ from ._text import mix, released
 
 #: Items of a list that are compared in one task.
 LONGEST = 1000
+#: Members of a group that is compared together with others of its batch.
+TOGETHER = 12
 #: Bits of a bitmap at most; a larger set is ruled out less often.
 MOST_BITS = 1 << 16
 #: Parts among which postings of a hot list are dealt.
@@ -133,6 +135,72 @@ def _two(n: list[int], maps: list[bytes], percent: int, exact: bool) -> bool:
     return (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (n[0] + n[1])
 
 
+def _pairs_admitted(n: np.ndarray, offsets: np.ndarray, data: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, exact: bool) -> np.ndarray:
+    """Which pairs of rows sizes and bitmaps (data, cut at offsets) admit, as ``_two`` would say."""
+    length = np.diff(offsets)
+    i, j = np.where(length[i] <= length[j], i, j), np.where(length[i] <= length[j], j, i)
+    fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]) if exact else np.ones(i.size, dtype=bool)
+    out = np.zeros(i.size, dtype=bool)
+    kinds = length[i] * (1 << 32) + length[j]
+    for kind in np.unique(kinds[fit]).tolist():
+        at = np.flatnonzero(fit & (kinds == kind))
+        short, long = kind >> 32, kind & (1 << 32) - 1
+        step = max(1, (1 << 21) // long)
+        for k in range(0, at.size, step):
+            a, b = i[at[k : k + step]], j[at[k : k + step]]
+            x, y = data[offsets[a][:, None] + np.arange(short)], _folded(data[offsets[b][:, None] + np.arange(long)], short)
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            out[at[k : k + step]] = (100 + percent) * differ <= (100 - percent) * (n[a] + n[b])
+    return out
+
+
+def _connected(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that pairs connect each row with."""
+    label = np.arange(size)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _cluster_rows(ids: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+    """Rows (cluster, id, head, members) of clusters of so many ids each, one behind another."""
+    starts = np.cumsum(members) - members
+    name = mix(np.add.reduceat(mix(ids.view(_U)), starts) + members.astype(_U)) if members.size else np.zeros(0, _U)
+    heads = np.minimum.reduceat(ids, starts) if members.size else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name.view(np.int64), members)), pa.array(ids), pa.array(np.repeat(heads, members)), pa.array(np.repeat(members, members))], ["cluster", "id", "head", "members"])
+
+
+def _small_groups(batch: pa.RecordBatch, percent: int, exact: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Clusters of the groups of at most TOGETHER members that lie inside a batch, all compared at once; and the other rows."""
+    group, item = batch.column("group").to_numpy(), batch.column("id").to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [group.size]])
+    sizes = np.diff(cuts)
+    inside = (sizes > 1) & (sizes <= TOGETHER) & (cuts[:-1] > 0) & (cuts[1:] < group.size)
+    take = np.repeat(inside, sizes)
+    rows = batch.filter(pa.array(take))
+    sizes = sizes[inside]
+    starts = np.cumsum(sizes) - sizes
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(sizes).tolist():
+        a, b = np.triu_indices(m, 1)
+        i.append((starts[sizes == m][:, None] + a).ravel())
+        j.append((starts[sizes == m][:, None] + b).ravel())
+    i, j = np.concatenate(i), np.concatenate(j)
+    bits = rows.column("bits").cast(pa.large_binary())
+    offsets = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1] if len(bits) else np.zeros(1, np.int64)
+    data = np.frombuffer(bits.buffers()[2], np.uint8) if len(bits) else np.zeros(0, np.uint8)
+    good = _pairs_admitted(rows.column("n").to_numpy(), offsets, data, i, j, percent, exact)
+    label = _connected(len(rows), i[good], j[good])
+    members = np.bincount(label, minlength=len(rows))
+    by = np.argsort(label, kind="stable")
+    by = by[members[label[by]] > 1]
+    return _cluster_rows(item[take][by], members[members > 1]), batch.filter(pa.array(~take))
+
+
 def clusters(sizes: list[int], maps: list[bytes], percent: int, exact: bool = True) -> list[list[int]]:
     """Places of members that pairs connect which sizes and bitmaps admit at ``percent`` in a hundred; single members are left out.
 
@@ -179,19 +247,18 @@ def _admitted(percent: int, exact: bool) -> Callable:
         out: list[list[int]] = []
 
         def table() -> pa.RecordBatch:
-            members = np.array([len(c) for c in out], np.int64)
-            ids = np.array([x for c in out for x in c], np.int64)
-            starts = np.cumsum(members) - members
-            name = mix(np.add.reduceat(mix(ids.view(_U)), starts) + members.astype(_U)) if out else np.zeros(0, _U)
-            heads = np.array([min(c) for c in out], np.int64)
+            members, ids = np.array([len(c) for c in out], np.int64), np.array([x for c in out for x in c], np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name.view(np.int64), members)), pa.array(ids), pa.array(np.repeat(heads, members)), pa.array(np.repeat(members, members))], ["cluster", "id", "head", "members"])
+            return _cluster_rows(ids, members)
 
         def close() -> None:
             out.extend([items[i] for i in c] for c in clusters(sizes, maps, percent, exact))
             items.clear(), sizes.clear(), maps.clear()
 
         for batch in batches:
+            found, batch = _small_groups(batch, percent, exact)
+            if found.num_rows:
+                yield found
             for group, item, size, bits in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "n", "bits"))):
                 if group != own:
                     close()
