@@ -176,6 +176,22 @@ def reduce_features(transactions: DataFrame, n_rows: int, theta: float, most: in
     return out.orderBy("ones", "item").limit(most) if most else out
 
 
+def eliminate_features(transactions: DataFrame, n_rows: int, theta: float) -> DataFrame:
+    """Features (item, ones) that at least theta * N rows have and that no other such feature nearly equals or nearly opposes.
+
+    Two features are too close if they agree in fewer than theta * N rows or in more than N - theta * N; then both go.
+    """
+    distinct = transactions.select("tid", "item").distinct()
+    ones = cut(distinct.groupBy("item").agg(F.count("*").alias("ones")).where(F.col("ones") >= theta * n_rows))
+    held = distinct.join(ones.select("item"), "item", "left_semi")
+    common = held.join(held.withColumnRenamed("item", "other"), "tid").where("item < other").groupBy("item", "other").agg(F.count("*").alias("both"))
+    # All pairs of columns, as features without a common row oppose each other too.
+    pairs = ones.join(ones.select(F.col("item").alias("other"), F.col("ones").alias("theirs")), F.expr("item < other")).join(common, ["item", "other"], "left")
+    same = n_rows - F.col("ones") - F.col("theirs") + 2 * F.coalesce("both", F.lit(0))
+    close = pairs.where((same < theta * n_rows) | (same > n_rows - theta * n_rows)).select(F.explode(F.array("item", "other")).alias("item")).distinct()
+    return ones.join(close, "item", "left_anti")
+
+
 def cover_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs (a, b) that a greedy cover of the residues picks: pairs in order of summed degree, then of their residues, each if a residue of it is not covered yet.
 

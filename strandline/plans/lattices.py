@@ -89,6 +89,12 @@ def feature_reduction(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(it.reduce_features(it.contacts(f, "vec_id", "x", 0.05), f.count(), 0.2, 20))
 
 
+def feature_elimination(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimensions that are often positive and neither go along with another one nor against it."""
+    f = frames(spark, sf)
+    return rounded(it.eliminate_features(it.contacts(f, "vec_id", "x", 0.0), f.count(), 0.44))
+
+
 def _lattice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     on = _on(spark, sf)
     nodes = cut(it.lattice_nodes(max_miner(on, _least(spark, sf, SHARE))[0]))
@@ -357,7 +363,7 @@ def top_unexecuted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sa.top_unexecuted(c, done, "c_custkey", "c_acctbal", 25))
 
 
-QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, covering_pairs, lattice_traces, key_meet_join, label_cluster_scores, fairness, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
+QUERIES = {f.__name__: f for f in (itemsets_k2, itemsets_k3, itemsets_strict, maximal_itemsets, closed_itemsets, formal_concepts, itemset_closure, unique_patterns, feature_reduction, feature_elimination, lattice_members, lattice_edges_emd, lattice_collapse, lattice_groups, lattice_compression, lattice_paths, covering_pairs, lattice_traces, key_meet_join, label_cluster_scores, fairness, merged_supports, lattice_merge, lattice_merge_edges, lattice_extend, cuboid_assignment, cluster_summaries, cluster_scores, hierarchical_clusters, ranked_members, cuboid_scores, markov_clusters, umbrella_pdf, mean_umbrella_pdf, convergence_pdf, reservoir_bottomk, reservoir_state, uniform_sample, select_value, round_robin_sample, capped_clusters, lattice_sample, correlation_features, knapsack_greedy, knapsack_oscillation, explorer_sample, aged_queue, top_unexecuted)}
 
 _ON = f"{LONG}, o AS (SELECT vec_id AS tid, i AS item, v FROM x WHERE v > {CUT})"
 _S = "array_to_string(items, ',') AS items"
@@ -402,6 +408,10 @@ ORACLE_SQL = {
     "feature_reduction": f"""WITH {LONG}, o AS (SELECT vec_id AS tid, i AS item FROM x WHERE v > 0.05), n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT item, count(*) AS ones FROM o GROUP BY 1), k AS (SELECT s.* FROM s, n WHERE ones >= 0.2 * n AND ones <= n - 0.2 * n),
         d AS (SELECT a.item AS a, b.item AS b, any_value(ka.ones) + any_value(kb.ones) - 2 * count(*) AS diff FROM o a JOIN o b ON a.tid = b.tid AND a.item < b.item JOIN k ka ON ka.item = a.item JOIN k kb ON kb.item = b.item GROUP BY a.item, b.item)
         SELECT item, ones FROM k WHERE item NOT IN (SELECT a FROM d, n WHERE diff < 0.4 * n) ORDER BY ones, item LIMIT 20""",
+    "feature_elimination": f"""WITH {LONG}, n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT i AS item, count(*) FILTER (v > 0) AS ones FROM x GROUP BY 1 HAVING count(*) FILTER (v > 0) >= 0.44 * (SELECT n FROM n)),
+        p AS (SELECT a.i AS a, b.i AS b, count(*) FILTER ((a.v > 0) = (b.v > 0)) AS same FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i WHERE a.i IN (SELECT item FROM k) AND b.i IN (SELECT item FROM k) GROUP BY ALL),
+        c AS (SELECT a, b FROM p, n WHERE same < 0.44 * n OR same > n - 0.44 * n)
+        SELECT item, ones FROM k WHERE item NOT IN (SELECT a FROM c) AND item NOT IN (SELECT b FROM c)""",
     "lattice_members": f"WITH RECURSIVE {_NODES} SELECT {_S}, count(*) AS n, sum(tid)::BIGINT AS tids FROM mb GROUP BY mb.items",
     "lattice_edges_emd": f"WITH RECURSIVE {_EMD} SELECT array_to_string(child, ',') AS child, array_to_string(parent, ',') AS parent, round(emd, 6) AS emd FROM w",
     "lattice_collapse": f"""WITH RECURSIVE {_EMD}, cs AS (SELECT child, parent, 1 - emd AS sim FROM w WHERE 1 - emd >= 0.8), up AS (SELECT items AS root, items, 1.0::DOUBLE AS weight FROM nd WHERE items NOT IN (SELECT child FROM cs)

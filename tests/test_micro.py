@@ -274,3 +274,14 @@ def test_cover_pairs_equals_greedy(spark, seed):
             picked.add(p)
             seen |= set(p)
     assert set(map(tuple, itemsets.cover_pairs(spark.createDataFrame(data * 2, "x int, y int"), "x", "y").collect())) == picked
+
+
+def test_eliminated_features_equal_plain(spark):
+    n, theta = 40, 0.2
+    columns = {0: {k for k in range(40) if k % 2}, 1: {k for k in range(40) if k % 2 or k == 0}, 2: {k for k in range(40) if not k % 2}, 3: set(range(5)), 4: {k for k in range(40) if k % 3}, 5: set(range(18)), 6: set(range(18, 40))}
+    ones = {c: s for c, s in columns.items() if len(s) >= theta * n}
+    agree = {(a, b): sum((k in ones[a]) == (k in ones[b]) for k in range(n)) for a in ones for b in ones if a < b}
+    gone = {c for p, x in agree.items() if x < theta * n or x > n - theta * n for c in p}
+    rows = spark.createDataFrame([(k, c) for c, s in columns.items() for k in s], "tid int, item int")
+    got = {r["item"]: r["ones"] for r in itemsets.eliminate_features(rows, n, theta).collect()}
+    assert got == {c: len(s) for c, s in ones.items() if c not in gone} == {4: 26}
