@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 from strandline.llm import quality_classifier as qc
 from strandline.llm.quality_rules import learn_rules, with_statistics, with_verdict
@@ -62,3 +65,37 @@ def test_pairs_decide_the_order():
     y = (x[:, 0] + 0.1 * rng.normal(size=400) > 0).astype(int)
     model = qc.fit(x, y)
     assert ((model.score(x) >= qc.CUT).astype(int) == y).mean() > 0.9
+
+
+def plain_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), again, len(repeated)
+
+
+def test_statistics_of_all_documents_equal_plain(spark, sf):
+    from strandline.llm.queries import op2_quality_rules
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op2_quality_rules(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain_statistics(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
+    assert any(r.n_repeat_words for r in rows) and any(r.n_dup_lines for r in rows)
+
+
+def test_statistics_of_odd_rows(spark):
+    """Very long texts, repeated rows, and columns named as the statistics."""
+    long = "one two three four five six seven eight nine\n" * 4000 + "#" * 300_000
+    rows = [(1, long, 5, "x"), (1, long, 5, "x"), (2, None, None, None), (3, "", 1, "y"), (4, "a|b " * 9, 1, "z")]
+    got = with_statistics(spark.createDataFrame(rows, "doc_id long, text string, windows long, words string"))
+    got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()))
+    assert got == sorted((d, *plain_statistics(t)) for d, t, *_ in rows)
