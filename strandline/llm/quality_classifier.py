@@ -134,7 +134,9 @@ def scorer(model: Model):
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, quality); ``usable`` limits the label rows.
 
-    Null ids, and labels other than 0 and 1, are not used.
+    Null ids, and labels other than 0 and 1, are not used. A doc_id counts once, however often its
+    rows or labels repeat: the least features, then the least label. So the driver gets at most
+    ``max_labelled`` rows of features.
     """
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)")
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
     rows = sized_join(docs.select("doc_id", F.col("text").cast("string").alias("text")), sample, "doc_id", "inner", 16, max_labelled)
-    got = sorted(rows.select("doc_id", "quality", describe("text").alias("x")).collect(), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
+    once = rows.select("doc_id", "quality", describe("text").alias("x")).groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r"))
+    got = sorted(once.select("doc_id", "r.quality", "r.x").collect(), key=lambda r: r["doc_id"])
     return fit(np.array([r["x"] for r in got]), np.array([r["quality"] for r in got]))
 
 

@@ -99,3 +99,13 @@ def test_statistics_of_odd_rows(spark):
     got = with_statistics(spark.createDataFrame(rows, "doc_id long, text string, windows long, words string"))
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got.collect()))
     assert got == sorted((d, *plain_statistics(t)) for d, t, *_ in rows)
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    """A doc_id in thousands of rows is one row of the fit."""
+    docs, labels = tables(spark)
+    seen, fit = [], qc.fit
+    monkeypatch.setattr(qc, "fit", lambda x, y: seen.append(len(x)) or fit(x, y))
+    one = qc.train(docs, labels)
+    many = qc.train(docs.union(docs.where("doc_id = 3").crossJoin(spark.range(3000)).drop("id")), labels.union(labels.where("doc_id < 20")))
+    assert seen[0] == seen[1] and (one.weights == many.weights).all() and one.threshold == many.threshold
