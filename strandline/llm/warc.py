@@ -22,13 +22,13 @@ FANOUT = 16
 RECORDS_PER_FILE = 1000
 
 
-def warc_record(page_id: Column, url: Column, html: Column) -> Column:
-    """A WARC/1.1 response record as text; nulls are empty. Content-Length counts UTF-8 bytes."""
+def warc_record(page_id: Column, url: Column, html: Column, date: str = "1970-01-01T00:00:00Z") -> Column:
+    """A WARC/1.1 resource record as text; nulls are empty. Content-Length counts UTF-8 bytes; pages that do not say when they were fetched have one fixed ``date``."""
     body = F.coalesce(html, F.lit(""))
     lines = [
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
         F.coalesce(page_id.cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "),
+        F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", " "),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
