@@ -285,3 +285,21 @@ def test_eliminated_features_equal_plain(spark):
     rows = spark.createDataFrame([(k, c) for c, s in columns.items() for k in s], "tid int, item int")
     got = {r["item"]: r["ones"] for r in itemsets.eliminate_features(rows, n, theta).collect()}
     assert got == {c: len(s) for c, s in ones.items() if c not in gone} == {4: 26}
+
+
+def test_contact_counts_sum_the_matrix(spark):
+    told = spark.createDataFrame([("a", 2, "+++"), ("a", 5, "---"), ("b", 3, "---"), ("b", 5, "+++"), ("c", 5, "+++"), ("c", 6, "+++")], "key string, step int, kind string")
+    frames = spark.createDataFrame([(k,) for k in (0, 2, 4, 5, 9, 9)], "step int")
+    wide = sequence.contact_matrix(told, ["key"], "step", "kind", frames).groupBy("step").agg(F.sum("on").alias("contacts"), F.count("*").alias("pairs"))
+    want = {(r["step"], r["contacts"], r["pairs"]) for r in wide.collect()}
+    assert {tuple(r) for r in sequence.contact_counts(told, ["key"], "step", "kind", frames).collect()} == want == {(0, 0, 3), (2, 1, 3), (4, 1, 3), (5, 2, 3), (9, 2, 3)}
+
+
+def test_log_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("Output of run begins at step 42\n+++ 7 3 9\n--- 8 3 9\n+++ x 1 2\n0.5 3\nrun,4,1.5,0.25,test\nrun,x,1,1,t\nBASIN,b1,t2,a3,l4\n")
+    at = f"{tmp_path}/a.log"
+    assert {r["bound"] for r in logs.read_segment_bounds(spark, at).collect()} == {0, 42}
+    assert [(r["kind"], r["step"], r["r1"], r["r2"]) for r in logs.read_contact_events(spark, at).collect()] == [("+++", 7, 2, 8), ("---", 8, 2, 8)]
+    assert [(r["time"], r["state"]) for r in logs.read_labels(spark, at).collect()] == [(0.5, 3)]
+    assert [(r["ctlid"], r["num"], r["runtime"], r["label"]) for r in logs.read_benchmarks(spark, at).collect()] == [("run", 4, 1.5, "test")]
+    assert [(r["bid"], r["target"], r["actual"], r["labels"]) for r in logs.read_outcomes(spark, at).collect()] == [("b1", "t2", "a3", "l4")]
