@@ -128,9 +128,14 @@ def compress_gaps(rows: DataFrame, keys: list[str], ts: str, limit: int = 1800)
 
 
 def at_thresholds(rows: DataFrame, keys: list[str], order: str, amount: str, step: float) -> DataFrame:
-    """The first row of each further ``step`` of the running sum: adds total and bucket."""
+    """The first row of each further ``step`` of the running sum: adds total and bucket.
+
+    Amounts are added as decimals of six places, so a sum that is just a multiple of ``step`` is one whatever the order of
+    addition. Null, NaN and infinite amounts add nothing.
+    """
     w = _ordered(keys, order)
-    totals = rows.withColumn("total", F.sum(amount).over(w)).withColumn("bucket", F.floor(F.col("total") / step))
+    exact = F.col(amount).try_cast("decimal(28,6)")
+    totals = rows.withColumn("total", F.sum(exact).over(w).cast("double")).withColumn("bucket", F.floor(F.col("total") / step))
     return totals.withColumn("before", F.coalesce(F.lag("bucket").over(w), F.lit(0))).where("bucket > before").drop("before")
 
 

@@ -225,7 +225,7 @@ ORACLE_SQL = {
     "chunk_activity": "SELECT event_id // 500 AS chunk, round(1.0 - avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS activity, count(*) AS n FROM events GROUP BY 1",
     "gap_compressed_timeline": """WITH g AS (SELECT user_id, coalesce(epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts), 0) AS gap FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events))
         SELECT user_id, sum(CASE WHEN gap > 1800 THEN 0 ELSE gap END)::BIGINT AS busy, sum(gap)::BIGINT AS elapsed, count(*) FILTER (gap > 1800) AS idle_gaps FROM g GROUP BY 1""",
-    "progress_thresholds": f"""WITH t AS (SELECT *, sum(value) OVER {_W} AS total FROM events), b AS (SELECT *, floor(total / 1000)::BIGINT AS bucket FROM t), l AS (SELECT *, coalesce(lag(bucket) OVER {_W}, 0) AS before FROM b)
+    "progress_thresholds": f"""WITH t AS (SELECT *, sum(TRY_CAST(value AS DECIMAL(28, 6))) OVER {_W}::DOUBLE AS total FROM events), b AS (SELECT *, floor(total / 1000)::BIGINT AS bucket FROM t), l AS (SELECT *, coalesce(lag(bucket) OVER {_W}, 0) AS before FROM b)
         SELECT user_id, event_id, round(total, 4) AS total, bucket FROM l WHERE bucket > before""",
     "settled_states": f"""WITH s AS (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN 'busy' ELSE 'rare' END AS state FROM events),
         k AS (SELECT *, lag(state, 1) OVER {_W} = state AND lag(state, 2) OVER {_W} = state AND lead(state, 1) OVER {_W} = state AND lead(state, 2) OVER {_W} = state AS ok FROM s)
