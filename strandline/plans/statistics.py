@@ -181,7 +181,7 @@ ORACLE_SQL = {
         SELECT user_id, round(avg(v), 6) AS mean, round(max(v) FILTER (rn = floor(n * 0.05::DOUBLE + 0.5)), 6) AS lo, round(max(v) FILTER (rn = least(floor(n * 0.95::DOUBLE), n - 1)), 6) AS hi, count(*) AS n FROM r GROUP BY 1""",
     "feature_bootstrap": f"WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL) SELECT i, {_CI.format(v='m')}, count(*) AS n FROM m GROUP BY 1",
     "cluster_variance": "WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), m AS (SELECT label, i, var_samp(v) AS v FROM x GROUP BY ALL) SELECT label, round(sum(v), 6) AS variance FROM m GROUP BY 1",
-    "cost_elasticity": f"""WITH {_SERIES}, t AS (SELECT *, floor(sum(value) OVER {_W} / 2000)::BIGINT AS bucket FROM c), l AS (SELECT *, coalesce(lag(bucket) OVER {_W}, 0) AS before FROM t)
+    "cost_elasticity": f"""WITH {_SERIES}, t AS (SELECT *, floor(sum(TRY_CAST(value AS DECIMAL(28, 6))) OVER {_W}::DOUBLE / 2000)::BIGINT AS bucket FROM c), l AS (SELECT *, coalesce(lag(bucket) OVER {_W}, 0) AS before FROM t)
         SELECT user_id, bucket, k, round(conv, 6) AS conv FROM l WHERE bucket > before""",
     "run_totals": "SELECT o_orderstatus, max(o_orderdate) AS last_end, count(*) AS n, round(sum(o_totalprice), 2) AS cost FROM orders GROUP BY 1",
     "flag_census": "SELECT c_mktsegment, count(*) FILTER (c_acctbal > 0) AS alive, count(*) FILTER (c_acctbal <= 0) AS dead, count(*) FILTER (c_acctbal < -500) AS zombie FROM customer GROUP BY 1",
