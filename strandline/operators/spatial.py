@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..lineage import cut
+from . import blocks
 
-#: Queries that are broadcast at once.
+#: Size of a block of queries.
 QUERY_BYTES = 64 << 20
 
 METHODS = ("median", "mean", "middle", "max_gap")
@@ -187,20 +188,15 @@ def pairwise(rows: DataFrame, name: str, vector: str, within: str | None = None)
 def nearest_rows(rows: DataFrame, queries: DataFrame, name: str, vector: str, k: int) -> DataFrame:
     """The k nearest rows of each query (query, name, d, rank), exactly, nearest first and lower names first among equals.
 
-    Queries are counted, and broadcast against all rows as long as they fit; more of them are dealt
-    to blocks that do, each of which meets all rows. Each task keeps its own best k of a query
-    before anything is shuffled.
+    Rows and queries are dealt to blocks, each block of queries meets each block of rows in one matrix product, and only a
+    block's best k of a query are shuffled. Rows without a vector are near nothing.
     """
-    asked = queries.select(F.col(name).alias("query"), F.col(vector).alias("q"))
-    n, size = asked.agg(F.count("*"), F.max(F.size("q"))).first()
-    blocks = -(-n * (64 + 8 * (size or 0)) // QUERY_BYTES)
-    if blocks > 1:
-        parts = [nearest_rows(rows, queries.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b), name, vector, k) for b in range(blocks)]
-        return reduce(DataFrame.unionByName, parts)
-    asked = F.broadcast(asked)
-    found = rows.crossJoin(asked).where(F.col(name) != F.col("query")).select("query", name, vec.distance(F.col(vector), F.col("q")).alias("d"))
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", name)))
-    return best.where(F.col("rank") <= k)
+    held, asked = (df.where(F.size(vector) > 0).select(F.col(name).alias("name"), F.col(vector).alias("v")) for df in (rows, queries))
+    n, size = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    kind = rows.schema[name].dataType.simpleString()
+    found = blocks.met(held, asked, "name", max(1, -(-n * (64 + 8 * (size or 0)) // QUERY_BYTES)), blocks.nearest(k), f"query {kind}, name {kind}, d double")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "name")))
+    return best.where(F.col("rank") <= k).select("query", F.col("name").alias(name), "d", "rank")
 
 
 def shared_cells(members: DataFrame, point: str, cell: str, least: int = 3) -> DataFrame:
