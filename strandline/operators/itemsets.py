@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from . import bitmaps
 
 
 def contacts(rows: DataFrame, tid: str, vector: str, cutoff: float, features: list[int] | None = None, below: bool = False) -> DataFrame:
@@ -42,9 +43,13 @@ def frequent_itemsets(transactions: DataFrame, least: int, longest: int | None =
 
     Pairs are joined by transaction, as most pairs of items never meet. From three items on, candidates
     are made of the frequent sets and tested by their subsets first, and only theirs are the transaction
-    lists that are joined. The lists of the last level are counted but not kept.
+    lists that are joined. The lists of the last level are counted but not kept. Where rows hold a fair
+    share of the items, bitmaps count the candidates and there are no lists.
     """
     keep = F.col("support") > least if strict else F.col("support") >= least
+    names = bitmaps.dense_names(transactions, least)
+    if names is not None:
+        return _counted_in_bitmaps(bitmaps.bitmaps(transactions, names), keep, longest)
     lists = transactions.where("item is not null").select("tid", "item").distinct().select("tid", F.array("item").alias("items"))
     found: list[DataFrame] = []
     while longest is None or len(found) < longest:
@@ -62,6 +67,18 @@ def frequent_itemsets(transactions: DataFrame, least: int, longest: int | None =
     return reduce(DataFrame.unionByName, found)
 
 
+def _counted_in_bitmaps(maps: bitmaps.Bitmaps, keep: Column, longest: int | None) -> DataFrame:
+    sets = maps.table.sparkSession.range(len(maps.names)).select(F.array().cast("array<int>").alias("prefix"), F.col("id").cast("int").alias("x"))
+    found: list[DataFrame] = []
+    while longest is None or len(found) < longest:
+        good = cut(bitmaps.supports(maps, sets).where(keep).select(F.concat("prefix", F.array("x")).alias("items"), "support"))
+        found.append(good)
+        if len(found) == longest or not good.limit(1).count():
+            break
+        sets = cut(_candidates(good, len(found)).select(F.concat("prefix", F.array("x")).alias("prefix"), F.col("y").alias("x")))
+    return reduce(DataFrame.unionByName, found).select(maps.named("items").alias("items"), "support")
+
+
 def without_one(sets: DataFrame, *keep: str) -> DataFrame:
     """Each set's subsets that lack one item, as ``child``; ``items`` is renamed parent. Empty subsets are left out."""
     rows = sets.where(F.size("items") > 1).select(*keep, F.col("items").alias("parent"), F.explode("items").alias("gone"))
@@ -106,7 +123,10 @@ def lattice_edges(nodes: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame, transactions: DataFrame) -> DataFrame:
-    """(items, tid) of the transactions that hold every item of a node: an equi-join on items and a count."""
+    """(items, tid) of the transactions that hold every item of a node: ANDs of bitmaps, or an equi-join on items and a count."""
+    maps = bitmaps.dense_for(nodes, transactions)
+    if maps is not None:
+        return bitmaps.members(maps, nodes)
     wanted = nodes.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
     hits = transactions.select("tid", "item").distinct().join(wanted, "item").groupBy("items", "size", "tid").agg(F.count("*").alias("n"))
     return hits.where("n = size").select("items", "tid")
@@ -120,6 +140,29 @@ def mean_bins(lists: DataFrame, values: DataFrame, low: float, high: float, bins
     return lists.join(binned, "tid").groupBy("items", "feature").agg(F.avg("bin").alias("mean_bin"), F.count("*").alias("n"))
 
 
+def own_bins(nodes: DataFrame, transactions: DataFrame, values: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """Per node and each of its own items: sum and number of the histogram bins of the node's rows, (items, feature, total, n)."""
+    from .stats import bin_of
+
+    binned = values.select("tid", "feature", bin_of(F.col("x"), low, high, bins).alias("bin")).where("bin is not null")
+    maps = bitmaps.dense_for(nodes, transactions, binned)
+    if maps is not None:
+        return bitmaps.bin_sums(maps, nodes)
+    wanted = members(nodes, transactions).select("items", "tid", F.explode("items").alias("feature"))
+    return wanted.join(binned, ["tid", "feature"]).groupBy("items", "feature").agg(F.sum("bin").alias("total"), F.count("*").alias("n"))
+
+
+def own_rows(nodes: DataFrame, transactions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node: its rows, and those that none of its parents has, (items, n, own)."""
+    maps = bitmaps.dense_for(nodes, transactions)
+    if maps is not None:
+        return bitmaps.own_rows(maps, edges, nodes)
+    lists = members(nodes, transactions)
+    full = lists.groupBy("items").agg(F.count("*").alias("n"))
+    own = compress(lists, edges).groupBy("items").agg(F.count("*").alias("own"))
+    return full.join(own, "items", "left").select("items", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def edge_weights(edges: DataFrame, means: DataFrame, bins: int) -> DataFrame:
     """Adds emd: root of the summed squared flows between the parent's and the child's histograms on the child's features.
 

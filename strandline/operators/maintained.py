@@ -11,14 +11,14 @@ again.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .itemsets import edge_weights, lattice_edges, lattice_nodes, members, supports
+from .itemsets import edge_weights, lattice_edges, lattice_nodes, members, own_bins, supports
 from .maxminer import least_count, max_miner
-from .stats import bin_of
 
 
 @dataclass(frozen=True)
@@ -47,12 +47,6 @@ class Lattice:
         return least_count(self.transactions, self.share, self.n)
 
 
-def _sums(rows: DataFrame, values: DataFrame, bins: tuple[float, float, int]) -> DataFrame:
-    binned = values.select("tid", "feature", bin_of(F.col("x"), *bins).alias("bin")).where("bin is not null")
-    wanted = rows.select("items", "tid", F.explode("items").alias("feature"))
-    return wanted.join(binned, ["tid", "feature"]).groupBy("items", "feature").agg(F.sum("bin").alias("total"), F.count("*").alias("n"))
-
-
 def _weighed(edges: DataFrame, sums: DataFrame, bins: tuple[float, float, int]) -> DataFrame:
     return edge_weights(edges, sums.select("items", "feature", (F.col("total") / F.col("n")).alias("mean_bin")), bins[2])
 
@@ -60,8 +54,9 @@ def _weighed(edges: DataFrame, sums: DataFrame, bins: tuple[float, float, int])
 def build(transactions: DataFrame, values: DataFrame, n: int, share: float, bins: tuple[float, float, int]) -> Lattice:
     """The lattice of all subsets of the maximal itemsets, with every edge weighed."""
     maximal, infrequent = max_miner(transactions, least_count(transactions, share, n))
-    rows = cut(members(lattice_nodes(maximal), transactions))
-    nodes, sums = cut(supports(rows)), cut(_sums(rows, values, bins))
+    sets = cut(lattice_nodes(maximal))
+    rows = cut(members(sets, transactions))
+    nodes, sums = cut(supports(rows)), cut(own_bins(sets, transactions, values, *bins))
     edges = cut(_weighed(lattice_edges(nodes), sums, bins))
     return Lattice(n, share, bins, transactions, values, nodes, infrequent, rows, sums, edges)
 
@@ -82,18 +77,18 @@ def merge(a: Lattice, b: Lattice) -> Lattice:
     sets = a.nodes.select("items").union(b.nodes.select("items")).distinct()
     sets = cut(sets.join(known[0], "items", "left").join(known[1], "items", "left"))
     live = sets.where(f"n0 is null or n1 is null or n0 + n1 >= {least}").select("items")
-    own, added = [], []
+    own, added, fresh = [], [], []
     for x, by in ((a, 0), (b, a.n)):
-        lacking = live.join(x.nodes.select("items"), "items", "left_anti")
+        lacking = cut(live.join(x.nodes.select("items"), "items", "left_anti"))
+        fresh.append(own_bins(lacking, x.transactions, x.values, *a.bins))
         added.append(cut(_shifted(members(lacking, x.transactions), by)))
         own.append(_shifted(x.rows.join(live, "items", "left_semi"), by))
     rows = own[0].unionByName(own[1]).unionByName(added[0]).unionByName(added[1])
     counted = cut(supports(rows))
     nodes = cut(counted.where(F.col("support") >= least))
     rows = cut(rows.join(nodes.select("items"), "items", "left_semi"))
-    fresh = _sums(added[0].unionByName(added[1]).join(nodes.select("items"), "items", "left_semi"), values, a.bins)
-    kept = a.sums.unionByName(b.sums).join(nodes.select("items"), "items", "left_semi")
-    sums = cut(kept.unionByName(fresh).groupBy("items", "feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+    kept = reduce(DataFrame.unionByName, [a.sums, b.sums, *fresh]).join(nodes.select("items"), "items", "left_semi")
+    sums = cut(kept.groupBy("items", "feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
     both = known[0].join(known[1], "items").select("items", (F.col("n0") + F.col("n1")).alias("support"))
     low = both.unionByName(counted).where(F.col("support") < least).distinct()
     touched = own[1].select("items").union(added[0].select("items")).union(added[1].select("items")).distinct()
@@ -127,7 +122,7 @@ def extend(a: Lattice, transactions: DataFrame, values: DataFrame) -> Lattice:
     found = members(lattice_nodes(maximal), among).select(with_item, "tid")
     added = cut(found.unionByName(new.select(F.array(item).alias("items"), "tid")))
     nodes = cut(a.nodes.unionByName(supports(added)))
-    sums = cut(a.sums.unionByName(_sums(added, all_values, a.bins)))
+    sums = cut(a.sums.unionByName(own_bins(supports(added), every, all_values, *a.bins)))
     above = lattice_edges(nodes).where(F.array_contains("parent", item))
     edges = cut(a.edges.unionByName(_weighed(above, sums, a.bins)))
     return Lattice(a.n, a.share, a.bins, every, all_values, nodes, a.low.unionByName(infrequent.select(with_item, "support")), cut(a.rows.unionByName(added)), sums, edges)

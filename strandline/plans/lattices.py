@@ -103,7 +103,7 @@ def _lattice(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     on, nodes, edges = _lattice(spark, sf)
-    means = it.mean_bins(it.members(nodes, on), _values(spark, sf), LOW, HIGH, BINS)
+    means = it.own_bins(nodes, on, _values(spark, sf), LOW, HIGH, BINS).select("items", "feature", (F.col("total") / F.col("n")).alias("mean_bin"))
     return on, nodes, cut(it.edge_weights(edges, means, BINS))
 
 
@@ -131,10 +131,7 @@ def lattice_groups(spark: SparkSession, sf: str) -> DataFrame:
 def lattice_compression(spark: SparkSession, sf: str) -> DataFrame:
     """Per node: rows, and rows that none of its parents has."""
     on, nodes, edges = _lattice(spark, sf)
-    lists = it.members(nodes, on)
-    full = lists.groupBy("items").agg(F.count("*").alias("n"))
-    own = it.compress(lists, edges).groupBy("items").agg(F.count("*").alias("own"))
-    return full.join(own, "items", "left").select(_key(), "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return it.own_rows(nodes, on, edges).select(_key(), "n", "own")
 
 
 def lattice_paths(spark: SparkSession, sf: str) -> DataFrame:
