@@ -7,7 +7,8 @@ concept has one canonical extension that makes it, so none is made twice and no
 found before is asked.
 
 Sets are words of bits, and the intent common to rows is one bit_and of their words, which Spark
-adds up where the rows are. Rows with the same items are one row with a number.
+adds up where the rows are. Rows with the same items are one row with a number; where most rows differ,
+bitmaps of the items count in their place.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from . import bitmaps
 
 _BITS = 60
+#: Different rows that each round reads; of more, bitmaps are made.
+PATTERNS = 1 << 12
 
 
 def _below(core: Column, word: int) -> Column:
@@ -41,7 +45,8 @@ def formal_concepts(transactions: DataFrame, least: int = 1) -> DataFrame:
     not count. Null items are left out. The items are the columns of the context, so the driver
     names them; rows and concepts stay in Spark.
     """
-    distinct = transactions.where("item is not null").select("tid", "item").distinct()
+    distinct = transactions.where("item is not null").select("tid", "item")
+    # Repeats of an item in a row set a bit again; an item that only repeats make frequent is in no concept of enough rows.
     names = [r["item"] for r in distinct.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy("item").collect()]
     kind = transactions.schema["item"].dataType
     spark = transactions.sparkSession
@@ -49,7 +54,9 @@ def formal_concepts(transactions: DataFrame, least: int = 1) -> DataFrame:
     place = spark.createDataFrame([(x, k) for k, x in enumerate(names)], f"item {kind.simpleString()}, k int")
     own, seen, new = ([f"{c}{w}" for w in range(words)] for c in ("p", "b", "c"))
     bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("k") / _BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % _BITS).cast("int")))), F.lit(0).cast("long")).alias(own[w]) for w in range(words)]
-    patterns = cut(distinct.join(place, "item", "left").groupBy("tid").agg(*bits).groupBy(*own).agg(F.count("*").alias("n")))
+    patterns = cut(distinct.join(F.broadcast(place), "item", "left").groupBy("tid").agg(*bits).groupBy(*own).agg(F.count("*").alias("n")))
+    if patterns.limit(PATTERNS + 1).count() > PATTERNS and (dense := bitmaps.dense_names(transactions, least)) is not None:
+        return _concepts_in_bitmaps(bitmaps.bitmaps(transactions, dense), least)
     whole = [F.bit_and(p).alias(b) for p, b in zip(own, seen)]
     level = cut(patterns.agg(*whole, F.sum("n").alias("support")).where(F.col("support") >= least))
     rows = patterns.crossJoin(level.drop("support")).withColumn("core", F.lit(-1))
@@ -71,3 +78,21 @@ def formal_concepts(transactions: DataFrame, least: int = 1) -> DataFrame:
     concepts = reduce(DataFrame.unionByName, found)
     named = F.array(*(F.when(F.getbit(seen[k // _BITS], F.lit(k % _BITS)) == 1, F.lit(x)) for k, x in enumerate(names))).cast(f"array<{kind.simpleString()}>")
     return concepts.select(F.array_compact(named).alias("items"), "support")
+
+
+def _concepts_in_bitmaps(maps: bitmaps.Bitmaps, least: int) -> DataFrame:
+    every = F.array(*map(F.lit, range(len(maps.names)))).cast("array<int>")
+
+    def closed(sets: DataFrame) -> DataFrame:
+        good = cut(bitmaps.supports(maps, sets).where(F.col("support") >= least))
+        new = bitmaps.closures(maps, good).join(good, ["prefix", "x"])
+        canonical = F.forall("items", lambda i: (F.col("x") < 0) | (i >= F.col("x")) | F.array_contains("prefix", i))
+        return cut(new.where(canonical).select("items", F.col("x").alias("core"), "support"))
+
+    level = closed(maps.table.sparkSession.range(1).select(F.array().cast("array<int>").alias("prefix"), F.lit(-1).alias("x")))
+    found = [level]
+    while level.count():
+        free = F.filter(every, lambda j: (j > F.col("core")) & ~F.array_contains("items", j))
+        level = closed(level.select(F.col("items").alias("prefix"), F.explode(free).alias("x")))
+        found.append(level)
+    return reduce(DataFrame.unionByName, found).select(maps.named("items").alias("items"), "support")
