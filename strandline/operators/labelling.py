@@ -38,8 +38,7 @@ def with_distances(frames: DataFrame, cents: DataFrame, vector: str, weight: str
     held = F.struct("state", "c", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     one = cents.agg(F.array_sort(F.collect_list(held)).alias("cents"))
     one = one.where(F.when(F.size("cents") <= MAX_STATES, True).otherwise(F.raise_error(F.lit(f"more than {MAX_STATES} centroids")).cast("boolean")))
-    v = vec.doubles(vector)
-    near = F.array_sort(F.transform("cents", lambda c: F.struct((c["w"] * vec.distance(v, c["c"])).alias("d"), c["state"].alias("state"))))
+    near = vec.once(vec.doubles(vector), lambda v: F.array_sort(F.transform("cents", lambda c: F.struct((c["w"] * vec.distance(v, c["c"])).alias("d"), c["state"].alias("state")))))
     return frames.crossJoin(F.broadcast(one)).withColumn("near", near).drop("cents")
 
 
@@ -72,26 +71,28 @@ def accuracy(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
     return pairs.groupBy(actual).agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.avg(hit).alias("rate"))
 
 
+def _hot(distances: Column, states: int) -> Column:
+    """10 at the nearest state, else 0; nothing is sought again for each state."""
+    return vec.once(F.array_position(distances, F.array_min(distances)) - 1, lambda least: F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.when(k == least, F.lit(10.0)).otherwise(0.0)))
+
+
+def _preferences(distances: Column, states: int, steep: float) -> Column:
+    return F.array(*(vec.logistic(F.get(distances, a) - F.get(distances, b), 10.0, steep) for a in range(states) for b in range(a + 1, states)))
+
+
 def landscape(distances: Column, states: int = 5, near: float = 10.0) -> Column:
     """Feature landscape of an array of state distances: one-hot of the nearest (0 or 10), proximities, and pairwise preferences.
 
     For 5 states these are 5 + 5 + 10 values: 10 at the nearest state; max(10 - d, 0); and
     10 / (1 + exp(-3 (d_a - d_b))) for a < b.
     """
-    least = F.array_position(distances, F.array_min(distances)) - 1
-    hot = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.when(k == least, F.lit(10.0)).otherwise(0.0))
-    close = F.transform(F.slice(distances, 1, states), lambda d: F.greatest(F.lit(near) - d, F.lit(0.0)))
-    pairs = [vec.logistic(F.get(distances, a) - F.get(distances, b), 10.0, 3.0) for a in range(states) for b in range(a + 1, states)]
-    return F.concat(hot, close, F.array(*pairs))
+    return vec.once(distances, lambda ds: F.concat(_hot(ds, states), F.transform(F.slice(ds, 1, states), lambda d: F.greatest(F.lit(near) - d, F.lit(0.0))), _preferences(ds, states, 3.0)))
 
 
 def landscape_frames(distances: Column, states: int = 5, near: float = 10.0, far: float = 20.0) -> Column:
     """The landscape of a single frame: one-hot of the nearest (0 or 10), proximities that fall from 10 at ``near`` to 0 at ``far``, and pairwise preferences that favour the nearer state."""
-    least = F.array_position(distances, F.array_min(distances)) - 1
-    hot = F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda k: F.when(k == least, F.lit(10.0)).otherwise(0.0))
-    close = F.transform(F.slice(distances, 1, states), lambda d: 10.0 * F.greatest(F.lit(far) - F.greatest(d, F.lit(near)), F.lit(0.0)) / (far - near))
-    pairs = [vec.logistic(F.get(distances, a) - F.get(distances, b), 10.0, -3.0) for a in range(states) for b in range(a + 1, states)]
-    return F.concat(hot, close, F.array(*pairs))
+    close = lambda d: 10.0 * F.greatest(F.lit(far) - F.greatest(d, F.lit(near)), F.lit(0.0)) / (far - near)
+    return vec.once(distances, lambda ds: F.concat(_hot(ds, states), F.transform(F.slice(ds, 1, states), close), _preferences(ds, states, -3.0)))
 
 
 def landscape_states(pairwise: Column, states: int = 5) -> Column:
@@ -101,14 +102,18 @@ def landscape_states(pairwise: Column, states: int = 5) -> Column:
         for b in range(a + 1, states):
             index[a, b] = k
             k += 1
-    wins = []
-    for s in range(states):
-        tests = [(F.get(pairwise, index[s, b]) < 5) for b in range(s + 1, states)] + [(F.get(pairwise, index[a, s]) > 5) for a in range(s)]
-        test = tests[0]
-        for t in tests[1:]:
-            test = test & t
-        wins.append(test)
-    return F.array(*wins)
+
+    def wins(values: Column) -> Column:
+        found = []
+        for s in range(states):
+            tests = [(F.get(values, index[s, b]) < 5) for b in range(s + 1, states)] + [(F.get(values, index[a, s]) > 5) for a in range(s)]
+            test = tests[0]
+            for t in tests[1:]:
+                test = test & t
+            found.append(test)
+        return F.array(*found)
+
+    return vec.once(pairwise, wins)
 
 
 def mean_profile(rows: DataFrame, vector: str, *keys: str) -> DataFrame:

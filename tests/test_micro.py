@@ -303,3 +303,16 @@ def test_log_files(spark, tmp_path):
     assert [(r["time"], r["state"]) for r in logs.read_labels(spark, at).collect()] == [(0.5, 3)]
     assert [(r["ctlid"], r["num"], r["runtime"], r["label"]) for r in logs.read_benchmarks(spark, at).collect()] == [("run", 4, 1.5, "test")]
     assert [(r["bid"], r["target"], r["actual"], r["labels"]) for r in logs.read_outcomes(spark, at).collect()] == [("b1", "t2", "a3", "l4")]
+
+
+def test_landscapes_evaluate_their_distances_once(spark):
+    row = spark.createDataFrame([(1, [4.0, 1.0, 3.0, 1.5, 9.0])], "id long, d array<double>")
+    d = F.array_sort("d")
+    wins = labelling.landscape_states(F.slice(labelling.landscape(d), 11, 10))
+    for column in (wins, labelling.landscape(d), labelling.landscape_frames(d)):
+        plan = row.select(column.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_sort(") <= 1
+    unsorted = labelling.landscape_states(F.slice(labelling.landscape(F.col("d")), 11, 10))
+    found = row.select(labelling.landscape(F.col("d")).alias("f"), unsorted.alias("w")).first()
+    assert found["f"][:10] == [0.0, 10.0, 0.0, 0.0, 0.0, 6.0, 9.0, 7.0, 8.5, 1.0]
+    assert found["w"] == [False, True, False, False, False]
