@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from . import bitmaps
 
+#: Rows that a task deals with where lines are made distinct, and pairs that it makes or adds up.
+ROWS = 1 << 19
+
 
 def contacts(rows: DataFrame, tid: str, vector: str, cutoff: float, features: list[int] | None = None, below: bool = False) -> DataFrame:
     """Transactions (tid, item): the places of a vector whose value is over (or below) the cutoff, of ``features`` only if given."""
@@ -38,10 +41,32 @@ def _candidates(good: DataFrame, size: int) -> DataFrame:
     return whole.join(lacking, "items", "left_anti").select("prefix", "x", "y")
 
 
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
+def _pairs(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of items of each transaction, (tid, items), and their supports (items, support), of distinct (tid, item).
+
+    As many parts are dealt as the number of pairs asks for, so that a task's memory does not grow with the input. A part
+    adds up its own pairs before they are dealt by pair, so a pair that is everywhere is a row a part.
+    """
+    known = level.where("tid is not null")
+    parts = _parts(known.groupBy("tid").agg(F.count("*").alias("n")).agg(F.expr("sum(n * (n - 1) div 2)")).first()[0] or 0)
+    dealt = known.select(F.pmod(F.xxhash64("tid"), F.lit(16 * parts)).alias("deal"), "tid", "item").repartition(parts, "deal")
+    held = dealt.groupBy("deal", "tid").agg(F.array_sort(F.collect_list("item")).alias("held"))
+    first = held.select("deal", "tid", "held", F.posexplode("held").alias("k", "x"))
+    both = first.select("deal", "tid", "x", F.explode(F.slice("held", F.col("k") + 2, F.size("held"))).alias("y"))
+    own = both.groupBy("deal", "x", "y").agg(F.count("*").alias("n")).select("x", "y", "n")
+    counts = own.repartition(parts, "x", "y").groupBy("x", "y").agg(F.sum("n").alias("support"))
+    items = F.array("x", "y").alias("items")
+    return both.select("tid", items), counts.select(items, "support")
+
+
 def frequent_itemsets(transactions: DataFrame, least: int, longest: int | None = None, strict: bool = False) -> DataFrame:
     """Itemsets with support >= least (> least if ``strict``) and that support, of up to ``longest`` items or of any size.
 
-    Pairs are joined by transaction, as most pairs of items never meet. From three items on, candidates
+    Pairs are made of each transaction's items, as most pairs of items never meet. From three items on, candidates
     are made of the frequent sets and tested by their subsets first, and only theirs are the transaction
     lists that are joined. The lists of the last level are counted but not kept. Where rows hold a fair
     share of the items, bitmaps count the candidates and there are no lists.
@@ -50,20 +75,27 @@ def frequent_itemsets(transactions: DataFrame, least: int, longest: int | None =
     names = bitmaps.dense_names(transactions, least)
     if names is not None:
         return _counted_in_bitmaps(bitmaps.bitmaps(transactions, names), keep, longest)
-    lists = transactions.where("item is not null").select("tid", "item").distinct().select("tid", F.array("item").alias("items"))
+    rows = transactions.where("item is not null").select("tid", "item")
+    lines = cut(rows.repartition(_parts(rows.count()), "tid").distinct())
+    lists = lines.select("tid", F.array("item").alias("items"))
+    counted = supports(lists)
     found: list[DataFrame] = []
     while longest is None or len(found) < longest:
-        good = cut(supports(lists).where(keep))
+        good = cut(counted.where(keep))
         found.append(good)
         size = len(found)
         if size == longest or longest is None and not good.limit(1).count():
             break
+        if size == 1:
+            lists, counted = _pairs(lines.join(good.select(F.get("items", 0).alias("item")), "item", "left_semi"))
+            continue
         level = cut(lists.join(good.select("items"), "items", "left_semi").select("items", "tid"))
         prefix = F.slice("items", 1, size - 1)
         a = level.select("tid", prefix.alias("prefix"), F.element_at("items", size).alias("x"))
         b = a.withColumnRenamed("x", "y")
-        both = a.join(b, ["tid", "prefix"]).where("x < y") if size == 1 else a.join(_candidates(good, size), ["prefix", "x"]).join(b, ["tid", "prefix", "y"])
+        both = a.join(_candidates(good, size), ["prefix", "x"]).join(b, ["tid", "prefix", "y"])
         lists = both.select("tid", F.concat("prefix", F.array("x", "y")).alias("items"))
+        counted = supports(lists)
     return reduce(DataFrame.unionByName, found)
 
 

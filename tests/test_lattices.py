@@ -180,3 +180,26 @@ def test_rounds_of_nearest_pairs_end_where_single_merges_do(spark):
     assert all(r["cluster"] == r["final"] for r in alone.collect()) and alone.count() == 12
     merged = lattice._added_up(summary, lattice._merged_pairs(summary, 1))
     assert merged.agg(F.sum("n")).first()[0] == len(rows) and merged.count() < 12
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share of lines and pairs is bounded: more rows are more parts, whatever spark.sql.shuffle.partitions says."""
+    monkeypatch.setattr(itemsets, "ROWS", 50)
+    rows = spark.range(400).select(F.col("id").alias("tid"), F.explode(F.array(*(F.pmod(F.col("id") * k + k * k, F.lit(1500)) for k in range(1, 5)))).alias("item"))
+    rows = rows.unionByName(rows.limit(7)).unionByName(spark.createDataFrame([(None, 1), (None, 2), (5, None)], "tid long, item long"))
+    once = {(r["tid"], r["item"]) for r in rows.collect() if r["item"] is not None}
+    by_tid, plain = {}, {}
+    for t, i in once:
+        if t is not None:
+            by_tid.setdefault(t, set()).add(i)
+    for held in by_tid.values():
+        for x in held:
+            for y in held:
+                if x < y:
+                    plain[x, y] = plain.get((x, y), 0) + 1
+    lists, counts = itemsets._pairs(rows.where("item is not null").distinct())
+    assert counts.rdd.getNumPartitions() == itemsets._parts(sum(plain.values())) > 20
+    assert {tuple(r["items"]): r["support"] for r in counts.collect()} == plain
+    assert lists.count() == sum(plain.values())
+    found = {tuple(r["items"]): r["support"] for r in itemsets.frequent_itemsets(rows, 1, 2).where(F.size("items") == 2).collect()}
+    assert found == plain
