@@ -1,8 +1,8 @@
 """Frequent itemsets over transactions (tid, item), level by level, and the lattice they span.
 
 Itemsets are sorted arrays. The levels keep their transaction lists, (items, tid), because
-lattice nodes need them; every level is one equi-join on (tid, common prefix) and one count, and
-its lineage is cut. Subset tests are never theta joins: a set is exploded into the sets that lack
+lattice nodes need them. Pairs are made of each transaction's items; every further level is one
+equi-join on (tid, common prefix) and one count, and its lineage is cut. Subset tests are never theta joins: a set is exploded into the sets that lack
 one of its items, and these are joined by equality.
 """
 
