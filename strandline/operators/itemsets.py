@@ -164,6 +164,12 @@ def members(nodes: DataFrame, transactions: DataFrame) -> DataFrame:
     return hits.where("n = size").select("items", "tid")
 
 
+def largest_members(nodes: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(items, tid): of the nodes whose every item a transaction holds, one of the most items, the lower set first, at least."""
+    maps = bitmaps.dense_for(nodes, transactions)
+    return members(nodes, transactions) if maps is None else bitmaps.largest(maps, nodes)
+
+
 def mean_bins(lists: DataFrame, values: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     """Per node and feature: mean histogram bin of the node's rows, (items, feature, mean_bin, n). ``values`` is (tid, feature, x)."""
     from .stats import bin_of

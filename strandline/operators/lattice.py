@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..lineage import cut
-from .itemsets import members
+from .itemsets import largest_members
 from .spatial import nearest_rows
 
 
@@ -48,10 +48,11 @@ def assign_rows(transactions: DataFrame, groups: DataFrame, most: int = 4) -> Da
     Level is the number of dropped items, at most min(most, items - 1) of them; the lower set first among equals. Rows
     without a match are left out. Rows meet the nodes by item, so no subsets are made.
     """
-    patterns = transactions.select("tid", "item").distinct().groupBy("tid").agg(F.count("*").cast("int").alias("size"))
-    held = members(groups.select("items").distinct(), transactions).join(patterns, "tid").withColumn("level", F.col("size") - F.size("items"))
-    best = held.where(F.col("level") <= most).groupBy("tid").agg(F.min(F.struct("level", "items")).alias("m"))
-    return best.select("tid", "m.level", "m.items")
+    patterns = transactions.where("tid is not null").select("tid", "item").distinct().groupBy("tid").agg(F.count("*").cast("int").alias("size"))
+    held = largest_members(groups.select("items").distinct(), transactions).where("tid is not null").select("tid", F.struct((-F.size("items")).alias("less"), "items").alias("m"))
+    # One aggregate, not a join: Spark takes the rows that Arrow functions return for fewer than they are, and would broadcast them.
+    both = held.unionByName(patterns, allowMissingColumns=True).groupBy("tid").agg(F.min("m").alias("m"), F.max("size").alias("size"))
+    return both.where("m is not null").select("tid", (F.col("size") + F.col("m.less")).alias("level"), "m.items").where(F.col("level") <= most)
 
 
 def summaries(rows: DataFrame, cluster: str, vector: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from strandline.operators import itemsets, lattice, maintained
+from strandline.operators import bitmaps, itemsets, lattice, maintained
 from strandline.operators.concepts import formal_concepts
 from strandline.operators.maxminer import inside, least_count, max_miner
 
@@ -162,6 +162,24 @@ def test_rows_go_to_their_largest_node(spark):
     assert {r["tid"]: (r["level"], tuple(r["items"])) for r in found.collect()} == {0: (1, (1, 2)), 1: (1, (1, 2)), 3: (1, (3,))}
 
 
+def test_rows_meet_their_largest_node_without_a_join(spark, monkeypatch):
+    """Over several chunks and parts; a join would broadcast the rows that an Arrow function returns, as Spark takes them for few."""
+    monkeypatch.setattr(bitmaps, "CHUNK", 20)
+    monkeypatch.setattr(bitmaps, "PART", 3)
+    r = random.Random(3)
+    rows = [[k for k in range(6) if r.random() < 0.6] or [9] for _ in range(90)]
+    nodes = [[0], [1], [0, 1], [2, 3], [1, 2], [3, 4, 5], [0, 4, 5], [2, 5], [5]]
+    found = lattice.assign_rows(table(spark, rows), spark.createDataFrame([(n,) for n in nodes], "items array<int>"), 3)
+    want = {}
+    for t, held in enumerate(rows):
+        inside = [(len(held) - len(n), n) for n in nodes if set(n) <= set(held) and len(held) - len(n) <= 3]
+        if inside:
+            want[t] = min(inside)
+    got = [(x["tid"], (x["level"], x["items"])) for x in found.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rounds_of_nearest_pairs_end_where_single_merges_do(spark):
     """Twelve clusters in three far groups with ties inside them; one cluster is tiny."""
     rows = []
